@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallow.llm import mixing, packing, quality
+from tallow.llm import jaccard, mixing, packing, quality
 from tallow.llm.common import stage, table
 
 
@@ -17,6 +17,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.clean_documents(docs)
 
 
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: links are five-word shingles with a similarity of 0.8 or more."""
+    return jaccard.first_of_each_class(docs, n=5, num=80, den=100)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
@@ -25,7 +30,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack_documents(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("mixing sources to target weights", mix_sources), ("best-fit packing", pack_sequences)]
+STAGES = [("quality rules", quality_rules), ("n-gram Jaccard join", ngram_jaccard_join), ("mixing sources to target weights", mix_sources), ("best-fit packing", pack_sequences)]
 
 # Hashes, tokenizers and similarity joins: SQL cannot express the stages; the tests hold them against brute force.
 ORACLE_SQL = None

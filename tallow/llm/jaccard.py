@@ -232,26 +232,28 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     own = F.col("node") == F.col("doc_id")
     nodes = stage(nodes.select("doc_id", "n_shingles", "node", F.when(own, F.col("prefix")).alias("prefix")), "jaccard-nodes")
 
-    tokens = nodes.where("prefix is not null").select(F.explode("prefix").alias("token"), "node")
+    step = float(-np.log(num / den)) * (1 + 1e-9)
+    tokens = nodes.where("prefix is not null").select(F.explode("prefix").alias("token"), "node", "n_shingles")
     late = docs.sparkSession.createDataFrame(pd.DataFrame({"token": heavy.view(np.int64)}), "token long")  # HEAVY_KEPT rows at most
-    common = tokens.join(F.broadcast(late), "token", "left_semi")
-    hubs = common.groupBy("token").agg(F.min("node").alias("hub"))
-    near = common.join(F.broadcast(hubs), "token").select("node", "hub").where("node <> hub").distinct()
-    rare = tokens.join(F.broadcast(late), "token", "left_anti").repartition("token").sortWithinPartitions("token", "node")
+    common = tokens.join(F.broadcast(late), "token", "left_semi").withColumn("cell", F.floor(F.log("n_shingles") / step))
+    hubs = common.groupBy("token", "cell").agg(F.min("node").alias("hub"))
+    near = common.join(F.broadcast(hubs), ["token", "cell"]).select("node", "hub")
+    above = hubs.select("token", (F.col("cell") - 1).alias("cell"), F.col("hub").alias("node"))
+    near = near.unionByName(hubs.join(above, ["token", "cell"]).select("node", "hub")).where("node <> hub").distinct()
+    rare = tokens.join(F.broadcast(late), "token", "left_anti").repartition("token").sortWithinPartitions("token", "n_shingles", "node")
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, hub = None, None
+        """Nodes of a token in order of size; a run, in which each set is large enough for the next, has its first node as hub."""
+        token, size, hub = None, 0, 0
         for b in batches:
-            t, v = b.column(0).to_numpy(), b.column(1).to_numpy()
+            t, v, n_ = (b.column(i).to_numpy() for i in range(3))
+            if not len(t):
+                continue
             new = np.ones(len(t), bool)
-            new[1:] = t[1:] != t[:-1]
-            if len(t) and t[0] == token:
-                new[0] = False
-            group = np.cumsum(new)
-            firsts = np.concatenate(([hub if hub is not None else 0], v[new]))
-            hubs_ = firsts[group]
-            if len(t):
-                token, hub = t[-1], hubs_[-1]
+            new[1:] = (t[1:] != t[:-1]) | (n_[:-1] * den < n_[1:] * num)
+            new[0] = t[0] != token or size * den < n_[0] * num
+            hubs_ = np.concatenate(([hub], v[new]))[np.cumsum(new)]
+            token, size, hub = t[-1], int(n_[-1]), hubs_[-1]
             pairs = np.unique(np.stack((v, hubs_), axis=1)[v != hubs_], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy(), pa.int64()), pa.array(pairs[:, 1].copy(), pa.int64())], names=["node", "hub"])
 
@@ -268,8 +270,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(np.diff(cuts).astype(np.int64)), column], names=["node", "family", "n_shingles", "tokens"])
 
     members = stage(texts.mapInArrow(sets_of, "node long, family long, n_shingles long, tokens array<long>").dropDuplicates(["node"]).where("n_shingles > 0"), "jaccard-members")
-    step = float(-np.log(num / den))
-    links = stage(_search(_blocks(members.withColumn("_step", F.lit(step * (1 + 1e-9)))), num, den), "jaccard-links")
+    links = stage(_search(_blocks(members.withColumn("_step", F.lit(step))), num, den), "jaccard-links")
     classes = components(links)
     salted = classes.select(F.col("node").alias("cnode"), "component").withColumn("csalt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
     out = nodes.withColumn("salt", salt).join(salted, (F.col("node") == F.col("cnode")) & (F.col("salt") == F.col("csalt")), "left")

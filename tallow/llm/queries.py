@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallow.llm import chat, extraction, jaccard, mixing, packing, quality, syncmers, warc
+from tallow.llm import chat, extraction, jaccard, lm, mixing, packing, quality, syncmers, warc
 from tallow.llm.common import stage, table
 
 
@@ -27,6 +27,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, archives = warc.write_warc(table(spark, sf_dir, "pages"))
     back = warc.read_warc(stage(archives, "warc-archives"), folder)
@@ -61,7 +65,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_syncmer_fingerprints, op2_source_mixing, op3_quality_rules, op4_best_fit_packing, op6_warc_archives, op7_ngram_jaccard_join, op9_html_extraction, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_syncmer_fingerprints, op2_source_mixing, op3_quality_rules, op4_best_fit_packing, op5_lm_scoring, op6_warc_archives, op7_ngram_jaccard_join, op9_html_extraction, op10_chat_formatting)}
 
 SQL: dict[str, str] = {}
 
