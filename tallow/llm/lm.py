@@ -9,6 +9,7 @@ corpus, a matrix of fixed size summed by Spark; batched matrix products normalis
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -174,7 +175,7 @@ class LogBilinear:
         return out
 
 
-_tables: dict[int, np.ndarray] = {}
+_tables: dict[str, np.ndarray] = {}
 PARTS = "id long, held boolean, n_tokens long, n_known long, base double, own double, tail array<long>, times array<int>"
 
 
@@ -190,15 +191,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     vocabulary = Vocabulary(counts)
     model = LogBilinear(CLASSES + 1, CLASSES)
     model.fit(pair_counts(train, vocabulary, "text"))
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, model))
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, model, uuid.uuid4().hex))
     log_all = float(np.log10(vocabulary.n + vocabulary.v + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, m = shared.value
-        if id(shared) not in _tables:
+        voc, m, key = shared.value
+        if key not in _tables:
             _tables.clear()
-            _tables[id(shared)] = m.table()
-        logp = _tables[id(shared)]
+            _tables[key] = m.table()
+        logp = _tables[key]
         for b in batches:
             for w in words(b.column(1)):
                 cls, count, known = voc.look(w)
