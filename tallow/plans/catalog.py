@@ -45,9 +45,9 @@ for _name, _text in TEXT.items():
     _add(_name, _sql_query(_text), _text)
 
 
-def rounded(df: DataFrame, *keys: str) -> DataFrame:
-    """Keys, and doubles to eight places: prices over a quantity of 32 end in a five at the seventh."""
-    return df.select(*keys, *[F.round(c, 8).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes if c not in keys])
+def rounded(df: DataFrame, *keys: str, places: int = 8) -> DataFrame:
+    """Keys as they are, and doubles to eight places (prices over a quantity of 32 end in a five at the seventh) or fewer, for long sums."""
+    return df.select(*keys, *[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes if c not in keys])
 
 
 def gold_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,7 @@ _add("gold_analytics", lambda s, d: rounded(gold_1d(s, d).drop("asset_class", "e
 
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ["roc_10", "roc_20", "stoch_k", "stoch_d", "sma_50", "sma_100", "bb_upper", "bb_lower", "bb_width", "obv", "vwap", "volume_ratio", "returns_5p", "returns_20p", "hl_ratio", "close_position", "prev_close", "prev_volume"]
-    return rounded(indicators.window_indicators(bars_1d(spark, sf_dir)).select("asset_symbol", "date", *cols), "asset_symbol", "date")
+    return rounded(indicators.window_indicators(bars_1d(spark, sf_dir)).select("asset_symbol", "date", *cols), "asset_symbol", "date", "prev_close", places=6)
 
 
 _add(
@@ -91,10 +91,10 @@ _add(
     f"""WITH a AS (SELECT *, {_LAG('close')} AS p1, {_LAG('close', 5)} AS p5, {_LAG('close', 10)} AS p10, {_LAG('close', 20)} AS p20, (high + low + close) / 3 * volume AS tv, {_LAG('volume')} AS pv FROM bars_1d),
     b AS (SELECT *, {_ROLL('min', 'low', 14)} AS l14, {_ROLL('max', 'high', 14)} AS h14, {_ROLL('avg', 'close', 20)} AS m20, {_ROLL('stddev_pop', 'close', 20)} AS s20, {_ROLL('sum', 'tv', 14)} AS tv14, {_ROLL('sum', 'volume', 14)} AS v14, {_ROLL('avg', 'volume', 20)} AS vs20, {_ROLL('avg', 'close', 50)} AS s50, {_ROLL('avg', 'close', 100)} AS s100 FROM a),
     c AS (SELECT *, 100 * (close - l14) / nullif(h14 - l14, 0) AS k FROM b)
-    SELECT asset_symbol, date, round((close / p10 - 1) * 100, 8) AS roc_10, round((close / p20 - 1) * 100, 8) AS roc_20, round(k, 8) AS stoch_k, round({_ROLL('avg', 'k', 3)}, 8) AS stoch_d, round(s50, 8) AS sma_50, round(s100, 8) AS sma_100,
-      round(m20 + 2 * s20, 8) AS bb_upper, round(m20 - 2 * s20, 8) AS bb_lower, round(4 * s20 / nullif(m20, 0) * 100, 8) AS bb_width, round(sum(CASE WHEN close < p1 THEN -volume ELSE volume END) OVER (PARTITION BY asset_symbol ORDER BY date ROWS UNBOUNDED PRECEDING), 8) AS obv,
-      round(tv14 / nullif(v14, 0), 8) AS vwap, round(volume / CASE WHEN vs20 = 0 THEN 1 ELSE vs20 END, 8) AS volume_ratio, round(close / p5 - 1, 8) AS returns_5p, round(close / p20 - 1, 8) AS returns_20p, round((high - low) / close, 8) AS hl_ratio,
-      round((close - low) / CASE WHEN high - low = 0 THEN 1 ELSE high - low END, 8) AS close_position, round(p1, 8) AS prev_close, round(pv, 8) AS prev_volume FROM c""",
+    SELECT asset_symbol, date, round((close / p10 - 1) * 100, 6) AS roc_10, round((close / p20 - 1) * 100, 6) AS roc_20, round(k, 6) AS stoch_k, round({_ROLL('avg', 'k', 3)}, 6) AS stoch_d, round(s50, 6) AS sma_50, round(s100, 6) AS sma_100,
+      round(m20 + 2 * s20, 6) AS bb_upper, round(m20 - 2 * s20, 6) AS bb_lower, round(4 * s20 / nullif(m20, 0) * 100, 6) AS bb_width, round(sum(CASE WHEN close < p1 THEN -volume ELSE volume END) OVER (PARTITION BY asset_symbol ORDER BY date ROWS UNBOUNDED PRECEDING), 6) AS obv,
+      round(tv14 / nullif(v14, 0), 6) AS vwap, round(volume / CASE WHEN vs20 = 0 THEN 1 ELSE vs20 END, 6) AS volume_ratio, round(close / p5 - 1, 6) AS returns_5p, round(close / p20 - 1, 6) AS returns_20p, round((high - low) / close, 6) AS hl_ratio,
+      round((close - low) / CASE WHEN high - low = 0 THEN 1 ELSE high - low END, 6) AS close_position, p1 AS prev_close, round(pv, 6) AS prev_volume FROM c""",
 )
 _add(
     "indicators_recursive",
@@ -111,11 +111,11 @@ _add(
 )
 _add(
     "indicators_dashboard",
-    lambda s, d: rounded(indicators.dashboard_indicators(bars_1d(s, d)).select("asset_symbol", "date", "rsi_sma_14", "atr_sma_14", "bb_samp_upper", "vwap_cum", "obv_sign"), "asset_symbol", "date"),
+    lambda s, d: rounded(indicators.dashboard_indicators(bars_1d(s, d)).select("asset_symbol", "date", "rsi_sma_14", "atr_sma_14", "bb_samp_upper", "vwap_cum", "obv_sign"), "asset_symbol", "date", places=6),
     f"""WITH a AS (SELECT *, {_LAG('close')} AS p, row_number() {_W.format('')} AS rn FROM bars_1d), b AS (SELECT *, close - p AS d, greatest(high - low, abs(high - p), abs(low - p)) AS tr, greatest(close - p, 0) AS g, greatest(p - close, 0) AS l FROM a),
     c AS (SELECT *, avg(CASE WHEN d IS NULL THEN NULL ELSE g END) OVER w14 AS ag, avg(CASE WHEN d IS NULL THEN NULL ELSE l END) OVER w14 AS al, {_ROLL('avg', 'tr', 14)} AS atr, {_ROLL('avg', 'close', 20)} AS m, {_ROLL('stddev_samp', 'close', 20)} AS sd,
       sum((high + low + close) / 3 * volume) OVER wu AS tv, sum(volume) OVER wu AS v, sum(coalesce(sign(d) * volume, 0)) OVER wu AS obv FROM b WINDOW w14 AS (PARTITION BY asset_symbol ORDER BY date ROWS BETWEEN 13 PRECEDING AND CURRENT ROW), wu AS (PARTITION BY asset_symbol ORDER BY date ROWS UNBOUNDED PRECEDING))
-    SELECT asset_symbol, date, CASE WHEN rn > 14 THEN round(100 - 100 / (1 + ag / CASE WHEN al = 0 THEN 1e-10 ELSE al END), 8) END AS rsi_sma_14, round(atr, 8) AS atr_sma_14, round(m + 2 * sd, 8) AS bb_samp_upper, round(tv / CASE WHEN v = 0 THEN 1 ELSE v END, 8) AS vwap_cum, round(obv, 8) AS obv_sign FROM c""",
+    SELECT asset_symbol, date, CASE WHEN rn > 14 THEN round(100 - 100 / (1 + ag / CASE WHEN al = 0 THEN 1e-10 ELSE al END), 6) END AS rsi_sma_14, round(atr, 6) AS atr_sma_14, round(m + 2 * sd, 6) AS bb_samp_upper, round(tv / CASE WHEN v = 0 THEN 1 ELSE v END, 6) AS vwap_cum, round(obv, 6) AS obv_sign FROM c""",
 )
 _add("feature_table", lambda s, d: indicators.features(gold_1d(s, d)))
 _add("targets", lambda s, d: rounded(modelling.targets(bars_1d(s, d)).select("asset_symbol", "date", "target", "target_direction"), "asset_symbol", "date"), "WITH a AS (SELECT asset_symbol, date, lead(close) OVER (PARTITION BY asset_symbol ORDER BY date) / close - 1 AS t FROM bars_1d) SELECT asset_symbol, date, round(t, 8) AS target, coalesce(t > 0, false)::INT AS target_direction FROM a")
