@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallow.llm.common import stage
+from tallow.llm.common import stage, unstage
 from tallow.llm.components import components
 from tallow.llm.wordhash import mix, words
 
@@ -28,6 +28,8 @@ HEAVY = 3
 HEAVY_KEPT = 1 << 19  # tokens put last in order, the most common first; a bound on what is broadcast, results do not depend on it
 BLOCK = 1000
 SALTS = 16
+BROADCAST_FAMILIES = 100_000  # rows of about 100 bytes
+BROADCAST_NODES = 1_000_000  # rows of two longs
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -200,8 +202,12 @@ def _blocks(members: DataFrame) -> DataFrame:
     m = members.withColumn("cell", cell)
     cells = m.groupBy("family", "cell").agg(F.count(F.lit(1)).alias("n"))
     sizes = cells.groupBy("family").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("cell", F.ceil(F.col("n") / BLOCK).cast("int")))).alias("parts"))
-    sizes = sizes.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    m = m.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(sizes, ["family", "salt"])
+    sizes = stage(sizes, "jaccard-families")
+    if sizes.count() <= BROADCAST_FAMILIES:
+        m = m.join(F.broadcast(sizes), "family")
+    else:
+        sizes = sizes.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+        m = m.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(sizes, ["family", "salt"])
     whole = m.where(F.col("total") <= BLOCK).withColumns({"task": F.xxhash64("family"), "side": F.lit(0)})
     big = m.where(F.col("total") > BLOCK)
     k = lambda c: F.coalesce(F.element_at("parts", c), F.lit(0))
@@ -231,6 +237,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     nodes = nodes.withColumn("node", F.when(F.col("sig").isNotNull(), F.coalesce("first", "doc_id")))
     own = F.col("node") == F.col("doc_id")
     nodes = stage(nodes.select("doc_id", "n_shingles", "node", F.when(own, F.col("prefix")).alias("prefix")), "jaccard-nodes")
+    unstage(heads)
 
     step = float(-np.log(num / den)) * (1 + 1e-9)
     tokens = nodes.where("prefix is not null").select(F.explode("prefix").alias("token"), "node", "n_shingles")
@@ -261,6 +268,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     families = components(shared.select(F.col("node").alias("u"), F.col("hub").alias("v")))
     families = families.select(F.col("node").alias("fnode"), F.col("component").alias("family"))
 
+    # A few members are sent to the texts; beyond that, both are shuffled by node.
+    families = F.broadcast(families) if families.count() <= BROADCAST_NODES else families
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(families, F.col("node") == F.col("fnode")).drop("fnode")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +278,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
                 column = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(sets.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(np.diff(cuts).astype(np.int64)), column], names=["node", "family", "n_shingles", "tokens"])
 
-    members = stage(texts.mapInArrow(sets_of, "node long, family long, n_shingles long, tokens array<long>").dropDuplicates(["node"]).where("n_shingles > 0"), "jaccard-members")
+    members = stage(texts.mapInArrow(sets_of, "node long, family long, n_shingles long, tokens array<long>").where("n_shingles > 0"), "jaccard-members")
     links = stage(_search(_blocks(members.withColumn("_step", F.lit(step))), num, den), "jaccard-links")
     classes = components(links)
     salted = classes.select(F.col("node").alias("cnode"), "component").withColumn("csalt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
