@@ -26,7 +26,7 @@ from tallow.llm.wordhash import mix, words
 
 HEAVY = 3
 HEAVY_KEPT = 1 << 19  # tokens put last in order, the most common first; a bound on what is broadcast, results do not depend on it
-BLOCK = 1000
+BLOCK = 4000
 SALTS = 16
 BROADCAST_FAMILIES = 100_000  # rows of about 100 bytes
 BROADCAST_NODES = 1_000_000  # rows of two longs
