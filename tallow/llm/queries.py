@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallow.llm import chat, extraction, jaccard, lm, mixing, packing, quality, syncmers, warc
+from tallow.llm import chat, extraction, jaccard, licenses, lm, mixing, packing, quality, syncmers, warc
 from tallow.llm.common import stage, table
 
 
@@ -41,6 +41,11 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_sentences", F.size("sentence_ids").cast("long").alias("n_license_sentences"), "license")
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract_main_text(table(spark, sf_dir, "pages"))
 
@@ -65,7 +70,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_syncmer_fingerprints, op2_source_mixing, op3_quality_rules, op4_best_fit_packing, op5_lm_scoring, op6_warc_archives, op7_ngram_jaccard_join, op9_html_extraction, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_syncmer_fingerprints, op2_source_mixing, op3_quality_rules, op4_best_fit_packing, op5_lm_scoring, op6_warc_archives, op7_ngram_jaccard_join, op8_license_scan, op9_html_extraction, op10_chat_formatting)}
 
 SQL: dict[str, str] = {}
 
