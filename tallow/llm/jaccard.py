@@ -27,9 +27,10 @@ from tallow.llm.wordhash import mix, words
 HEAVY = 3
 HEAVY_KEPT = 1 << 19  # tokens put last in order, the most common first; a bound on what is broadcast, results do not depend on it
 BLOCK = 4000
+BLOCK_TOKENS = 6_000_000
 SALTS = 16
 BROADCAST_FAMILIES = 100_000  # rows of about 100 bytes
-BROADCAST_NODES = 1_000_000  # rows of two longs
+BROADCAST_NODES = 200_000  # rows of about 100 bytes
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -112,16 +113,18 @@ def divide_skip(sets: list[np.ndarray], queries: range, index: range, num: int,
     search for the candidates alone. Candidates already in the query's class need no check.
     """
     size = np.array([len(s) for s in sets])
-    docs = np.repeat(np.array(index, np.int64), size[index.start : index.stop])
+    docs = np.repeat(np.array(index, np.int32), size[index.start : index.stop])
     if not len(docs):
         return []
     flat = np.concatenate([sets[i] for i in index])
-    order = np.lexsort((docs, flat))
+    order = np.argsort(flat, kind="stable")  # docs ascend already
     flat, docs = flat[order], docs[order]
-    tokens, first = np.unique(flat, return_index=True)
-    bounds = np.append(first, len(flat))
-    rank = np.repeat(np.arange(len(tokens)), np.diff(bounds))
-    posting = rank * len(sets) + docs
+    del order
+    first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+    tokens, bounds = flat[first], np.append(first, len(flat))
+    del flat
+    posting = np.repeat(np.arange(len(tokens)) * len(sets), np.diff(bounds))
+    posting += docs
     links = []
     for q in queries:
         spot = np.searchsorted(tokens, sets[q])
@@ -159,20 +162,22 @@ def divide_skip(sets: list[np.ndarray], queries: range, index: range, num: int,
     return links
 
 
-def _search(blocks: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (u, v) that span each block's classes. blocks: task, side (0 in the block searched, 1 asking), node, tokens; sorted by task."""
+INDEX, ASKS, BOTH = 0, 1, 2
+
+
+def _search(placed: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (u, v) that span each block's classes. placed: task, side (INDEX: is searched, ASKS: searches, BOTH), node, tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, held = None, []
 
         def solve() -> pa.RecordBatch:
-            rows = sorted(held, key=lambda r: (r[0], r[1]))
-            sets, nodes, base = [r[2] for r in rows], [r[1] for r in rows], sum(r[0] == 0 for r in rows)
-            group = np.arange(len(rows))
-            if base == len(rows):
-                links = divide_skip(sets, range(len(rows)), range(len(rows)), num, den, group)
-            else:
-                links = divide_skip(sets, range(base, len(rows)), range(base), num, den, group)
+            # Those searched come first, those that ask last, those that do both between.
+            rows = sorted(held, key=lambda r: (r[0] == ASKS, r[0], r[1]))
+            held.clear()
+            sides, nodes, sets = (list(x) for x in zip(*rows, strict=True))
+            asking, searched = range(sides.count(INDEX), len(rows)), range(len(rows) - sides.count(ASKS))
+            links = divide_skip(sets, asking, searched, num, den, np.arange(len(rows)))
             return pa.RecordBatch.from_arrays([pa.array([nodes[a] for a, _ in links], pa.int64()), pa.array([nodes[b] for _, b in links], pa.int64())], names=["u", "v"])
 
         for b in batches:
@@ -188,38 +193,43 @@ def _search(blocks: DataFrame, num: int, den: int) -> DataFrame:
         if len(held) > 1:
             yield solve()
 
-    return blocks.repartition("task").sortWithinPartitions("task", "side", "node").mapInArrow(run, "u long, v long")
+    return placed.repartition("task").sortWithinPartitions("task").mapInArrow(run, "u long, v long")
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """members (family, node, n_shingles, ...) with task and side, one row per block that a node takes part in.
+def _blocks(members: DataFrame, step: float) -> DataFrame:
+    """members (family, node, n_shingles) as one row per node: node and places, the blocks (task, side) that it takes part in.
 
-    A family of up to BLOCK nodes is one task. A larger one is cut into cells of set sizes (a link joins the
-    same or neighbouring cells) and each cell by hash into parts of about BLOCK nodes; each part meets every
-    part of its own cell and of the next one.
+    A family of up to BLOCK nodes and BLOCK_TOKENS tokens is one task. A larger one is cut into cells of set
+    sizes (a link joins the same or neighbouring cells) and each cell by hash into parts of about that size; each
+    part meets every part of its own cell and of the next one. Two neighbouring cells of one part share a task.
     """
-    cell = F.floor(F.log(F.col("n_shingles")) / F.col("_step")).cast("int")
-    m = members.withColumn("cell", cell)
-    cells = m.groupBy("family", "cell").agg(F.count(F.lit(1)).alias("n"))
-    sizes = cells.groupBy("family").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("cell", F.ceil(F.col("n") / BLOCK).cast("int")))).alias("parts"))
+    m = members.withColumn("cell", F.floor(F.log(F.col("n_shingles")) / F.lit(step)).cast("int"))
+    cells = m.groupBy("family", "cell").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_TOKENS)).cast("int")
+    sizes = cells.groupBy("family").agg(((F.sum("n") <= BLOCK) & (F.sum("s") <= BLOCK_TOKENS)).alias("one"), F.map_from_entries(F.collect_list(F.struct("cell", parts.alias("p")))).alias("parts"))
     sizes = stage(sizes, "jaccard-families")
     if sizes.count() <= BROADCAST_FAMILIES:
         m = m.join(F.broadcast(sizes), "family")
     else:
         sizes = sizes.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
         m = m.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(sizes, ["family", "salt"])
-    whole = m.where(F.col("total") <= BLOCK).withColumns({"task": F.xxhash64("family"), "side": F.lit(0)})
-    big = m.where(F.col("total") > BLOCK)
-    k = lambda c: F.coalesce(F.element_at("parts", c), F.lit(0))
-    big = big.withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), k(F.col("cell"))).cast("int"))
-    # Pairs (cell, part, cell, part): first the block that is searched, then the one that asks.
+    k = lambda c: F.coalesce(F.try_element_at("parts", c), F.lit(0))
+    cell, before, after = F.col("cell"), F.col("cell") - 1, F.col("cell") + 1
+    m = m.withColumns({"k": k(cell), "part": F.pmod(F.xxhash64("node", F.lit(1)), k(cell)).cast("int")})
+    # A task is named by (cell, part, cell, part): first the block that is searched, then the one that asks.
     upto = lambda n: F.filter(F.sequence(F.lit(0), n), lambda j: j < n)
-    own = F.transform(upto(k(F.col("cell"))), lambda j: F.struct(F.col("cell").alias("c1"), F.least(j, "part").alias("p1"), F.col("cell").alias("c2"), F.greatest(j, "part").alias("p2"), (F.col("part") > j).cast("int").alias("side")))
-    above = F.transform(upto(k(F.col("cell") + 1)), lambda j: F.struct(F.col("cell").alias("c1"), F.col("part").alias("p1"), (F.col("cell") + 1).alias("c2"), j.alias("p2"), F.lit(0).alias("side")))
-    below = F.transform(upto(k(F.col("cell") - 1)), lambda j: F.struct((F.col("cell") - 1).alias("c1"), j.alias("p1"), F.col("cell").alias("c2"), F.col("part").alias("p2"), F.lit(1).alias("side")))
-    big = big.withColumn("x", F.explode(F.concat(own, above, below)))
-    big = big.withColumns({"task": F.xxhash64("family", "x.c1", "x.p1", "x.c2", "x.p2"), "side": F.col("x.side")})
-    return whole.select("task", "side", "node", "tokens").unionByName(big.select("task", "side", "node", "tokens"))
+    place = lambda side, *of: F.struct(F.xxhash64("family", *of).alias("task"), side.cast("int").alias("side"))
+    none = F.array().cast("array<struct<task:bigint,side:int>>")
+    own_side = lambda j: F.when(F.col("part") == j, F.lit(BOTH)).when(F.col("part") > j, F.lit(ASKS)).otherwise(F.lit(INDEX))
+    own = F.transform(upto(F.col("k")), lambda j: place(own_side(j), cell, F.least(j, "part"), cell, F.greatest(j, "part")))
+    above = F.transform(upto(k(after)), lambda j: place(F.lit(INDEX), cell, F.col("part"), after, j))
+    above = F.when((F.col("k") == 1) & (k(after) == 1), none).otherwise(above)
+    below = F.transform(upto(k(before)), lambda j: place(F.lit(ASKS), before, j, cell, F.col("part")))
+    zero = F.lit(0)
+    below = F.when((F.col("k") == 1) & (k(before) == 1), F.array(place(F.lit(ASKS), before, zero, before, zero))).otherwise(below)
+    places = F.when(F.col("one"), F.array(F.struct(F.xxhash64("family").alias("task"), F.lit(BOTH).alias("side")))).otherwise(F.concat(own, above, below))
+    # An id that several texts bear has the places of each.
+    return m.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list(places))).alias("places"))
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,21 +275,23 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy(), pa.int64()), pa.array(pairs[:, 1].copy(), pa.int64())], names=["node", "hub"])
 
     shared = rare.mapInArrow(star, "node long, hub long").unionByName(near)
-    families = components(shared.select(F.col("node").alias("u"), F.col("hub").alias("v")))
-    families = families.select(F.col("node").alias("fnode"), F.col("component").alias("family"))
+    families = components(shared.select(F.col("node").alias("u"), F.col("hub").alias("v"))).withColumnRenamed("component", "family")
+    sizes = nodes.where("prefix is not null").select("node", "n_shingles").distinct()
+    places = stage(_blocks(sizes.join(families, "node"), step), "jaccard-places").withColumnRenamed("node", "pnode")
 
-    # A few members are sent to the texts; beyond that, both are shuffled by node.
-    families = F.broadcast(families) if families.count() <= BROADCAST_NODES else families
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(families, F.col("node") == F.col("fnode")).drop("fnode")
+    # Few places are sent to the texts; beyond that, both are shuffled by node.
+    places = F.broadcast(places) if places.count() <= BROADCAST_NODES else places
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(places, F.col("node") == F.col("pnode")).drop("pnode")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, sets, cuts in shingle_sets(b.column(1), n):
                 column = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(sets.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(np.diff(cuts).astype(np.int64)), column], names=["node", "family", "n_shingles", "tokens"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), column], names=["node", "places", "tokens"])
 
-    members = stage(texts.mapInArrow(sets_of, "node long, family long, n_shingles long, tokens array<long>").where("n_shingles > 0"), "jaccard-members")
-    links = stage(_search(_blocks(members.withColumn("_step", F.lit(step))), num, den), "jaccard-links")
+    members = texts.mapInArrow(sets_of, "node long, places array<struct<task:long,side:int>>, tokens array<long>").where(F.size("tokens") > 0)
+    placed = members.select(F.explode("places").alias("at"), "node", "tokens").select("at.task", "at.side", "node", "tokens")
+    links = stage(_search(placed, num, den), "jaccard-links")
     classes = components(links)
     salted = classes.select(F.col("node").alias("cnode"), "component").withColumn("csalt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
     out = nodes.withColumn("salt", salt).join(salted, (F.col("node") == F.col("cnode")) & (F.col("salt") == F.col("csalt")), "left")
