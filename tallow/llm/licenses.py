@@ -10,33 +10,125 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Identifiers of licence sentences, by normalised text.
+# Identifiers of licence sentences, by normalised text. An identifier is a letter for the licence and a digit for the sentence.
 SENTENCES = {
-    "all rights reserved": "R",
-    "licensed under the mit license": "M0",
-    "permission is hereby granted free of charge to any person obtaining a copy": "M1",
-    "the software is provided as is without warranty of any kind": "W",
-    "licensed under the apache license version 2 0": "A0",
-    "you may not use this file except in compliance with the license": "A1",
+    "all rights reserved": "R0",
+    "mit license": "M0",
+    "the mit license": "M0",
+    "the mit license mit": "M0",
+    "licensed under the mit license": "M1",
+    "released under the mit license": "M1",
+    "this work is licensed under the mit license": "M1",
+    "this project is licensed under the mit license": "M1",
+    "distributed under the mit license": "M1",
+    "permission is hereby granted free of charge to any person obtaining a copy": "M2",
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "M3",
+    "the software is provided as is without warranty of any kind": "W0",
+    "apache license": "A0",
+    "licensed under the apache license version 2 0": "A1",
+    "released under the apache license version 2 0": "A1",
+    "this work is licensed under the apache license version 2 0": "A1",
+    "licensed under the apache license version 2 0 the license": "A1",
+    "you may not use this file except in compliance with the license": "A2",
+    "you may obtain a copy of the license at": "A3",
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "B0",
     "redistribution and use in source and binary forms are permitted": "B0",
-    "this program is free software": "G0",
-    "you can redistribute it under the terms of the gnu general public license": "G1",
+    "released under the bsd license": "B1",
+    "licensed under the bsd license": "B1",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "B2",
+    "gnu general public license": "G0",
+    "this program is free software": "G1",
+    "you can redistribute it under the terms of the gnu general public license": "G2",
+    "this work is licensed under the gnu general public license version 3": "G3",
+    "licensed under the gnu general public license version 3": "G3",
+    "released under the gnu general public license version 3": "G3",
+    "licensed under the gnu general public license version 2": "G4",
+    "released under the gnu general public license version 2": "G4",
+    "licensed under the gnu lesser general public license version 3": "L0",
+    "licensed under the gnu affero general public license version 3": "F0",
+    "licensed under the mozilla public license version 2 0": "P0",
+    "this source code form is subject to the terms of the mozilla public license v 2 0": "P0",
+    "licensed under cc by 4 0": "C0",
     "this work is licensed under a creative commons attribution 4 0 license": "C0",
+    "this work is licensed under a creative commons attribution 4 0 international license": "C0",
+    "licensed under cc by sa 4 0": "C1",
+    "this work is licensed under a creative commons attribution sharealike 4 0 international license": "C1",
+    "licensed under cc by nc 4 0": "C2",
+    "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "C2",
+    "licensed under cc by nd 4 0": "C3",
+    "licensed under cc0 1 0": "C4",
+    "this is free and unencumbered software released into the public domain": "U0",
 }
-# Ordered rules: name and the sentences that must follow one another (others may stand between).
-RULES = [("mit", ["M1", "W"]), ("mit-short", ["M0"]), ("apache-2.0", ["A0", "A1"]), ("apache-2.0-short", ["A0"]), ("bsd", ["B0"]), ("gpl", ["G0", "G1"]), ("cc-by-4.0", ["C0"]), ("proprietary", ["R"])]
+# Ordered rules, the name of the licence and the sentences that must follow one another (others may stand between). The first match is the licence of the text.
+RULES = [
+    ("mit", ["M2", "M3", "W0"]),
+    ("mit", ["M2", "W0"]),
+    ("mit", ["M1"]),
+    ("apache-2.0", ["A1", "A2"]),
+    ("apache-2.0", ["A1"]),
+    ("bsd-3-clause", ["B0", "B2"]),
+    ("bsd", ["B0"]),
+    ("bsd", ["B1"]),
+    ("gpl-3.0", ["G3"]),
+    ("gpl-2.0", ["G4"]),
+    ("gpl", ["G1", "G2"]),
+    ("lgpl-3.0", ["L0"]),
+    ("agpl-3.0", ["F0"]),
+    ("mpl-2.0", ["P0"]),
+    ("cc-by-nc-4.0", ["C2"]),
+    ("cc-by-sa-4.0", ["C1"]),
+    ("cc-by-nd-4.0", ["C3"]),
+    ("cc-by-4.0", ["C0"]),
+    ("cc0-1.0", ["C4"]),
+    ("unlicense", ["U0"]),
+    ("mit-name", ["M0"]),
+    ("apache-name", ["A0"]),
+    ("gpl-name", ["G0"]),
+    ("all-rights-reserved", ["R0"]),
+]
+SENTENCE_END = r"[.!?]+(?=[\x20\x09-\x0D]|$)|[:;](?=[\x20\x09-\x0D])|\n"
+NOT_IN_WORDS = r"[^0-9a-z]+"
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
-    """docs with sentence_ids (array, in text order), license (first matching rule, else null) and n_sentences.
+    """docs with sentence_ids (array, in text order), licenses (names of all rules that match, in their order), license (the first, else null) and n_sentences.
 
-    A null or empty text has no sentences and no license. Other columns pass through.
+    Sentences end at a full stop, exclamation or question mark before white space or the end, a colon or semicolon
+    before white space, and a line's end. Normalised, they are lower-case ASCII letters and digits with single
+    blanks; those without any do not count. A null or empty text has no sentences and no license. Repeated
+    rows are judged alike, a table without rows gives none, and other columns pass through.
     """
     known = F.create_map(*[F.lit(x) for kv in sentences.items() for x in kv])
-    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    parts = F.transform(F.split(text, r"[.!?]+(?=\s|$)|\n"), lambda x: F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " ")))
-    out = docs.withColumn("_s", F.filter(parts, lambda x: x != ""))
-    out = out.withColumn("n_sentences", F.size("_s").cast("long")).withColumn("sentence_ids", F.filter(F.transform("_s", lambda x: F.try_element_at(known, x)), lambda x: x.isNotNull()))
-    row = F.concat(F.lit(" "), F.array_join("sentence_ids", " "), F.lit(" "))
-    verdict = F.coalesce(*[F.when(row.rlike("".join(f" {i}(?= ).*" for i in ids)), F.lit(name)) for name, ids in rules])
-    return out.withColumn("license", verdict).drop("_s")
+    lower = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    parts = F.filter(F.transform(F.split(lower, SENTENCE_END), lambda x: F.trim(F.regexp_replace(x, NOT_IN_WORDS, " "))), lambda x: x != "")
+    found = F.filter(F.transform("_license_s", lambda x: F.try_element_at(known, x)), lambda x: x.isNotNull())
+    row = F.concat(F.lit(" "), F.array_join("_license_ids", " "), F.lit(" "))
+    names = F.array(*[F.when(row.rlike("".join(f" {i}(?= ).*" for i in ids)), F.lit(name)) for name, ids in rules])
+    out = docs.withColumn("_license_s", parts).withColumn("_license_ids", found)
+    out = out.withColumn("_license_names", F.array_distinct(F.filter(names, lambda x: x.isNotNull())))
+    new = {"sentence_ids": F.col("_license_ids"), "licenses": F.col("_license_names"), "license": F.try_element_at("_license_names", F.lit(1)), "n_sentences": F.size("_license_s").cast("long")}
+    return out.withColumns(new).drop("_license_s", "_license_ids", "_license_names")
+
+
+def scan_sql(sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES, source: str = "documents") -> str:
+    """The same scan in DuckDB's SQL: doc_id, n_sentences, n_license_sentences, license and license_names."""
+    known = ", ".join(f"('{s}', '{i}')" for s, i in sentences.items())
+    ranked = ", ".join(f"({k}, '{name}', '{'.* '.join(f' {i} '.rstrip() for i in ids)} ')" for k, (name, ids) in enumerate(rules))
+    return rf"""
+WITH known AS (SELECT * FROM (VALUES {known}) t(sentence, id)
+), rules AS (SELECT * FROM (VALUES {ranked}) t(k, name, pattern)
+), s AS (
+  SELECT doc_id, row, i, sentence FROM (
+    SELECT doc_id, row, unnest(list_transform(parts, lambda x: trim(regexp_replace(x, '[^0-9a-z]+', ' ', 'g')))) AS sentence, unnest(range(len(parts))) AS i FROM (
+      SELECT doc_id, row_number() OVER () AS row, string_split(regexp_replace(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.!?]+([\x20\x09-\x0D]|$)', chr(10), 'g'), '[:;][\x20\x09-\x0D]', chr(10), 'g'), chr(10)) AS parts FROM {source}))
+), d AS (
+  SELECT doc_id, row, count(*) FILTER (WHERE sentence <> '')::BIGINT AS n_sentences, count(id)::BIGINT AS n_license_sentences,
+    ' ' || coalesce(string_agg(id, '  ' ORDER BY i) FILTER (WHERE id IS NOT NULL), '') || ' ' AS ids FROM s LEFT JOIN known USING (sentence) GROUP BY doc_id, row
+), m AS (
+  SELECT doc_id, row, name, min(k) AS k FROM d JOIN rules ON regexp_matches(ids, pattern) GROUP BY doc_id, row, name
+), v AS (
+  SELECT row, arg_min(name, k) AS license, string_agg(name, ',' ORDER BY k) AS license_names FROM m GROUP BY row
+)
+SELECT doc_id, n_sentences, n_license_sentences, license, coalesce(license_names, '') AS license_names FROM d LEFT JOIN v USING (row)
+"""

@@ -43,7 +43,7 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_sentences", F.size("sentence_ids").cast("long").alias("n_license_sentences"), "license")
+    return found.select("doc_id", "n_sentences", F.size("sentence_ids").cast("long").alias("n_license_sentences"), "license", F.array_join("licenses", ",").alias("license_names"))
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_syncmer_fingerprints, op2_source_mixing, op3_quality_rules, op4_best_fit_packing, op5_lm_scoring, op6_warc_archives, op7_ngram_jaccard_join, op8_license_scan, op9_html_extraction, op10_chat_formatting)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_license_scan": licenses.scan_sql()}
 
 SQL["op2_source_mixing"] = r"""
 WITH RECURSIVE keyed AS (

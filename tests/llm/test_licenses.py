@@ -1,8 +1,36 @@
+import duckdb
+
 from tallow.llm import licenses
 
+GRANT, WARRANTY = "Permission is hereby granted, free of charge, to any person obtaining a copy.", 'The software is provided "as is", without warranty of any kind.'
+CASES = [
+    (1, f"{GRANT} Other words. {WARRANTY}", ["mit"]),
+    (2, f"{WARRANTY} {GRANT}", []),
+    (3, "All rights reserved.\nx", ["all-rights-reserved"]),
+    (4, None, []),
+    (5, "", []),
+    (5, "", []),
+    (6, "Text. Released under the MIT License.\nLicensed under CC BY-NC 4.0.", ["mit", "cc-by-nc-4.0"]),
+    (7, "This work is licensed under the GNU General Public License, version 3.", ["gpl-3.0"]),
+    (8, "Licensed under the Apache License, Version 2.0.", ["apache-2.0"]),
+    (9, "He licensed under the MIT License nothing at all", []),
+    (None, "... !!! é", []),
+    (10, "word " * 50_000 + ". All rights reserved!", ["all-rights-reserved"]),
+]
+
 
 def test_rules_follow_the_order_of_sentences(spark):
-    grant, warranty = "Permission is hereby granted, free of charge, to any person obtaining a copy.", 'The software is provided "as is", without warranty of any kind.'
-    rows = [(1, f"{grant} Other words. {warranty}"), (2, f"{warranty} {grant}"), (3, "All rights reserved.\nx"), (4, None), (5, ""), (5, "")]
-    got = [(r.doc_id, r.license) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
-    assert sorted(got, key=str) == sorted([(1, "mit"), (2, None), (3, "proprietary"), (4, None), (5, None), (5, None)], key=str)
+    docs = spark.createDataFrame([(i, t, "kept") for i, t, _ in CASES], "doc_id long, text string, sentence string")
+    got = licenses.scan_licenses(docs)
+    assert got.columns[:3] == docs.columns
+    assert sorted((str(r.doc_id), r.licenses, r.license) for r in got.collect()) == sorted((str(i), names, names[0] if names else None) for i, _, names in CASES)
+    assert licenses.scan_licenses(docs.limit(0)).count() == 0
+
+
+def test_the_sql_agrees(spark):
+    docs = spark.createDataFrame([(i, t) for i, t, _ in CASES], "doc_id long, text string")
+    db = duckdb.connect()
+    db.register("documents", docs.toArrow())
+    want = sorted(str((str(i), n, k, x)) for i, n, k, x, _ in db.sql(licenses.scan_sql()).fetchall())
+    got = sorted(str((str(r.doc_id), r.n_sentences, len(r.sentence_ids), r.license)) for r in licenses.scan_licenses(docs).collect())
+    assert got == want
