@@ -82,7 +82,10 @@ def apply_quality_rules(docs: DataFrame, max_loss: float = 0.4, min_words: int =
 
 def clean_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The kept documents with their failing lines removed; columns of docs."""
-    kept = apply_quality_rules(docs, text_col=text_col, **options).where("kept")
+    # The filter must stay above the figures: pushed into them, it would repeat their whole chain of expressions
+    # for each use. A condition on a column that is not deterministic (and always true) holds it there.
+    judged = apply_quality_rules(docs, text_col=text_col, **options).withColumn("_row", F.monotonically_increasing_id())
+    kept = judged.where(F.col("kept") & (F.col("_row") >= 0))
     kept = kept.withColumn(text_col, F.col("clean_text"))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length(text_col).cast("long"))
