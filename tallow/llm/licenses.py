@@ -1,12 +1,15 @@
 """License scans by sentence rules, with DataFrame functions only.
 
-Sentences are normalised and looked up as known licence sentences; each text becomes
-a string of sentence identifiers, against which ordered rules (first match wins) run.
+Known licence sentences are found in the normalised text, over line breaks too; each text
+becomes a string of sentence identifiers, against which ordered rules (first match wins) run.
 Everything happens inside the row: no shuffle.
 """
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,28 +89,125 @@ RULES = [
     ("gpl-name", ["G0"]),
     ("all-rights-reserved", ["R0"]),
 ]
-SENTENCE_END = r"[.!?]+(?=[\x20\x09-\x0D]|$)|[:;](?=[\x20\x09-\x0D])|\n"
-NOT_IN_WORDS = r"[^0-9a-z]+"
+_GNU = "you can redistribute it and or modify it under the terms of the gnu {} as published by the free software foundation"
+_LATER = (" either version {0} of the license or at your option any later version", " either version {0} or at your option any later version")
+_GNU_KINDS = [("general public license", "3", "G5"), ("general public license", "2", "G6"), ("lesser general public license", "3", "L1"), ("lesser general public license", "2 1", "L2"), ("affero general public license", "3", "F1")]
+_WARRANTY = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and {}"
+_GRANT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so"
+# Whole sentences of the published texts and headers, and common variants. A ". " stands for a sentence end inside, {} for a holder's name of 1 to 12 words.
+PUBLISHED = {
+    f"{_GRANT} subject to the following conditions": "M2",
+    _GRANT: "M4",
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "M3",
+    _WARRANTY.format("noninfringement"): "W0",
+    _WARRANTY.format("non infringement"): "W0",
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "W1",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "I0",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "I0",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "B3",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "B4",
+    "neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "B2",
+    "neither the name of {} nor the names of contributors may be used to endorse or promote products derived from this software without specific prior written permission": "B2",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement": "B5",
+    "this software is provided by {} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "B6",
+    "the asf licenses this file to you under the apache license version 2 0 the license": "A1",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "A4",
+    "see the license for the specific language governing permissions and limitations under the license": "A5",
+    "apache license version 2 0 january 2004": "A6",
+    "you can redistribute it and or modify it under the terms of the gnu general public license": "G2",
+    _GNU.format("general public license"): "G2",
+    _GNU.format("general public license") + ". version 2 of the license": "G4",
+    _GNU.format("general public license version 2"): "G4",
+    _GNU.format("general public license version 3"): "G3",
+    **{_GNU.format(kind) + tail.format(v): i for kind, v, i in _GNU_KINDS for tail in _LATER},
+    "gnu general public license version 3 29 june 2007": "G7",
+    "gnu general public license version 2 june 1991": "G8",
+    "gnu lesser general public license version 3 29 june 2007": "L3",
+    "gnu lesser general public license version 2 1 february 1999": "L4",
+    "gnu affero general public license version 3 19 november 2007": "F2",
+    "this source code form is subject to the terms of the mozilla public license v. 2 0": "P0",
+    "mozilla public license version 2 0": "P1",
+    **{
+        f"this {what} is {how} under the {name}": i
+        for what in ("project", "software", "program", "library", "work", "file", "code")
+        for how in ("licensed", "released", "distributed")
+        for name, i in (("mit license", "M1"), ("apache license version 2 0", "A1"), ("bsd license", "B1"), ("gnu general public license version 3", "G3"), ("gnu general public license version 2", "G4"), ("mozilla public license version 2 0", "P0"))
+    },
+}
+# Names in SPDX tags. Every operand of an expression counts; -only is the plain name of a rule.
+SPDX = (
+    "mit mit-0 isc apache-2.0 bsd-2-clause bsd-3-clause bsd-4-clause gpl-2.0 gpl-2.0-only gpl-2.0-or-later gpl-3.0 gpl-3.0-only gpl-3.0-or-later lgpl-2.1 lgpl-2.1-only lgpl-2.1-or-later lgpl-3.0 lgpl-3.0-only lgpl-3.0-or-later "
+    "agpl-3.0 agpl-3.0-only agpl-3.0-or-later mpl-2.0 cc-by-4.0 cc-by-sa-4.0 cc-by-nc-4.0 cc-by-nd-4.0 cc0-1.0 unlicense"
+).split()
+SPDX_IDS = {re.sub("[^0-9a-z]+", " ", name): f"S{k}" for k, name in enumerate(SPDX)}
+# Rules of the published texts and tags; they stand before RULES, which have the short forms.
+WHOLE_RULES = [
+    ("lgpl-3.0", ["L3"]),
+    ("lgpl-2.1", ["L4"]),
+    ("agpl-3.0", ["F2"]),
+    ("gpl-3.0", ["G7"]),
+    ("gpl-2.0", ["G8"]),
+    ("mpl-2.0", ["P1"]),
+    ("apache-2.0", ["A6"]),
+    ("mit-0", ["M4", "W0"]),
+    ("isc", ["I0"]),
+    ("bsd-4-clause", ["B0", "B5", "B2"]),
+    ("bsd-3-clause", ["B0", "B2"]),
+    ("bsd-2-clause", ["B0", "B3", "B4 B6"]),
+    ("gpl-3.0-or-later", ["G5"]),
+    ("gpl-2.0-or-later", ["G6"]),
+    ("lgpl-3.0-or-later", ["L1"]),
+    ("lgpl-2.1-or-later", ["L2"]),
+    ("agpl-3.0-or-later", ["F1"]),
+    *[(name.removesuffix("-only"), [f"S{k}"]) for k, name in enumerate(SPDX)],
+]
+MARKED_END = r"[.!?]+(?=[\x20\x09-\x0DS]|$)|[:;](?=[\x20\x09-\x0DS])"
+
+
+SPDX_TAG = "spdx license identifier"
+
+
+def sentence_pattern(sentence: str) -> str:
+    """A known sentence in marked text: its words apart by a blank or one line break."""
+    gap, end = "(?: ?S ?| )", " ?S? ?H ?S? ?"
+    return end.join(gap.join(f"[0-9a-z]+(?:{gap}[0-9a-z]+){{0,11}}?" if w == "{}" else w for w in part.split()) for part in sentence.split(". "))
+
+
+def any_sentence(sentences: list[str]) -> str:
+    """All known sentences and the SPDX tag as one expression, by their first words; the longest match first."""
+    by = defaultdict(list)
+    for x in sorted(sentences, key=len, reverse=True):
+        first, rest = x.split(None, 1) if " " in x else (x, "")
+        by[first].append(sentence_pattern(x)[len(first) :])
+    known = "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by.items())
+    return f"(?<=[HS]|[HS] )(?:{SPDX_TAG}(?: ?H ?| )[0-9a-z][0-9a-z ]*|(?:{known})(?= ?[HS]))"
 
 
-def scan_licenses(docs: DataFrame, text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
+def scan_licenses(docs: DataFrame, text_col: str = "text", sentences: dict[str, str] = SENTENCES | PUBLISHED, rules: list[tuple[str, list[str]]] = WHOLE_RULES + RULES) -> DataFrame:
     """docs with sentence_ids (array, in text order), licenses (names of all rules that match, in their order), license (the first, else null) and n_sentences.
 
     Sentences end at a full stop, exclamation or question mark before white space or the end, a colon or semicolon
-    before white space, and a line's end. Normalised, they are lower-case ASCII letters and digits with single
+    before white space, and a line's end. A known sentence may also run over line breaks (marks of comments do not
+    count, a blank line ends it). Normalised, sentences are lower-case ASCII letters and digits with single
     blanks; those without any do not count. A null or empty text has no sentences and no license. Repeated
     rows are judged alike, a table without rows gives none, and other columns pass through.
     """
-    known = F.create_map(*[F.lit(x) for kv in sentences.items() for x in kv])
-    lower = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    parts = F.filter(F.transform(F.split(lower, SENTENCE_END), lambda x: F.trim(F.regexp_replace(x, NOT_IN_WORDS, " "))), lambda x: x != "")
-    found = F.filter(F.transform("_license_s", lambda x: F.try_element_at(known, x)), lambda x: x.isNotNull())
+    literal = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    plain, shaped = {k: i for k, i in sentences.items() if "{}" not in k}, {k: i for k, i in sentences.items() if "{}" in k}
+    # In lower-case text H marks the end of a sentence and S that of a line.
+    lower = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ\n", "abcdefghijklmnopqrstuvwxyzS")
+    marked = F.concat(F.lit("H"), F.regexp_replace(F.regexp_replace(lower, MARKED_END, "H"), r"[^0-9a-zHS]+", " "), F.lit("H"))
+    flat = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "[ S]*H[ S]*", ". "), "[ S]+", " "))
+    named = lambda x: F.coalesce(F.try_element_at(literal(plain), x), *[F.when(x.rlike(f"^(?:{sentence_pattern(k)})$"), F.lit(i)) for k, i in shaped.items()])
+    operands = lambda x: F.transform(F.split(F.regexp_replace(x, rf"^{SPDX_TAG}\.? ", ""), " (?:or(?! later)|and|with) "), lambda y: F.try_element_at(literal(SPDX_IDS), F.trim(y)))
+    found = F.transform(F.regexp_extract_all("_license_text", F.lit(any_sentence(list(sentences))), F.lit(0)), flat)
+    ids = F.flatten(F.transform(found, lambda x: F.when(x.startswith(SPDX_TAG), operands(x)).otherwise(F.array(named(x)))))
     row = F.concat(F.lit(" "), F.array_join("_license_ids", " "), F.lit(" "))
     names = F.array(*[F.when(row.rlike("".join(f" {i}(?= ).*" for i in ids)), F.lit(name)) for name, ids in rules])
-    out = docs.withColumn("_license_s", parts).withColumn("_license_ids", found)
-    out = out.withColumn("_license_names", F.array_distinct(F.filter(names, lambda x: x.isNotNull())))
-    new = {"sentence_ids": F.col("_license_ids"), "licenses": F.col("_license_names"), "license": F.try_element_at("_license_names", F.lit(1)), "n_sentences": F.size("_license_s").cast("long")}
-    return out.withColumns(new).drop("_license_s", "_license_ids", "_license_names")
+    out = docs.withColumn("_license_text", marked).withColumn("_license_ids", F.filter(ids, lambda x: x.isNotNull()))
+    out = out.withColumn("_license_names", F.when(F.size("_license_ids") == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.filter(names, lambda x: x.isNotNull()))))
+    new = {"sentence_ids": F.col("_license_ids"), "licenses": F.col("_license_names"), "license": F.try_element_at("_license_names", F.lit(1)), "n_sentences": F.regexp_count("_license_text", F.lit("[0-9a-z][0-9a-z ]*+")).cast("long")}
+    return out.withColumns(new).drop("_license_text", "_license_ids", "_license_names")
 
 
 def scan_sql(sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES, source: str = "documents") -> str:

@@ -1,3 +1,5 @@
+import textwrap
+
 import duckdb
 
 from tallow.llm import licenses
@@ -34,3 +36,53 @@ def test_the_sql_agrees(spark):
     want = sorted(str((str(i), n, k, x)) for i, n, k, x, _ in db.sql(licenses.scan_sql()).fetchall())
     got = sorted(str((str(r.doc_id), r.n_sentences, len(r.sentence_ids), r.license)) for r in licenses.scan_licenses(docs).collect())
     assert got == want
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+THIRD = "3. Neither the name of the University of Example nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+BSD = """Copyright (c) 2020, Some One
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+{}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+APACHE = """Copyright 2020 Some One
+
+Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+GNU = """This file is part of Example.
+
+This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+PUBLISHED = [(MIT, "mit"), (BSD.format(""), "bsd-2-clause"), (BSD.format(THIRD), "bsd-3-clause"), (APACHE, "apache-2.0"), (GNU.format("", "3"), "gpl-3.0-or-later"), (GNU.format("", "2"), "gpl-2.0-or-later"), (GNU.format("Lesser ", "2.1"), "lgpl-2.1-or-later"), (GNU.format("Affero ", "3"), "agpl-3.0-or-later"), (MPL, "mpl-2.0")]
+TAGS = [("# SPDX-License-Identifier: MIT\nimport os", ["mit"]), ("/* SPDX-License-Identifier: GPL-2.0-or-later */", ["gpl-2.0-or-later"]), ("// SPDX-License-Identifier: (MIT OR Apache-2.0)\n", ["mit", "apache-2.0"]), ("SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note", ["gpl-2.0"]), ("GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\nText", ["gpl-3.0"]), ("// SPDX-License-Identifier: MIT-0", ["mit-0"]), ("The licence: MIT", [])]
+BROKEN = "Permission is hereby granted, free of charge, to any person\n\nobtaining a copy. The software is provided as is, without warranty of any kind."
+
+
+def test_published_texts_wrapped_and_unwrapped(spark):
+    def wrapped(text, width, mark):
+        return "\n".join(mark + x for p in text.split("\n") for x in (textwrap.wrap(p, width) or [""]))
+
+    forms = [lambda t: t, *[lambda t, w=w, m=m: wrapped(t, w, m) for w in (20, 72) for m in ("", "# ", " * ")], lambda t: wrapped(t, 60, "").replace("\n", "\r\n")]
+    cases = [(f"{k} {j}", form(text), name) for k, (text, name) in enumerate(PUBLISHED) for j, form in enumerate(forms)]
+    got = {r.doc_id: r.license for r in licenses.scan_licenses(spark.createDataFrame([c[:2] for c in cases], "doc_id string, text string")).collect()}
+    assert got == {i: name for i, _, name in cases}
+    tags = [(str(k), t) for k, (t, _) in enumerate([*TAGS, (BROKEN, [])])]
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(spark.createDataFrame(tags, "doc_id string, text string")).collect()}
+    assert got == {str(k): names for k, (_, names) in enumerate([*TAGS, (BROKEN, [])])}
