@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from dateutil.relativedelta import relativedelta
@@ -72,15 +75,23 @@ def folds(first: datetime, last: datetime, train_months: int = 6, test_months: i
     return out
 
 
-def assign_folds(df: DataFrame, min_train: int = 100, min_test: int = 20, **months: int) -> DataFrame:
-    """Rows with fold_id and is_test; a row lies in many folds. The fold table has one row per month of history."""
-    lo, hi = df.agg(F.min("date"), F.max("date")).first()
-    table = folds(lo, hi, **months) if lo is not None else []
-    f = df.sparkSession.createDataFrame([(i, *x) for i, x in enumerate(table)], "fold int, train_start timestamp_ntz, test_start timestamp_ntz, test_end timestamp_ntz")
-    rows = df.join(F.broadcast(f), (F.col("date") >= F.col("train_start")) & (F.col("date") < F.col("test_end"))).withColumn("is_test", F.col("date") >= F.col("test_start"))
-    sizes = rows.groupBy("fold").agg(F.count_if(~F.col("is_test")).alias("a"), F.count_if("is_test").alias("b")).where((F.col("a") >= min_train) & (F.col("b") >= min_test))
-    kept = sizes.select("fold", F.row_number().over(Window.orderBy("fold")).alias("fold_id"))
-    return rows.join(F.broadcast(kept), "fold").drop("fold")
+def assign_folds(df: DataFrame, min_train: int = 100, min_test: int = 20, by: tuple[str, ...] = BY, **months: int) -> DataFrame:
+    """Rows with fold_id and is_test; a row lies in many folds. Each group (by) has its own folds, sizes and fold_id; their table has one row per group and month of history."""
+    bounds = df.groupBy(*by).agg(*[F.col(c).alias(f"_by_{c}") for c in by], F.min("date").cast("timestamp_ntz").alias("_lo"), F.max("date").cast("timestamp_ntz").alias("_hi")).drop(*by).where("_lo is not null")
+    keys = [f"_by_{c}" for c in by]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(*r[:-2], i, *x) for r in pdf.itertuples(index=False, name=None) for i, x in enumerate(folds(r[-2].to_pydatetime(), r[-1].to_pydatetime(), **months))]
+            yield pd.DataFrame(rows, columns=[*keys, "fold", "train_start", "test_start", "test_end"])
+
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in bounds.select(*keys).schema], "fold int, train_start timestamp_ntz, test_start timestamp_ntz, test_end timestamp_ntz"])
+    f = bounds.select(*keys, "_lo", "_hi").mapInPandas(run, schema)
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys, strict=True)]
+    rows = df.join(f, reduce(and_, [*same, F.col("date") >= F.col("train_start"), F.col("date") < F.col("test_end")])).withColumn("is_test", F.col("date") >= F.col("test_start")).drop(*keys)
+    sizes = rows.groupBy(*by, "fold").agg(F.count_if(~F.col("is_test")).alias("a"), F.count_if("is_test").alias("b")).where((F.col("a") >= min_train) & (F.col("b") >= min_test))
+    kept = sizes.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col("fold").alias("_fold"), F.row_number().over(Window.partitionBy(*by).orderBy("fold")).alias("fold_id"))
+    return rows.join(kept, reduce(and_, [*same, F.col("fold") == F.col("_fold")])).drop("fold", "_fold", *keys)
 
 
 TRADES = "entry_time timestamp_ntz, exit_time timestamp_ntz, entry_price double, exit_price double, pnl double, pnl_pct double, exit_reason string, bars_held int, confidence double"

@@ -145,7 +145,7 @@ def _asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("asof_alignment", _asof, "WITH x AS (SELECT date, close AS rate FROM bars_ord WHERE asset_symbol = '1-URGENT') SELECT b.asset_symbol, b.date, x.rate FROM bars_1d b ASOF LEFT JOIN x ON b.date >= x.date")
-_add("pivot_closes", lambda s, d: bars_1d(s, d).groupBy("date").pivot("asset_symbol", ["A", "N", "R"]).agg(F.max("close")).na.fill(0.0), "SELECT date, coalesce(max(close) FILTER (WHERE asset_symbol = 'A'), 0) AS \"A\", coalesce(max(close) FILTER (WHERE asset_symbol = 'N'), 0) AS \"N\", coalesce(max(close) FILTER (WHERE asset_symbol = 'R'), 0) AS \"R\" FROM bars_1d GROUP BY date")
+_add("pivot_closes", lambda s, d: bars_1d(s, d).groupBy("date").pivot("asset_symbol").agg(F.max("close")).na.fill(0.0), "SELECT date, coalesce(max(close) FILTER (WHERE asset_symbol = 'A'), 0) AS \"A\", coalesce(max(close) FILTER (WHERE asset_symbol = 'N'), 0) AS \"N\", coalesce(max(close) FILTER (WHERE asset_symbol = 'R'), 0) AS \"R\" FROM bars_1d GROUP BY date")
 _CH = "c AS (SELECT *, (close - lag(close) OVER (PARTITION BY asset_symbol ORDER BY date)) / lag(close) OVER (PARTITION BY asset_symbol ORDER BY date) * 100 AS change_pct FROM bars_1d)"
 _LATEST = lambda src, n: f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asset_symbol ORDER BY date DESC) AS rn_{n} FROM {src}) WHERE rn_{n} <= {n}"
 _add("profile_gainers", lambda s, d: profile.top_movers(bars_1d(s, d)), f"WITH {_CH} SELECT asset_symbol, date, close, round(change_pct, 6) AS change_pct FROM c WHERE change_pct IS NOT NULL ORDER BY 4 DESC, 1, 2 LIMIT 10")
@@ -182,5 +182,5 @@ _P = f"""a AS (SELECT *, {_LAG('close')} AS p, lead(close) OVER (PARTITION BY as
 _add("evaluate_report", lambda s, d: rounded(modelling.classification_report(predictions(s, d))), f"WITH {_P}, c AS (SELECT count(*) FILTER (WHERE actual = 1 AND prediction = 1) AS tp, count(*) FILTER (WHERE actual = 0 AND prediction = 1) AS fp, count(*) FILTER (WHERE actual = 1 AND prediction = 0) AS fn, count(*) FILTER (WHERE actual = 0 AND prediction = 0) AS tn FROM pr) SELECT tp, fp, fn, tn, round((tp + tn) / (tp + fp + fn + tn), 8) AS accuracy, round(tp / (tp + fp), 8) AS precision, round(tp / (tp + fn), 8) AS recall, round(2 * tp / (2 * tp + fp + fn), 8) AS f1 FROM c")
 _add("backtest_trades", lambda s, d: rounded(modelling.simulate(predictions(s, d)), "asset_symbol"))
 _add("backtest_metrics", lambda s, d: modelling.trade_metrics(modelling.simulate(predictions(s, d))))
-_add("backtest_folds", lambda s, d: modelling.assign_folds(bars_1d(s, d).where("asset_symbol = 'A'")).groupBy("fold_id").agg(F.count_if("is_test").alias("n_test"), F.count_if(~F.col("is_test")).alias("n_train")))
+_add("backtest_folds", lambda s, d: modelling.assign_folds(bars_1d(s, d)).groupBy("asset_symbol", "fold_id").agg(F.count_if("is_test").alias("n_test"), F.count_if(~F.col("is_test")).alias("n_train")))
 _add("threshold_sweep", lambda s, d: rounded(modelling.threshold_sweep(predictions(s, d).withColumn("proba", F.when(F.col("prediction") == 1, F.col("confidence")).otherwise(1 - F.col("confidence"))), [0.5, 0.6, 0.7]), "threshold"))

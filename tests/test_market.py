@@ -84,6 +84,26 @@ def test_folds_drift_to_the_shortest_month():
     assert starts[:3] == [datetime(2023, 1, 31, 5), datetime(2023, 2, 28, 5), datetime(2023, 3, 28, 5)]
 
 
+def test_folds_and_pivot_take_every_asset(spark, tmp_path):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    late = lines.where("l_shipdate > '1995-07-01'").withColumn("l_returnflag", F.lit("X"))
+    lines.unionByName(late).write.parquet(f"{tmp_path}/lineitem.parquet")
+    b = catalog.bars_1d(spark, str(tmp_path)).select("asset_symbol", "date", "close").toPandas()
+    want = {}
+    for symbol, dates in b.groupby("asset_symbol")["date"]:
+        kept = 0
+        for lo, mid, hi in modelling.folds(dates.min().to_pydatetime(), dates.max().to_pydatetime()):
+            train, test = int(((dates >= lo) & (dates < mid)).sum()), int(((dates >= mid) & (dates < hi)).sum())
+            if train >= 100 and test >= 20:
+                kept += 1
+                want[symbol, kept] = (test, train)
+    got = {(r.asset_symbol, r.fold_id): (r.n_test, r.n_train) for r in catalog.QUERIES["backtest_folds"](spark, str(tmp_path)).collect()}
+    assert got == want and {s for s, _ in got} == {"A", "N", "R", "X"}
+    pivoted = catalog.QUERIES["pivot_closes"](spark, str(tmp_path)).toPandas().set_index("date")
+    assert set(pivoted.columns) == {"A", "N", "R", "X"}
+    assert all(pivoted.loc[d, s] == c for s, d, c in b.itertuples(index=False))
+
+
 def test_trades_stop_first_and_reenter_on_the_same_bar():
     t = [datetime(2024, 1, d) for d in (1, 2, 3)]
     pdf = pd.DataFrame({"date": t, "high": [100, 120, 100], "low": [100, 90, 100], "close": [100.0, 100.0, 101.0], "prediction": [1, 1, 0], "confidence": [0.6, 0.6, 0.6]})
