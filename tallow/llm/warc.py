@@ -1,7 +1,7 @@
 """Dictionary-compressed WARC archives (.warc.zst).
 
 Each archive begins with a skippable frame that holds a Zstandard dictionary
-trained on its own first records; every record is a frame of its own. Equal
+trained on records spread over it; every record is a frame of its own. Equal
 payloads are stored once: the record with the smallest page_id is the response,
 the others are revisits that refer to it.
 """
@@ -17,14 +17,14 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard as zstd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallow.llm.common import shared_dir
+from tallow.llm.common import shared_dir, stage
 
 DICT_MAGIC = 0x184D2A5D
 ARCHIVE_BYTES = 32 << 20  # payload bytes of an archive
-SAMPLE_BYTES = 2 << 20  # payload bytes of the records that the dictionary is trained on
+SAMPLE_BYTES = 2 << 20  # about the payload bytes of the records that the dictionary is trained on
 DICT_BYTES = 64 << 10
 MIN_REVISIT_BYTES = 100
 SALTS = 16
@@ -72,13 +72,8 @@ def train_dictionary(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
 def archive(records: Iterable[bytes]) -> bytes:
     """An archive of records."""
     records = list(records)
-    samples, total = [], 0
-    for r in records:
-        if total > SAMPLE_BYTES:
-            break
-        samples.append(r)
-        total += len(r)
-    words = train_dictionary(samples)
+    step = -(-sum(map(len, records)) // SAMPLE_BYTES)
+    words = train_dictionary([r[: SAMPLE_BYTES // 16] for r in records[:: max(step, 1)]])
     press = zstd.ZstdCompressor(level=6, dict_data=zstd.ZstdCompressionDict(words), write_content_size=True)
     return b"".join([struct.pack("<II", DICT_MAGIC, len(words)), words, *map(press.compress, records)])
 
@@ -127,10 +122,12 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     copies = keys.withColumn("salt", F.pmod(F.xxhash64("_order"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"])
     copies = copies.where(F.col("_order") != F.col("first")).select(F.col("_order").alias("_o"), F.col("digest").alias("_d"), "first").distinct()
     marked = p.join(copies, (p["_order"] == copies["_o"]) & (p["digest"] == copies["_d"]), "left").drop("_o", "_d")
-    marked = marked.sortWithinPartitions("_order", "digest", "url").select("page_id", "url", "payload", "digest", "_order", "first")
+    # The window brings equal rows together, whatever the join did.
+    marked = marked.withColumn("_n", F.row_number().over(Window.partitionBy("_order", "digest").orderBy("url")))
+    marked = marked.sortWithinPartitions("_order", "digest", "url").select("page_id", "url", "payload", "digest", "_order", "first", "_n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, size, held, last = TaskContext.get().partitionId(), 0, 0, [], None
+        part, number, size, held = TaskContext.get().partitionId(), 0, 0, []
         fs, root = _open_fs(folder)
         fs.create_dir(root, recursive=True)
 
@@ -143,11 +140,10 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
             return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(held)], pa.int64())], names=["path", "records"])
 
         for b in batches:
-            for page_id, url, payload, digest, order, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for page_id, url, payload, digest, order, first, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 to = first
-                if to is None and last == (order, digest) and len(payload) >= MIN_REVISIT_BYTES:
+                if to is None and n > 1 and len(payload) >= MIN_REVISIT_BYTES:
                     to = order
-                last = (order, digest)
                 held.append(record(page_id, url, payload, digest, None if to is None else (None if to == (1 << 63) - 1 else to,)))
                 size += len(held[-1])
                 if size >= ARCHIVE_BYTES:
@@ -159,11 +155,15 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     return folder, marked.mapInArrow(run, "path string, records long")
 
 
-READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, digest_ok boolean"
+READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, digest_ok boolean, record string, refers_record string"
 
 
 def read_warc(archives: DataFrame, folder: str) -> DataFrame:
-    """The records of archives (column path), one row each; every response's payload is hashed again (digest_ok)."""
+    """The records of archives (column path), one row each.
+
+    payload_bytes and payload_digest are those of the stored payload, for a revisit those of its response's
+    (null where that is lost); digest_ok: they are as the record's header says.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = _open_fs(folder)
@@ -177,10 +177,19 @@ def read_warc(archives: DataFrame, folder: str) -> DataFrame:
                     http, _, payload = r["block"].partition(b"\r\n\r\n")
                     response, digest = r["warc-type"] == "response", r["warc-payload-digest"].removeprefix("sha256:")
                     told = int(http.decode().rsplit("Content-Length: ", 1)[1])
-                    ok = hashlib.sha256(payload).hexdigest() == digest and len(payload) == told if response else None
-                    rows.append((number(r["x-page-id"]), r["warc-target-uri"], told, digest, r["warc-type"], number(r.get("x-refers-to-page")), ok))
+                    stored = (len(payload), hashlib.sha256(payload).hexdigest()) if response else (told, digest)
+                    rows.append((number(r["x-page-id"]), r["warc-target-uri"], *stored, r["warc-type"], number(r.get("x-refers-to-page")), stored == (told, digest) if response else None, r["warc-record-id"], r.get("warc-refers-to")))
                 cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_()]
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in READ.split(", ")])
 
-    return archives.select("path").mapInArrow(run, READ)
+    read = stage(archives.select("path").mapInArrow(run, READ), "warc-read")
+    revisits = read.where("record_type = 'revisit'").withColumn("salt", F.pmod(F.xxhash64("record"), F.lit(SALTS)).cast("int"))
+    asked = revisits.select(F.col("refers_record").alias("record")).distinct()
+    firsts = read.where("record_type = 'response'").join(asked, "record", "left_semi").groupBy("record").agg(F.first("payload_bytes").alias("_bytes"), F.first("payload_digest").alias("_sha"))
+    firsts = firsts.select(F.col("record").alias("refers_record"), "_bytes", "_sha", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    found = revisits.join(firsts, ["refers_record", "salt"], "left")
+    same = F.coalesce((F.col("_bytes") == F.col("payload_bytes")) & (F.col("_sha") == F.col("payload_digest")), F.lit(False))
+    found = found.withColumn("digest_ok", same).withColumns({"payload_bytes": F.col("_bytes"), "payload_digest": F.col("_sha")})
+    names = [x.split()[0] for x in READ.split(", ")][:-2]
+    return read.where("record_type <> 'revisit'").select(*names).unionByName(found.select(*names))

@@ -151,6 +151,30 @@ def test_warc_round_trip(spark, tmp_path):
     assert all(r.payload_digest == hashlib.sha256((dict((a, c) for a, _, c in rows)[i] or "").encode()).hexdigest() for i, r in got.items())
 
 
+def test_warc_reads_what_is_stored(spark, tmp_path):
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    good, cut = b"x" * 200, b"x" * 150
+    rows = [warc.record(1, "u", cut, sha(good), None), warc.record(2, "u", good, sha(good), (1,)), warc.record(3, "u", good, sha(good), (9,)), warc.record(4, "u", good, sha(good), None)]
+    (tmp_path / "a.warc.zst").write_bytes(warc.archive(rows))
+    got = warc.read_warc(spark.createDataFrame([(str(tmp_path / "a.warc.zst"),)], "path string"), str(tmp_path)).collect()
+    assert {r.page_id: (r.payload_bytes, r.payload_digest, r.digest_ok) for r in got} == {1: (150, sha(cut), False), 2: (150, sha(cut), False), 3: (None, None, False), 4: (200, sha(good), True)}
+
+
+def test_warc_equal_rows_are_one_response(spark, tmp_path):
+    rows = [(i % 3, "u", "x" * 200 + str(i % 3)) for i in range(24)]
+    folder, archives = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), str(tmp_path / "w"))
+    got = warc.read_warc(spark.createDataFrame(archives.collect(), archives.schema), folder).collect()
+    assert sorted(r.page_id for r in got if r.record_type == "response") == [0, 1, 2] and len(got) == 24
+    assert all(r.digest_ok and r.payload_bytes == 201 for r in got)
+
+
+def test_warc_dictionary_sees_the_whole_archive(monkeypatch):
+    seen = []
+    monkeypatch.setattr(warc, "train_dictionary", lambda samples: seen.extend(samples) or b"d" * 2000)
+    warc.archive([b"%06d" % k + b"a" * 9994 for k in range(1000)])
+    assert int(seen[-1][:6]) > 900 and sum(map(len, seen)) <= warc.SAMPLE_BYTES + 10_000
+
+
 def test_jaccard_by_brute_force(spark):
     rng = random.Random(7)
     docs, base = [], [prose(rng, 60).split() for _ in range(12)]
