@@ -299,6 +299,13 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
 
 
 def first_of_each_class(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The row of each class with the smallest id (of equal ids, each): columns of docs. Rows without words or without an id all stay."""
-    classes = jaccard_classes(docs, id_col=id_col, **options).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(classes, F.col(id_col) == F.col("_gone"), "left_anti")
+    """One row of each class, that with the smallest id (null is largest; of equal ids any one): columns of docs.
+
+    Classes are of rows, not of ids: repeated rows leave one, and texts that share an id are judged apart.
+    Rows without words all stay. The rows are numbered in a staged copy, so that every pass sees the same numbers.
+    """
+    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "jaccard-rows")
+    classes = jaccard_classes(rows, id_col="_row", **options).select(F.col("doc_id").alias("_row"), "component_id")
+    classes = stage(classes.join(rows.select("_row", F.col(id_col).alias("_id")), "_row"), "jaccard-classes")
+    first = classes.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("x")).select("x._row")
+    return rows.join(classes.select("_row").join(first, "_row", "left_anti"), "_row", "left_anti").drop("_row")

@@ -236,3 +236,39 @@ def test_pipeline_stages_keep_the_columns(spark):
     mixed = corpus_pipeline.mix_sources(spark, one, "")
     assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} == {1, 3}
     assert corpus_pipeline.pack_sequences(spark, mixed, "").agg(F.count_distinct("sequence_id")).first()[0] == 1
+
+
+def test_one_row_of_each_class_by_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    base = [prose(rng, 90) + "." for _ in range(5)]
+    near = base[0] + " tail."
+    rows = [(5, base[0]), (5, base[0]), (2, near), (None, base[0]), (None, base[1]), (None, base[1]), (7, base[2]), (8, base[3]), (8, base[2]), (9, base[4]), (9, base[4]), (4, base[3])]
+    docs = frame(spark, [(i, t, "en", "a", len(t), str(k)) for k, (i, t) in enumerate(rows)]).repartition(3)
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.lower().split() for _, t in rows)]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                parent[root(a)] = root(b)
+    classes = {}
+    for k, (i, _) in enumerate(rows):
+        classes.setdefault(root(k), []).append((i is None, i or 0, k))
+    want = sorted(str(rows[min(c)[2]]) for c in classes.values())
+    assert len(want) == 5
+    got = jaccard.first_of_each_class(docs, n=5, num=80, den=100)
+    assert got.columns == docs.columns
+    assert sorted(str((r.doc_id, r.text)) for r in got.collect()) == want
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, f in corpus_pipeline.STAGES[:2]:
+        docs = f(spark, docs, "")
+    assert sorted(str((r.doc_id, r.text)) for r in docs.collect()) == want
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    assert packed.count() == packing.pack_documents(mixing.mixed_documents(docs)).count() > 0
