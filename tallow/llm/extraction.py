@@ -16,8 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallow.llm.common import stage
+
 BROADCAST_HOSTS = 200_000
-WINNERS = 3
+WINNERS = 3  # paths kept for a host, by votes
+LEAST_SHARE = 0.25
 SALTS = 16
 
 # Element names by their role in a page.
@@ -28,18 +31,25 @@ BLOCKS = {"address", "article", "aside", "blockquote", "body", "br", "caption",
 CONTAINERS = {"article", "main", "section", "div", "td", "body"}
 CLOSED_BY_SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe"}
-NOISE_NAME = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookies?|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|popup|promo\w*|related|replies|reply|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+NOISE_WORDS = r"ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookies?|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|popup|replies|reply|respond|sidebar|sponsor\w*|subscribe|toolbar"
+ASIDE_WORDS = r"promo\w*|related|share|sharing|social|widget"  # what a name of main text in the same element outweighs
+NOISE_NAME = re.compile(rf"(?:^|[\s_-])(?:{NOISE_WORDS})(?:$|[\s_-])", re.I)
+ASIDE_NAME = re.compile(rf"(?:^|[\s_-])(?:{ASIDE_WORDS})(?:$|[\s_-])", re.I)
 MAIN_NAME = re.compile(r"article|content|entry|main|post|story|body-?text", re.I)
+NOISE_ROLES = ("navigation", "banner", "contentinfo", "complementary", "search", "dialog")
+LINES = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+# A quote opens a value after an equals sign only, and one that nothing closes is a letter like any other.
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?=[\s/]|$))""", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "noise", "parts", "chars", "links", "blocks", "main")
+    __slots__ = ("tag", "path", "parent", "noise", "left_out", "parts", "chars", "links", "blocks", "main")
 
-    def __init__(self, tag: str, path: str, parent: Node | None, noise: bool, main: bool) -> None:
-        self.tag, self.path, self.parent, self.noise, self.main = tag, path, parent, noise, main
+    def __init__(self, tag: str, path: str, parent: Node | None, noise: bool, left_out: bool, main: bool) -> None:
+        self.tag, self.path, self.parent, self.main = tag, path, parent, main
+        self.noise, self.left_out = noise, left_out  # by element, role or name; by element or role
         self.parts: list = []  # strings, child nodes, and None for the edge of a block
         self.chars = self.links = self.blocks = 0
 
@@ -49,9 +59,16 @@ def _general(tag: str, names: str) -> str:
     return ".".join([tag, *sorted(c for c in set(kept) if c.strip("#-_"))])
 
 
+def _noise_name(names: str) -> bool:
+    """Whether the classes and id of an element mark it as no part of the text."""
+    if not names:
+        return False
+    return bool(NOISE_NAME.search(names)) or bool(ASIDE_NAME.search(names) and not any(MAIN_NAME.search(x) and not ASIDE_NAME.search(x) for x in names.split()))
+
+
 def parse(text: str) -> Node:
     """A tolerant tree of a page: unclosed elements end with their parent, stray end tags are ignored."""
-    root = Node("", "", None, False, False)
+    root = Node("", "", None, False, False, False)
     top, at = root, 0
 
     def say(raw: str) -> None:
@@ -89,15 +106,14 @@ def parse(text: str) -> Node:
             if node.parent and node.tag in CLOSED_BY_SIBLING[tag]:
                 top = node.parent
         names = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
-        noise = top.noise or tag in NOISE or tag in SKIPPED or "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog")
-        noise = noise or bool(names and tag not in ("html", "body", "main", "article") and NOISE_NAME.search(names))
-        node = Node(tag, f"{top.path}>{_general(tag, attrs.get('class', ''))}" if tag in BLOCKS else top.path, top, noise, tag in ("article", "main") or bool(names and MAIN_NAME.search(names)))
+        left_out = top.left_out or tag in NOISE or tag in SKIPPED or "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in NOISE_ROLES
+        noise = top.noise or left_out or (tag not in ("html", "body", "main", "article") and _noise_name(names))
+        node = Node(tag, f"{top.path}>{_general(tag, attrs.get('class', ''))}" if tag in BLOCKS else top.path, top, noise, left_out, tag in ("article", "main") or bool(names and MAIN_NAME.search(names)))
         top.parts.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(text, at)
-            if tag == "noscript" or tag == "template":
-                pass
-            at = end.end() if end else len(text)
+            # Without an end, scripts and styles run to the page's end; what else is open there is taken for a stray tag.
+            at = end.end() if end else len(text) if tag in ("script", "style") else at
             continue
         if m[3].rstrip().endswith("/") and tag not in BLOCKS:
             continue
@@ -108,13 +124,13 @@ def parse(text: str) -> Node:
 
 def _close_paragraph(top: Node) -> Node:
     node = top
-    while node.parent and node.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and node.tag not in BLOCKS:
+    while node.parent and node.tag not in LINES and node.tag not in BLOCKS:
         node = node.parent
-    return node.parent if node.parent and node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") else top
+    return node.parent if node.parent and node.tag in LINES else top
 
 
-def blocks_of(node: Node, whole: bool = True) -> list[str]:
-    """The texts of a node's blocks in page order, without noise; white space inside a block is one space."""
+def blocks_of(node: Node, by_name: bool = True) -> list[str]:
+    """The texts of a node's blocks in page order, without noise (by_name: that by classes and ids as well); white space inside a block is one space."""
     out: list[str] = []
     text: list[str] = []
 
@@ -130,7 +146,7 @@ def blocks_of(node: Node, whole: bool = True) -> list[str]:
             end()
         elif isinstance(x, str):
             text.append(x)
-        elif x.noise and x is not node:
+        elif (x.noise if by_name else x.left_out) and x is not node:
             if x.tag in BLOCKS:
                 end()
         else:
@@ -141,9 +157,8 @@ def blocks_of(node: Node, whole: bool = True) -> list[str]:
 
 
 def containers(root: Node) -> list[Node]:
-    """Containers that are no noise, in page order, with the characters, link characters and blocks under them."""
-    found, todo = [], [root]
-    order: list[Node] = []
+    """Containers that hold text and are no noise, in page order, with the words, link words and blocks under them. To be called once a page."""
+    todo, order = [root], []
     while todo:
         x = todo.pop()
         order.append(x)
@@ -156,10 +171,7 @@ def containers(root: Node) -> list[Node]:
             x.parent.chars += x.chars
             x.parent.links += x.chars if x.tag == "a" else x.links
             x.parent.blocks += x.blocks + (x.tag in ("p", "h1", "h2", "h3", "blockquote", "pre", "li") and x.chars > 0)
-    for x in order:
-        if x.tag in CONTAINERS and x.chars:
-            found.append(x)
-    return found
+    return [x for x in order if x.tag in CONTAINERS and x.chars]
 
 
 def score(x: Node, page: Node) -> float:
@@ -169,33 +181,24 @@ def score(x: Node, page: Node) -> float:
     return kind * share * (1 - x.links / max(x.chars, 1)) * (1 + min(x.blocks, 20) / 40)
 
 
-def best_container(root: Node) -> Node | None:
-    found = containers(root)
+def best_container(root: Node, found: list[Node]) -> Node | None:
     return max(found, key=lambda x: (score(x, root), len(x.path)), default=None)
 
 
 def extract(text: str | None, winners: list[str]) -> str:
-    """The main text of one page: the first of the winning paths that it has, else its best container, else all that is no noise."""
+    """The main text of one page: the first of the winning paths that it has, else its best container, else all that is no noise.
+
+    A winning path must hold LEAST_SHARE of the best container's words. A page whose text all lies in elements
+    that their names mark as noise gives that text, less the elements and roles that are noise.
+    """
     root = parse(text or "")
-    own = best_container(root)
+    found = containers(root)
+    own = best_container(root, found)
     by_path: dict[str, list[Node]] = {}
-    for x in containers_once(root):
+    for x in found:
         by_path.setdefault(x.path, []).append(x)
-    for path in winners:
-        nodes = by_path.get(path, [])
-        if nodes and sum(n.chars for n in nodes) * 4 >= (own.chars if own else 0):
-            return " ".join(b for n in nodes for b in blocks_of(n))
-    return " ".join(blocks_of(own if own is not None else root))
-
-
-def containers_once(root: Node) -> list[Node]:
-    out, todo = [], [root]
-    while todo:
-        x = todo.pop()
-        if x.tag in CONTAINERS and x.chars and not x.noise:
-            out.append(x)
-        todo += [c for c in reversed(x.parts) if isinstance(c, Node) and not c.noise]
-    return out
+    chosen = next((nodes for path in winners if (nodes := by_path.get(path)) and sum(n.chars for n in nodes) >= LEAST_SHARE * (own.chars if own else 0)), [own or root])
+    return " ".join(b for n in chosen for b in blocks_of(n)) or " ".join(blocks_of(root, by_name=False))
 
 
 def host_of(url):
@@ -210,7 +213,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
         for b in batches:
             counts: dict[tuple[str, str], int] = {}
             for host, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if text and (best := best_container(parse(text))) is not None:
+                if text and (best := best_container(root := parse(text), containers(root))) is not None:
                     counts[host, best.path] = counts.get((host, best.path), 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["host", "path", "votes"])
 
@@ -221,9 +224,12 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars and path_votes' host of every page. Null html gives an empty text; repeated rows give repeated rows."""
-    from tallow.llm.common import stage
+    """page_id, url, text and n_chars (code points) of every page.
 
+    Null and empty html give an empty text, and null or odd URLs are one host; repeated rows give repeated rows, a
+    table without rows gives none. Of paths with equal votes the first in code-point order leads. A page is read
+    whole, however long. Other columns are not read, so they may have any name.
+    """
     p = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host_of(F.col("url")))
     winners = stage(host_paths(p), "host-paths")
     few = winners.count() <= BROADCAST_HOSTS
