@@ -24,15 +24,16 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
-def _line_fails(text: Column, n: Column, repetitive: Column) -> Column:
-    """True if one of the rules rejects a line of n words. A line without words never fails; stutter is looked for in repetitive documents."""
+def _line_fails(text: Column, n: Column) -> Column:
+    """True if one of the rules rejects a line of n words. A line without words never fails."""
     count = lambda pattern: F.regexp_count(text, F.lit(pattern))
     noisy = count(SYMBOL) * 4 > n
     shouting = (n >= 3) & ((count("!") * 3 > n) | ((F.upper(text) == text) & (F.lower(text) != text)))
     navigation = (n >= 3) & (count("[|»›•→]") * 4 > n)
     boilerplate = (n <= 12) & text.rlike(BOILERPLATE)
     unpunctuated = (n >= 8) & ~text.rlike(r"[.!?;:…。！？]")
-    return (n > 0) & (noisy | shouting | navigation | boilerplate | unpunctuated | (repetitive & (n >= 5) & (count(STUTTER) * 5 > n)))
+    stutter = (n >= 5) & (count(STUTTER) * 5 > n)
+    return (n > 0) & (noisy | shouting | navigation | boilerplate | unpunctuated | stutter)
 
 
 def apply_quality_rules(docs: DataFrame, max_loss: float = 0.4, min_words: int = 50, max_repeat: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -48,7 +49,8 @@ def apply_quality_rules(docs: DataFrame, max_loss: float = 0.4, min_words: int =
     # Windows of three words, as 64-bit hashes in text order.
     rest = lambda k: F.slice(F.col("_w"), F.lit(k), F.greatest(F.size("_w") - 2, F.lit(0)))
     base = base.withColumn("_windows", F.zip_with(F.zip_with(rest(1), rest(2), lambda a, b: F.xxhash64(a, b)), rest(3), lambda x, c: F.xxhash64(x, c)))
-    # Where some window repeats: hash and position packed in a long (as few bits as the position needs), sorted, so that equal windows meet.
+    # Where a window may repeat: the hash less the bits that its position needs, with the position in one long, sorted so that
+    # equal ones meet. That finds each repeated window and, in very long texts, a few others.
     base = base.withColumn("_bits", F.length(F.bin(F.size("_windows"))))
     pack = lambda h, i: F.call_function("shiftleft", h, F.col("_bits")).bitwiseOR(i.cast("long"))
     repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
@@ -58,11 +60,16 @@ def apply_quality_rules(docs: DataFrame, max_loss: float = 0.4, min_words: int =
     low = lambda x: x - F.call_function("shiftleft", high(x), F.col("_bits"))
     after = lambda name: F.slice(name, F.lit(2), F.greatest(F.size(name) - 1, F.lit(0)))
     meet = F.zip_with("_packed", after("_packed"), lambda x, y: F.when(high(x) == high(y), F.array(low(x), low(y))))
+    base = base.withColumn("_spots", F.array_distinct(F.flatten(F.filter(meet, lambda x: x.isNotNull()))))
+    # The whole hashes at those places decide.
+    whole = F.transform("_spots", lambda i: F.struct(F.element_at("_windows", (i + 1).cast("int")).alias("h"), i.alias("i")))
+    base = base.withColumn("_whole", F.sort_array(whole))
+    meet = F.zip_with("_whole", after("_whole"), lambda x, y: F.when(x["h"] == y["h"], F.array(x["i"], y["i"])))
     base = base.withColumn("_spots", F.sort_array(F.array_distinct(F.flatten(F.filter(meet, lambda x: x.isNotNull())))))
     covered = F.aggregate(F.zip_with("_spots", after("_spots"), lambda a, b: F.least(F.lit(3).cast("long"), F.coalesce(b - a, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda acc, x: acc + x)
-    base = base.withColumn("n_repeat_words", covered).withColumn("_repetitive", F.col("n_repeat_words") * 10 >= F.size("_w"))
+    base = base.withColumn("n_repeat_words", covered)
     base = base.withColumn("_lines", F.transform(F.split("_t", "\n"), lambda x: F.struct(x.alias("text"), F.size(words_of(x)).alias("n"))))
-    base = base.withColumn("_lines", F.transform("_lines", lambda x: F.struct(x["text"].alias("text"), x["n"].alias("n"), _line_fails(x["text"], x["n"], F.col("_repetitive")).alias("bad"))))
+    base = base.withColumn("_lines", F.transform("_lines", lambda x: F.struct(x["text"].alias("text"), x["n"].alias("n"), _line_fails(x["text"], x["n"]).alias("bad"))))
     base = base.withColumns(
         {
             "n_words": F.size("_w").cast("long"),
@@ -77,7 +84,7 @@ def apply_quality_rules(docs: DataFrame, max_loss: float = 0.4, min_words: int =
     base = base.withColumn("n_dup_lines", (F.size("_with_words") - F.size(F.array_distinct("_with_words"))).cast("long"))
     base = base.withColumn("base_failed", (F.col("n_words") < min_words) | (F.col("n_repeat_words") > F.lit(max_repeat) * F.col("n_words")))
     base = base.withColumn("kept", ~F.col("base_failed") & (F.col("lost_words") <= F.lit(max_loss) * F.col("n_words")))
-    return base.drop("_t", "_w", "_windows", "_lines", "_bits", "_repetitive", "_packed", "_spots", "_with_words")
+    return base.drop("_t", "_w", "_windows", "_lines", "_bits", "_packed", "_whole", "_spots", "_with_words")
 
 
 def clean_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:

@@ -151,15 +151,15 @@ WITH d AS (
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, ls, ws,
     coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN n USING (doc_id)
 ), l AS (
-  SELECT doc_id, line, len(lw) AS n, lw, n_repeat_words * 10 >= n_words AS repetitive FROM (
-    SELECT doc_id, n_words, n_repeat_words, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw FROM (SELECT doc_id, n_words, n_repeat_words, unnest(ls) AS line FROM b))
+  SELECT doc_id, line, len(lw) AS n, lw FROM (
+    SELECT doc_id, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw FROM (SELECT doc_id, unnest(ls) AS line FROM b))
 ), f AS (
   SELECT *, n > 0 AND (length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) * 4 > n
     OR (n >= 3 AND (length(regexp_replace(line, '[^!]', '', 'g')) * 3 > n OR (upper(line) = line AND lower(line) <> line)))
     OR (n >= 3 AND length(regexp_replace(line, '[^|»›•→]', '', 'g')) * 4 > n)
     OR (n <= 12 AND regexp_matches(line, '(?i)all rights reserved|cookie|privacy policy|terms of (use|service)|click here|subscribe|sign (in|up)|log ?in|javascript|copyright|read more|share (this|on)'))
     OR (n >= 8 AND NOT regexp_matches(line, '[.!?;:…。！？]'))
-    OR (repetitive AND n >= 5 AND len(list_filter(range(1, n), lambda i: lw[i] = lw[i + 1])) * 5 > n)) AS bad FROM l
+    OR (n >= 5 AND len(list_filter(range(1, n), lambda i: lw[i] = lw[i + 1])) * 5 > n)) AS bad FROM l
 ), v AS (
   SELECT doc_id, coalesce(sum(n) FILTER (WHERE bad), 0)::BIGINT AS lost, (count(*) FILTER (WHERE n > 0) - count(DISTINCT line) FILTER (WHERE n > 0))::BIGINT AS n_dup_lines FROM f GROUP BY doc_id
 ), o AS (
