@@ -94,6 +94,26 @@ def test_quality_figures_by_brute_force(spark):
     assert "About" not in quality.clean_documents(frame(spark, [(0, texts[0], "", "", 0, "")])).first().text
 
 
+def test_repeated_words_of_a_very_long_text(spark):
+    text = F.concat(F.lit("a b c a b c "), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1_000_000)), lambda i: F.concat(F.lit("w"), i.cast("string"))), " "))
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), text.alias("text"))
+    assert quality.apply_quality_rules(docs).select("n_words", "n_repeat_words").collect() == [(1_000_006, 6)]
+
+
+def test_stutter_is_judged_on_every_line(spark):
+    rng = random.Random(13)
+    good = "\n".join(prose(rng, 12) + "." for _ in range(10))
+    stutter = "so so so so so so so."
+    out = quality.clean_documents(frame(spark, [(1, good + "\n" + stutter, "", "", 0, "")])).collect()
+    assert [r.text for r in out] == [good]
+
+
+def test_clean_documents_takes_odd_and_empty_tables(spark, odd, empty):
+    assert quality.clean_documents(odd).count() == 0 and quality.clean_documents(empty).columns == empty.columns
+    clash = frame(spark, [(1, ". ".join(prose(random.Random(1), 9) for _ in range(9)) + ".", "", "", 0, "")] * 2).withColumnRenamed("lang", "_t").withColumnRenamed("source", "kept")
+    assert quality.clean_documents(clash).columns == clash.columns and quality.clean_documents(clash).count() == 2
+
+
 def test_packing_is_gapless_and_round_trips(spark):
     rng = random.Random(4)
     docs = [(i, prose(rng, rng.choice([3, 40, 900, 6000])), "", "", 0, "") for i in range(60)] + [(60, None, "", "", 0, "")]
@@ -175,27 +195,68 @@ def test_warc_dictionary_sees_the_whole_archive(monkeypatch):
     assert int(seen[-1][:6]) > 900 and sum(map(len, seen)) <= warc.SAMPLE_BYTES + 10_000
 
 
-def test_jaccard_by_brute_force(spark):
+def linked_classes(sets, num, den):
+    """Class of each key of sets (the smallest of its links' component), by comparing all pairs."""
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            k = len(sets[a] & sets[b])
+            if a < b and k and den * k >= num * (len(sets[a]) + len(sets[b]) - k):
+                lo, hi = sorted((root(a), root(b)))
+                parent[hi] = lo
+    return {i: root(i) for i in sets}
+
+
+@pytest.mark.parametrize(("n", "num", "den", "bounds"), [(4, 85, 100, {}), (5, 80, 100, {"COMMON_KEPT": 5, "FLUSH": 300}), (4, 85, 100, {"BLOCK": 8, "PIVOTS": 2}), (5, 80, 100, {"BLOCK_TOKENS": 200, "BUCKET_BYTES": 500})])
+def test_jaccard_by_brute_force(spark, monkeypatch, n, num, den, bounds):
+    for name, x in bounds.items():
+        monkeypatch.setattr(jaccard, name, x)
     rng = random.Random(7)
-    docs, base = [], [prose(rng, 60).split() for _ in range(12)]
+    passage = prose(rng, 25)
+    docs, base = [], [prose(rng, size).split() for size in (60,) * 9 + (10, 14, 200)]
     for i in range(150):
         w = list(rng.choice(base))
         for _ in range(rng.choice([0, 0, 1, 2, 4])):
             w[rng.randrange(len(w))] = "edit" + str(rng.randrange(1000))
         docs.append((i, " ".join(w[: rng.choice([60, 60, 50, 3])]), "", "", 0, ""))
-    sets = {i: {tuple(w[j : j + 4]) for j in range(len(w) - 3)} or {tuple(w)} for i, t, *_ in docs for w in [t.split()]}
-    label = {i: i for i in sets}
-    for _ in range(20):
-        for a in sets:
-            for b in sets:
-                k = len(sets[a] & sets[b])
-                if k and 100 * k >= 85 * (len(sets[a]) + len(sets[b]) - k):
-                    label[a] = label[b] = min(label[a], label[b])
-    for block in (4000, 8):
-        jaccard.BLOCK = block
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(frame(spark, docs), 4, 85, 100).collect()}
-        assert got == {i: (len(sets[i]), label[i]) for i in sets}
-    jaccard.BLOCK = 4000
+    docs += [(150 + i, prose(rng, 40) + " " + passage, "", "", 0, "") for i in range(20)]
+    sets = {i: {tuple(w[j : j + n]) for j in range(len(w) - n + 1)} or {tuple(w)} for i, t, *_ in docs for w in [t.split()]}
+    label = linked_classes(sets, num, den)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(frame(spark, docs), n, num, den).collect()}
+    assert got == {i: (len(sets[i]), label[i]) for i in sets}
+
+
+def test_equal_parts_meet_for_all_linked_pairs():
+    rng = random.Random(11)
+    for num, den in ((80, 100), (85, 100)):
+        parts = jaccard.Parts(num, den)
+        for size in [*range(1, 60), 150, 400, 1500]:
+            base = {rng.getrandbits(64) for _ in range(size)}
+            for _ in range(12):
+                near = set(rng.sample(sorted(base), rng.randint(-(-num * size // den), size)))
+                near |= {rng.getrandbits(64) for _ in range(rng.randint(0, size * den // num - size))}
+                if den * len(base & near) < num * len(base | near):
+                    continue
+                two = [np.array(sorted(x), np.uint64) for x in (base, near)]
+                named = [set(), set()]
+                for k, x in parts.signatures(np.concatenate(two), np.array([0, len(base), len(base) + len(near)]), np.array([rng.random() < 0.3] * (len(base) + len(near)))):
+                    named[k] |= set(x.tolist())
+                assert base == near or named[0] & named[1], (size, len(near))
+
+
+def test_merge_skip_counts_like_a_counter():
+    rng = random.Random(12)
+    for _ in range(200):
+        lists = [sorted(rng.sample(range(30), rng.randint(1, 12))) for _ in range(rng.randint(0, 9))]
+        least = rng.randint(1, 6)
+        counts = Counter(x for one in lists for x in one)
+        assert sorted(jaccard.merge_skip(lists, least)) == sorted((x, c) for x, c in counts.items() if c >= least)
 
 
 def test_components_of_a_chain(spark):
@@ -214,6 +275,33 @@ def test_extraction_leaves_noise_out(spark):
     assert got == [(1, main), (1, main), (2, ""), (3, "plain words"), (4, "unclosed tag")]
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<div><p class="x" ">Hello there</p><p>two</p></div>', "Hello there two"),
+        ('<div class="content share-post"><p>Body text</p><div class="share">Share it</div></div>', "Body text"),
+        ('<div class="post"><p>Text</p><div id="comments">bad</div></div>', "Text"),
+        ('<div class="sidebar"><p>All is here</p></div><footer>foot</footer>', "All is here"),
+        ("<nav>only</nav>", ""),
+        ("<title>open <p>text after", "open text after"),
+        ("<p title='a > b' class=post>ok", "ok"),
+        ("a < b and c > d", "a < b and c > d"),
+        ("<!--> <p>x</p><!-- y", "x"),
+        ("<p>" + "long " * 200_000 + "</p>", " ".join(["long"] * 200_000)),
+    ],
+)
+def test_extraction_of_odd_pages(html, text):
+    assert extraction.extract(html, []) == text
+
+
+def test_extraction_votes_and_empty_table(spark):
+    schema = "page_id long, url string, html string, host string, winners string"
+    rows = [(i, "http://h/1", f"<div class=a><p>body {i} of it all</p></div><div class=b><p>a much longer aside than the body {i}</p></div>" if i == 0 else f"<div class=a><p>body {i} of it all and more words</p></div><div class=b><p>x</p></div>", "x", "y") for i in range(5)]
+    got = {r.page_id: r.text for r in extraction.extract_main_text(spark.createDataFrame(rows, schema)).collect()}
+    assert got[0] == "body 0 of it all" and len(got) == 5
+    assert extraction.extract_main_text(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_chat_fold_and_round_trip(spark):
     log = [(1, 1, "message", 1, "user", "hi [INST]"), (1, 2, "message", 2, "assistant", "a"), (1, 3, "delta", 2, "assistant", "b\\e"), (1, 4, "message", 3, "user", "bad"), (1, 5, "regenerate", 2, "assistant", "gone"), (1, 6, "delta", 2, "assistant", "</s> new"), (1, 7, "edit", 1, "user", "hello \\l")]
     folded = chat.fold_events(spark.createDataFrame(log, "conv_id long, seq long, kind string, turn long, role string, text string"))
