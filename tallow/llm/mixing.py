@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallow.llm.common import WORD, stage, word_count
+from tallow.llm.common import WORD, set_aside, stage, word_count
 
 RANGE_ROWS = 512
 MAX_RANGE_DIGITS = 5
@@ -76,38 +76,50 @@ def _cuts(keyed: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFr
     return stage(out, "mix-cuts")
 
 
+ADDED = ["mix_size", "mix_source_size", "mix_target", "mix_taken"]
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs with the added columns mix_size, mix_source_size, mix_target and mix_taken (words taken, repeats counted).
 
-    Null texts have size 0; null sources are one source, last in order; a source without words has
-    target and taken 0. Rows whose key is equal (same id, source and size) share the words at the
-    cut equally. An empty table gives an empty result. Other columns pass through.
+    Null and empty texts have size 0; null sources are one source, last in order; a source without words has
+    target and taken 0. Rows whose key is equal (same id, source and size, as of repeated rows) share the words at
+    the cut equally. Very long texts count whole. An empty table gives an empty result. Other columns pass
+    through; those named like an added one are replaced.
     """
-    names = ["mix_size", "mix_source_size", "mix_target", "mix_taken"]
-    keyed = _keyed(docs, id_col, text_col, source_col)
-    slim = stage(keyed.select(F.col(source_col).alias("_source"), "_size", "_key"), "mix-keys")
+    docs, names = set_aside(docs)
+    source = names[source_col]
+    keyed = _keyed(docs, names[id_col], names[text_col], source)
+    slim = stage(keyed.select(F.col(source).alias("_source"), "_size", "_key"), "mix-keys")
     cuts = _cuts(slim, weights, max_epochs)
     few = cuts.count() <= BROADCAST_SOURCES
     salts = 1 if few else 32
     left = keyed.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(salts)))
     right = cuts.withColumn("_salt2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     right = F.broadcast(right) if few else right
-    joined = left.join(right, left[source_col].eqNullSafe(right["_source"]) & (left["_salt"] == right["_salt2"]))
+    joined = left.join(right, left[source].eqNullSafe(right["_source"]) & (left["_salt"] == right["_salt2"]))
     in_rest = F.when(F.col("_cut_key").isNull(), F.lit(0)).when(F.col("_key") < F.col("_cut_key"), F.col("_size")).when(F.col("_key") == F.col("_cut_key"), F.least("_cut_words", "_size")).otherwise(F.lit(0))
     taken = F.col("_full") * F.col("_size") + in_rest
-    return joined.select(*docs.columns, F.col("_size").alias(names[0]), F.col("_total").alias(names[1]), F.col("_target").alias(names[2]), taken.cast("long").alias(names[3]))
+    new = [F.col("_size"), F.col("_total"), F.col("_target"), taken.cast("long")]
+    return joined.select(*[F.col(x).alias(c) for c, x in names.items() if c not in ADDED], *[x.alias(c) for x, c in zip(new, ADDED, strict=True)])
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: whole documents once per full take, and the cut document shortened to its first words; columns of docs."""
-    text = options.get("text_col", "text")
-    mixed = mix_sources(docs, **options)
+def mixed_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The mix itself: whole documents once per full take, and the cut document shortened to its first words; columns of docs, whatever their names.
+
+    Documents without words are never taken, so an empty table, or one of null texts, gives an empty one. Rows at the cut
+    with equal keys are shortened alike. A column n_chars follows a shortened text.
+    """
+    given, names = set_aside(docs)
+    text = names[text_col]
+    mixed = mix_sources(given, **{k: names.get(x, x) if k.endswith("_col") else x for k, x in ({"id_col": "doc_id", "source_col": "source"} | options).items()}, text_col=text)
     whole = F.when(F.col("mix_size") > 0, F.floor(F.col("mix_taken") / F.col("mix_size"))).otherwise(F.lit(0)).cast("int")
     part = (F.col("mix_taken") - whole * F.col("mix_size")).cast("int")
     copies = F.concat(F.array_repeat(F.lit(0), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
     rows = mixed.withColumn("_part", F.explode(copies))
     short = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)), F.lit(1), F.col("_part")), " ")
-    rows = rows.withColumn(text, F.when(F.col("_part") > 0, short).otherwise(F.col(text)))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_part") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    rows = rows.withColumn("_text", F.when(F.col("_part") > 0, short).otherwise(F.col(text)))
+    new = {text_col: F.col("_text")}
+    if "n_chars" in names:
+        new["n_chars"] = F.when(F.col("_part") > 0, F.length("_text").cast("long")).otherwise(F.col(names["n_chars"]))
+    return rows.select(*[new.get(c, F.col(x)).alias(c) for c, x in names.items()])

@@ -10,12 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallow.llm.common import set_aside
+
 # Phrases that mark a short line as boilerplate.
 BOILERPLATE = r"(?i)all rights reserved|cookie|privacy policy|terms of (use|service)|click here|subscribe|sign (in|up)|log ?in|javascript|copyright|read more|share (this|on)"
 SYMBOL = r"[#*$%&|<>]"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bad_lines", "lost_words", "clean_text", "base_failed", "kept"]
+
 # A word that the same word follows.
 STUTTER = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+(?=\1(?![^\x20\x09-\x0D]))"
 
@@ -42,10 +46,12 @@ def apply_quality_rules(docs: DataFrame, max_loss: float = 0.4, min_words: int =
     Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_bad_lines, lost_words,
     clean_text, base_failed and kept. kept is false for base_failed documents and for those whose
     failing lines hold more than max_loss of their words. Null and empty texts have no words, fail the
-    base rules and have an empty clean_text. Other columns pass through; clashing names are replaced.
+    base rules and have an empty clean_text; very long ones are judged whole. Repeated rows are judged alike, a
+    table without rows gives none. Other columns pass through; those named like a new one are replaced.
     """
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.withColumn("_t", t).withColumn("_w", words_of(F.col("_t")))
+    given, names = set_aside(docs)
+    t = F.coalesce(F.col(names[text_col]), F.lit(""))
+    base = given.withColumn("_t", t).withColumn("_w", words_of(F.col("_t")))
     # Windows of three words, as 64-bit hashes in text order.
     rest = lambda k: F.slice(F.col("_w"), F.lit(k), F.greatest(F.size("_w") - 2, F.lit(0)))
     base = base.withColumn("_windows", F.zip_with(F.zip_with(rest(1), rest(2), lambda a, b: F.xxhash64(a, b)), rest(3), lambda x, c: F.xxhash64(x, c)))
@@ -84,16 +90,15 @@ def apply_quality_rules(docs: DataFrame, max_loss: float = 0.4, min_words: int =
     base = base.withColumn("n_dup_lines", (F.size("_with_words") - F.size(F.array_distinct("_with_words"))).cast("long"))
     base = base.withColumn("base_failed", (F.col("n_words") < min_words) | (F.col("n_repeat_words") > F.lit(max_repeat) * F.col("n_words")))
     base = base.withColumn("kept", ~F.col("base_failed") & (F.col("lost_words") <= F.lit(max_loss) * F.col("n_words")))
-    return base.drop("_t", "_w", "_windows", "_lines", "_bits", "_packed", "_whole", "_spots", "_with_words")
+    return base.select(*[F.col(given).alias(c) for c, given in names.items() if c not in ADDED], *ADDED)
 
 
 def clean_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The kept documents with their failing lines removed; columns of docs."""
+    """The kept documents with their failing lines removed; columns of docs, whatever their names. A column n_chars follows the new text."""
     # The filter must stay above the figures: pushed into them, it would repeat their whole chain of expressions
     # for each use. A condition on a column that is not deterministic (and always true) holds it there.
-    judged = apply_quality_rules(docs, text_col=text_col, **options).withColumn("_row", F.monotonically_increasing_id())
+    given, names = set_aside(docs)
+    judged = apply_quality_rules(given, text_col=names[text_col], **options).withColumn("_row", F.monotonically_increasing_id())
     kept = judged.where(F.col("kept") & (F.col("_row") >= 0))
-    kept = kept.withColumn(text_col, F.col("clean_text"))
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.length(text_col).cast("long"))
-    return kept.select(*docs.columns)
+    new = {text_col: F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
+    return kept.select(*[new.get(c, F.col(x)).alias(c) for c, x in names.items()])

@@ -73,6 +73,15 @@ def test_mixing_meets_targets(spark):
     assert total == sum(taken.values())
 
 
+def test_mixing_takes_odd_tables_and_clashing_names(spark, odd, empty):
+    clash = odd.withColumnRenamed("lang", "_target").withColumnRenamed("n_words", "mix_size")
+    assert mixing.mix_sources(clash).count() == len(ODD)
+    for docs in (odd, clash, empty):
+        mixed = mixing.mixed_documents(docs)
+        assert mixed.columns == docs.columns and all(r.text for r in mixed.collect())
+    assert mixing.mixed_documents(empty).count() == 0
+
+
 def test_water_filling_caps(spark):
     sizes = spark.createDataFrame([("a", 1), ("b", 10), ("c", 1000)], "_source string, _total long")
     got = {r._source: r._target for r in mixing.source_targets(sizes).collect()}
@@ -110,7 +119,8 @@ def test_stutter_is_judged_on_every_line(spark):
 
 def test_clean_documents_takes_odd_and_empty_tables(spark, odd, empty):
     assert quality.clean_documents(odd).count() == 0 and quality.clean_documents(empty).columns == empty.columns
-    clash = frame(spark, [(1, ". ".join(prose(random.Random(1), 9) for _ in range(9)) + ".", "", "", 0, "")] * 2).withColumnRenamed("lang", "_t").withColumnRenamed("source", "kept")
+    rng = random.Random(14)
+    clash = frame(spark, [(1, ". ".join(prose(rng, 9) for _ in range(9)) + ".", "", "", 0, "")] * 2).withColumnRenamed("lang", "_t").withColumnRenamed("source", "kept")
     assert quality.clean_documents(clash).columns == clash.columns and quality.clean_documents(clash).count() == 2
 
 
