@@ -24,8 +24,10 @@ from tallow.llm.common import stage
 
 CAPACITY = 4096
 END_ID = 1
-MEMO_WORDS = 800_000
-MEMO_TEXT = 1_000_000
+MEMO_WORDS = 400_000  # words remembered by a process, about 60 MB
+MEMO_CHARS = 64
+MARK = "|"
+SLICE_ROWS = 256
 RANGE_ROWS = 512
 
 
@@ -35,14 +37,15 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-_encoders: dict[str, Callable[[str], bytes]] = {}
+_encoders: dict[str, Callable[[list[str]], list[bytes]]] = {}
 
 
-def word_encoder(path: str) -> Callable[[str], bytes]:
-    """Text to little-endian unsigned 32-bit ids; one encoder per process and file.
+def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+    """Texts to little-endian unsigned 32-bit ids; one encoder per process and file.
 
     The tokenizer drops white space and joins nothing across it, so each word is encoded once and
-    remembered, up to MEMO_WORDS words; later ones are encoded anew each time.
+    remembered, up to MEMO_WORDS words; later ones are encoded anew each time. New words are encoded many
+    at once, with a mark between them; words that hold the mark are encoded alone.
     """
     if path in _encoders:
         return _encoders[path]
@@ -51,18 +54,31 @@ def word_encoder(path: str) -> Callable[[str], bytes]:
 
     tok = Tokenizer.from_file(path)
     memo: dict[str, bytes] = {}
-
-    def encode(text: str) -> bytes:
+    ids_of = lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, "<u4")
+    mark_ids = ids_of(MARK)
+
+    def learn(new: list[str]) -> dict[str, bytes]:
+        out = {}
+        for lo in range(0, len(new), 4096):
+            part = [w for w in new[lo : lo + 4096] if MARK not in w]
+            ids = ids_of(f" {MARK} ".join(part))
+            cuts = np.flatnonzero(ids == mark_ids[0]) if len(mark_ids) == 1 else ()
+            if len(cuts) == len(part) - 1:
+                raw, ends = ids.tobytes(), (4 * cuts).tolist()
+                out.update({w: raw[a:b] for w, a, b in zip(part, [0, *[x + 4 for x in ends]], [*ends, len(raw)], strict=True)})
+            out.update({w: ids_of(w).tobytes() for w in new[lo : lo + 4096] if w not in out})
+        return out
+
+    def encode(texts: list[str]) -> list[bytes]:
         # split() also cuts at these four, which the tokenizer takes for symbols
-        ws = [text] if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
-        new = {w for w in ws if w not in memo}
-        if not new:
-            return b"".join([memo[w] for w in ws])
-        got = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, tok.encode_batch_fast(list(new), add_special_tokens=False), strict=True)}
-        if len(memo) < MEMO_WORDS and len(text) < MEMO_TEXT:
-            memo.update(got)
-            return b"".join([memo[w] for w in ws])
-        return b"".join([got[w] if w in got else memo[w] for w in ws])
+        words = [[t] if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
+        known = {w: memo.get(w) for w in set().union(*words)}
+        if new := [w for w, x in known.items() if x is None]:
+            got = learn(new)
+            known.update(got)
+            if len(memo) < MEMO_WORDS:
+                memo.update({w: x for w, x in got.items() if len(w) < MEMO_CHARS})
+        return [b"".join(map(known.__getitem__, ws)) for ws in words]
 
     _encoders[path] = encode
     return encode
@@ -72,16 +88,20 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def tokenize_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, ids. A null text is empty and gives one piece, the end id."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, ids.
+
+    A null or empty text gives one piece, the end id. Texts are tokenised whole, however long; repeated rows and
+    null ids give pieces of their own, a table without rows none. Other columns are not read.
+    """
     schema = PIECES + (", ids array<int>" if with_ids else "")
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_encoder(path)
-        for batch in batches:
+        for batch in (b.slice(lo, SLICE_ROWS) for b in batches for lo in range(0, b.num_rows, SLICE_ROWS)):
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text or "") + end
+            for doc, ids in zip(batch.column(0).to_pylist(), encode([x or "" for x in batch.column(1).to_pylist()]), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     row = (doc, k, at // 4, len(part) // 4, zlib.crc32(part))
@@ -204,4 +224,5 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, **columns) -> DataFrame:
+    """The pieces of docs (see tokenize_pieces) with sequence_id and offset (see pack)."""
     return pack(tokenize_pieces(docs, path or tokenizer_path(), capacity, **columns), capacity)
