@@ -22,10 +22,10 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallow.llm.common import shuffle_partitions, stage, unstage
+from tallow.llm.common import arrow_rows, shuffle_partitions, stage
 from tallow.llm.components import components
 from tallow.llm.wordhash import mix, words
 
@@ -35,7 +35,9 @@ BLOCK = 4000
 BLOCK_TOKENS = 2_000_000
 PIVOTS = 32
 BUCKET_BYTES = 8 << 20
-FLUSH = 2_000_000
+FLUSH = 1_000_000
+COUNTED = 4_000_000
+BATCH_ROWS = 1000
 SALTS = 16
 BROADCAST_BYTES = 64 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -75,16 +77,29 @@ def least_overlap(a: np.ndarray | int, b: np.ndarray | int, num: int, den: int):
 
 
 def common_tokens(docs: DataFrame, n: int, text_col: str) -> np.ndarray:
-    """Sorted tokens that occur more than COMMON times, counting those seen twice or more within a batch of rows."""
+    """Sorted tokens that occur more than COMMON times, counting those seen twice or more within a run of about COUNTED tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [s for _, _, s, _ in shingle_sets(b.column(0), n)]
-            every = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
+        held: list[np.ndarray] = []
+        waiting = 0
+
+        def count() -> pa.RecordBatch:
+            every = np.concatenate(held)
+            held.clear()
+            every.sort()
             first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, np.int64)
-            count = np.diff(np.append(first, len(every)))
-            first, count = first[count > 1], count[count > 1]
-            yield pa.RecordBatch.from_arrays([pa.array(every[first].view(np.int64)), pa.array(count.astype(np.int64))], names=["token", "n"])
+            times = np.diff(np.append(first, len(every)))
+            return pa.RecordBatch.from_arrays([pa.array(every[first[times > 1]].view(np.int64)), pa.array(times[times > 1].astype(np.int64))], names=["token", "n"])
+
+        for b in batches:
+            for _, _, sets, _ in shingle_sets(b.column(0), n):
+                held.append(sets)
+                waiting += len(sets)
+                if waiting > COUNTED:
+                    yield count()
+                    waiting = 0
+        if held:
+            yield count()
 
     counts = docs.select(text_col).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > COMMON)
     top = counts.orderBy(F.desc("n"), "token").limit(COMMON_KEPT).toPandas()  # COMMON_KEPT rows at most
@@ -468,10 +483,18 @@ def _rest_places(members: DataFrame, classes: DataFrame, step: float) -> DataFra
     count = lambda c, name: F.coalesce(F.try_element_at("cells", c)[name], F.lit(0))
     part = lambda k, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.greatest(k, F.lit(1))).cast("int")
     cell = F.col("cell")
-    mine = [F.transform(_upto(count(cell + d, "a")), lambda j, d=d: _place(INDEX, F.col("cls"), cell + d, j, cell, part(count(cell, "k"), 3))) for d in (-1, 0, 1)]
-    asked = [F.when(F.col("asks"), F.transform(_upto(count(cell + d, "k")), lambda j, d=d: _place(ASKS, F.col("cls"), cell, part(count(cell, "a"), 4), cell + d, j))) for d in (-1, 0, 1)]
+    cls = F.col("cls")
+
+    def mine(d: int) -> Column:
+        """Where the node is asked by those of the cell d away."""
+        return F.transform(_upto(count(cell + d, "a")), lambda j: _place(INDEX, cls, cell + d, j, cell, part(count(cell, "k"), 3)))
+
+    def asked(d: int) -> Column:
+        """Where the node asks those of the cell d away."""
+        return F.when(F.col("asks"), F.transform(_upto(count(cell + d, "k")), lambda j: _place(ASKS, cls, cell, part(count(cell, "a"), 4), cell + d, j)))
+
     none = F.array().cast("array<struct<task:bigint,side:int,cls:bigint>>")
-    places = F.concat(*mine, *[F.coalesce(x, none) for x in asked])
+    places = F.concat(*map(mine, (-1, 0, 1)), *[F.coalesce(asked(d), none) for d in (-1, 0, 1)])
     return m.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list(places))).alias("places")).where(F.size("places") > 0)
 
 
@@ -483,7 +506,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     rows, and a row without an id has the class of its set. A very long text is one set, whole. A
     table without rows gives none; only the id and the text are read, so other columns may have any name.
     """
-    heads = heads_and_edges(docs, n, num, den, id_col, text_col)
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        heads = heads_and_edges(docs, n, num, den, id_col, text_col)
     edges, heads = heads.where("u is not null").select("u", "v"), heads.where("u is null").drop("u", "v")
     copied = heads.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
@@ -499,14 +523,16 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s")).where("n > 1").withColumn("parts", parts)
     sizes = stage(sizes, "jaccard-families")
     places = stage(_first_places(members, sizes), "jaccard-places")
-    links = stage(_search(_tokens_at(docs, places, n, id_col, text_col), num, den), "jaccard-links")
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        links = stage(_search(_tokens_at(docs, places, n, id_col, text_col), num, den), "jaccard-links")
     classes = components(links)
     large = sizes.where("parts > 1")
     if large.limit(1).count():
         step = float(-np.log(num / den)) * (1 + 1e-9)
         rest = stage(_rest_places(_by_family(members, large.select("family")), classes, step), "jaccard-rest")
         if rest.limit(1).count():
-            more = stage(_search(_tokens_at(docs, rest, n, id_col, text_col), num, den), "jaccard-links")
+            with arrow_rows(docs.sparkSession, BATCH_ROWS):
+                more = stage(_search(_tokens_at(docs, rest, n, id_col, text_col), num, den), "jaccard-links")
             classes = components(links.unionByName(more))
     salted = classes.select(F.col("node").alias("cnode"), "component").withColumn("csalt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
     out = nodes.withColumn("salt", salt).join(salted, (F.col("node") == F.col("cnode")) & (F.col("salt") == F.col("csalt")), "left")

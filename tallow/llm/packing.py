@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallow.llm.common import stage
+from tallow.llm.common import arrow_rows, stage
 
 CAPACITY = 4096
 END_ID = 1
@@ -28,6 +28,7 @@ MEMO_WORDS = 400_000  # words remembered by a process, about 60 MB
 MEMO_CHARS = 64
 MARK = "|"
 SLICE_ROWS = 256
+BATCH_ROWS = 1024
 RANGE_ROWS = 512
 
 
@@ -197,7 +198,8 @@ def _ranked(pieces: DataFrame) -> DataFrame:
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces (doc_id, piece, start, length, ids_crc32) with sequence_id and offset. Equal rows are pieces of their own. An empty table gives an empty result."""
-    pieces = stage(pieces, "pack-pieces")
+    with arrow_rows(pieces.sparkSession, BATCH_ROWS):
+        pieces = stage(pieces, "pack-pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = plan_bins(histogram, capacity)
     names = pieces.columns
