@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-BY = ("asset_symbol",)
+BY = ("asset_symbol", "interval")
 
 
 def ordered(by: tuple[str, ...] = BY, order: str = "date"):

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tallow.functions.windows import BY, guarded, lagged, ordered, pct_change, rolling
+from tallow.functions.windows import BY, guarded, lagged, ordered, rolling
 
 MIN_ROWS = 200
 RECURSIVE = ["rsi_14", "ema_12", "ema_26", "ema_50", "ema_200", "macd", "macd_signal", "macd_histogram", "atr_14"]
@@ -43,14 +42,7 @@ def window_indicators(bars: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
 
 def ewm(x: np.ndarray, alpha: float, least: int = 0) -> np.ndarray:
     """y[t] = (1 - alpha) y[t-1] + alpha x[t] from the first known value on; NaN before `least` known values."""
-    out, y, seen = np.full(len(x), np.nan), np.nan, 0
-    for t, v in enumerate(x):
-        if v == v:
-            y = v if seen == 0 else (1 - alpha) * y + alpha * v
-            seen += 1
-        if seen >= max(least, 1):
-            out[t] = y
-    return out
+    return pd.Series(x).ewm(alpha=alpha, adjust=False, min_periods=least).mean().to_numpy()
 
 
 def wilder_atr(h: np.ndarray, lo: np.ndarray, c: np.ndarray, n: int = 14) -> np.ndarray:
@@ -59,9 +51,7 @@ def wilder_atr(h: np.ndarray, lo: np.ndarray, c: np.ndarray, n: int = 14) -> np.
     tr[1:] = np.maximum(tr[1:], np.maximum(np.abs(h[1:] - c[:-1]), np.abs(lo[1:] - c[:-1])))
     out = np.zeros(len(c))
     if len(c) >= n:
-        out[n - 1] = tr[:n].mean()
-        for t in range(n, len(c)):
-            out[t] = ((n - 1) * out[t - 1] + tr[t]) / n
+        out[n - 1 :] = ewm(np.concatenate(([tr[:n].mean()], tr[n:])), 1 / n)
     return out
 
 
@@ -100,6 +90,30 @@ def features(gold: DataFrame, by: tuple[str, ...] = BY, min_rows: int = MIN_ROWS
     return done.na.drop(subset=RECURSIVE + WINDOWED)
 
 
+def class_features(features: DataFrame, extras: DataFrame, asset_class: str) -> DataFrame:
+    """The feature table of one class; that of crypto has turnover, open interest and funding of the same bar where they exist."""
+    own = features.where(F.lower("asset_class") == asset_class.lower())
+    keys = ["asset_symbol", "interval", "date"]
+    return own.join(extras.select(*keys, "turnover", "open_interest", "funding_rate"), keys, "left") if asset_class.lower() == "crypto" else own
+
+
+def dashboard_recursive(bars: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
+    """The dashboard's exponential means, defined from the first row on: ema_dash_9/21/50, macd_dash, its signal and histogram."""
+    names = ["ema_dash_9", "ema_dash_21", "ema_dash_50", "macd_dash", "macd_dash_signal", "macd_dash_histogram"]
+    keep = bars.select(*[c for c in bars.columns if c not in names])
+    schema = StructType([*keep.schema.fields, *[StructField(x, DoubleType()) for x in names]])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date", kind="stable")
+        c = pdf["close"].to_numpy(float)
+        ema = {n: ewm(c, 2 / (n + 1)) for n in (9, 12, 21, 26, 50)}
+        macd = ema[12] - ema[26]
+        signal = ewm(macd, 0.2)
+        return pdf.assign(ema_dash_9=ema[9], ema_dash_21=ema[21], ema_dash_50=ema[50], macd_dash=macd, macd_dash_signal=signal, macd_dash_histogram=macd - signal)[schema.names]
+
+    return keep.groupBy(*by).applyInPandas(run, schema)
+
+
 def dashboard_indicators(bars: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
     """The dashboard's formulas under names of their own: simple-mean RSI and ATR, sample Bollinger, cumulative VWAP, signed OBV."""
     w = ordered(by)
@@ -117,15 +131,3 @@ def dashboard_indicators(bars: DataFrame, by: tuple[str, ...] = BY) -> DataFrame
         }
     )
     return out.drop("_p", "_n", "_d")
-
-
-def last_value(rows: Iterator[float], alpha: float) -> float:
-    """End state of an exponential mean."""
-    y = None
-    for x in rows:
-        y = x if y is None else (1 - alpha) * y + alpha * x
-    return float("nan") if y is None else y
-
-
-def returns(bars: DataFrame, n: int = 1, by: tuple[str, ...] = BY) -> DataFrame:
-    return bars.withColumn("change_pct", pct_change("close", ordered(by), n) * 100)

@@ -47,11 +47,12 @@ def split_by_position(df: DataFrame, share: float = 0.8, by: tuple[str, ...] = B
     return df.withColumn("is_train", F.row_number().over(ordered(by)) <= F.floor(n * F.lit(share)))
 
 
-def standardise(df: DataFrame, cols: list[str], fit: str = "is_train") -> DataFrame:
-    """cols less the mean, over the population deviation, of the rows where `fit` holds."""
-    stats = df.where(fit).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"_s_{c}") for c in cols])
-    out = df.crossJoin(F.broadcast(stats))  # one row
-    return out.withColumns({c: (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") == 0, 1.0).otherwise(F.col(f"_s_{c}")) for c in cols}).select(*df.columns)
+def standardise(df: DataFrame, cols: list[str], fit: str = "is_train", by: tuple[str, ...] = BY) -> DataFrame:
+    """cols less the mean, over the population deviation, of the rows of the same group where `fit` holds; a group without such rows has none."""
+    w = Window.partitionBy(*by)
+    seen = lambda c: F.when(F.col(fit), F.col(c))
+    scale = lambda c: F.stddev_pop(seen(c)).over(w)
+    return df.withColumns({c: (F.col(c) - F.avg(seen(c)).over(w)) / F.when(scale(c) == 0, 1.0).otherwise(scale(c)) for c in cols})
 
 
 def winsorise(df: DataFrame, cols: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
@@ -94,73 +95,118 @@ def assign_folds(df: DataFrame, min_train: int = 100, min_test: int = 20, by: tu
     return rows.join(kept, reduce(and_, [*same, F.col("fold") == F.col("_fold")])).drop("fold", "_fold", *keys)
 
 
-TRADES = "entry_time timestamp_ntz, exit_time timestamp_ntz, entry_price double, exit_price double, pnl double, pnl_pct double, exit_reason string, bars_held int, confidence double"
-
-
-def trades_of(pdf: pd.DataFrame, confidence: float = 0.52, stop: float = 0.02, take: float = 0.04, max_hold: int = 24) -> list[tuple]:
-    """Long-only fold over bars in time order: stop, then target, then age end a trade; a new one may start on the same bar."""
-    out: list[tuple] = []
-    open_at = None
-    rows = list(pdf[["date", "high", "low", "close", "prediction", "confidence"]].itertuples(index=False))
-    for k, r in enumerate(rows):
-        if open_at:
-            time, price, conf, held = open_at
-            held += 1
-            end = (price * (1 - stop), "stop_loss") if r.low <= price * (1 - stop) else (price * (1 + take), "take_profit") if r.high >= price * (1 + take) else (r.close, "max_hold") if held >= max_hold else None
-            if end:
-                out.append((time, r.date, price, end[0], end[0] - price, (end[0] / price - 1) * 100, end[1], held, conf))
-                open_at = None
-            else:
-                open_at = (time, price, conf, held)
-        if not open_at and r.prediction == 1 and r.confidence >= confidence:
-            open_at = (r.date, r.close, r.confidence, 0)
-        if k == len(rows) - 1 and open_at:
-            time, price, conf, held = open_at
-            out.append((time, r.date, price, r.close, r.close - price, (r.close / price - 1) * 100, "force_close", held, conf))
-    return out
+def classification_report(df: DataFrame, actual: str = "actual", predicted: str = "prediction") -> DataFrame:
+    a, p = F.col(actual) == 1, F.col(predicted) == 1
+    counts = df.agg(F.count_if(a & p).alias("tp"), F.count_if(~a & p).alias("fp"), F.count_if(a & ~p).alias("fn"), F.count_if(~a & ~p).alias("tn"))
+    ratio = lambda x, y: F.coalesce(F.try_divide(x, y), F.lit(0.0))
+    tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
+    return counts.withColumns({"accuracy": ratio(tp + tn, tp + fp + fn + tn), "precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn)})
 
 
-def simulate(predictions: DataFrame, by: tuple[str, ...] = BY, **rules: float) -> DataFrame:
-    """Trades of every group (by), with cumulative_pnl. The state runs through a group's bars in order."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in predictions.select(*by).schema)
-    names = [x.split()[0] for x in TRADES.split(", ")]
+# Confidence thresholds of the sweep, and of the two-sided filter.
+THRESHOLDS = [0.50, 0.52, 0.54, 0.56, 0.58, 0.60, 0.62, 0.64, 0.66, 0.68, 0.70]
+TWO_SIDED = [0.51, 0.52, 0.53, 0.54, 0.55, 0.57, 0.60]
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = trades_of(pdf.sort_values("date", kind="stable"), **rules)
-        return pd.DataFrame([(*key, *r) for r in rows], columns=[*by, *names])
 
-    done = predictions.groupBy(*by).applyInPandas(run, f"{schema}, {TRADES}")
-    w = Window.partitionBy(*by).orderBy("exit_time", "entry_time").rowsBetween(Window.unboundedPreceding, 0)
-    return done.withColumn("cumulative_pnl", F.sum("pnl").over(w))
+def threshold_sweep(df: DataFrame, thresholds: list[float] = THRESHOLDS, proba: str = "proba", actual: str = "actual") -> DataFrame:
+    """Coverage, accuracy, precision, recall and F1 of the predictions at least as sure as each threshold, the accuracy less that of all, and which threshold is best.
 
+    All thresholds are conditional counts of one aggregation over the predictions, then one row each.
+    """
+    sure, up, hit = F.greatest(proba, 1 - F.col(proba)), F.col(proba) >= 0.5, F.col(actual) == 1
+    counts = lambda t: F.struct(F.lit(t).alias("threshold"), *[F.count_if((sure >= t) & x).alias(n) for n, x in (("coverage", F.lit(True)), ("tp", up & hit), ("fp", up & ~hit), ("fn", ~up & hit), ("tn", ~up & ~hit))])
+    rows = df.agg(F.count("*").alias("n"), F.avg((up == hit).cast("int")).alias("base"), F.array(*map(counts, thresholds)).alias("x")).select("n", "base", F.explode("x").alias("x")).select("n", "base", "x.*")
+    ratio = lambda x, y: F.coalesce(F.try_divide(x, y), F.lit(0.0))
+    tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
+    rows = rows.withColumns({"accuracy": F.round(ratio(tp + tn, F.col("coverage")), 4), "precision": F.round(ratio(tp, tp + fp), 4), "recall": F.round(ratio(tp, tp + fn), 4), "f1": F.round(ratio(2 * tp, 2 * tp + fp + fn), 4)})
+    rows = rows.withColumns({"coverage_pct": F.round(F.col("coverage") / F.col("n") * 100, 1), "delta_vs_baseline": F.round(F.col("accuracy") - F.col("base"), 4)})
+    first = F.row_number().over(Window.orderBy(F.desc("accuracy"), "threshold"))  # one row per threshold
+    return rows.withColumn("is_best", first == 1).drop("n", "base", "tp", "fp", "fn", "tn")
 
-def trade_metrics(trades: DataFrame, initial: float = 10_000.0) -> DataFrame:
-    """One row of totals; profit_factor is NULL without losses."""
-    win, loss = F.col("pnl") > 0, F.col("pnl") <= 0
-    return trades.agg(
-        F.count("*").alias("total_trades"), F.round(F.sum("pnl"), 4).alias("total_pnl"), F.round(F.sum("pnl") / initial * 100, 4).alias("total_return_pct"), F.round(F.avg(win.cast("int")) * 100, 4).alias("win_rate"),
-        F.round(F.avg(F.when(win, F.col("pnl"))), 4).alias("avg_win"), F.round(F.avg(F.when(loss, F.col("pnl"))), 4).alias("avg_loss"), F.round(F.try_divide(F.sum(F.when(win, F.col("pnl"))), -F.sum(F.when(loss, F.col("pnl")))), 4).alias("profit_factor"),
-        *[F.count_if(F.col("exit_reason") == r).alias(r) for r in ("stop_loss", "take_profit", "max_hold", "force_close")],
-    )
 
+def two_sided_filter(df: DataFrame, thresholds: list[float] = TWO_SIDED, proba: str = "proba", actual: str = "actual") -> DataFrame:
+    """Coverage, accuracy and trades a day (of 7 hours) of the predictions beyond a threshold on either side; thresholds without any are left out."""
+    p, hit = F.col(proba), F.col(actual) == 1
+    counts = lambda t: F.struct(F.lit(t).alias("threshold"), F.count_if((p > t) | (p < 1 - t)).alias("covered"), F.count_if(((p > t) | (p < 1 - t)) & ((p > 0.5) == hit)).alias("correct"))
+    rows = df.agg(F.count("*").alias("n"), F.array(*map(counts, thresholds)).alias("x")).select("n", F.explode("x").alias("x")).select("n", "x.*").where("covered > 0")
+    coverage = F.col("covered") / F.col("n") * 100
+    return rows.select("threshold", F.round(coverage, 4).alias("coverage_pct"), F.round(F.col("correct") / F.col("covered"), 6).alias("accuracy"), F.round(coverage * 7 / 100, 4).alias("trades_day"))
 
-def equity_curve(trades: DataFrame, by: tuple[str, ...] = BY, initial: float = 10_000.0) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy("exit_time", "entry_time").rowsBetween(Window.unboundedPreceding, 0)
-    e = trades.withColumn("equity", F.lit(initial) + F.sum("pnl").over(w))
-    return e.withColumn("drawdown_pct", (F.greatest(F.max("equity").over(w), F.lit(initial)) - F.col("equity")) / F.greatest(F.max("equity").over(w), F.lit(initial)) * 100).select(*by, F.col("exit_time").alias("date"), "equity", "drawdown_pct")
 
+def long_only(df: DataFrame, threshold: float = 0.58, proba: str = "proba", actual: str = "actual") -> DataFrame:
+    """Buy signals surer than the threshold, and the share that won."""
+    sure = F.col(proba) > threshold
+    return df.agg(F.count_if(sure).alias("signals"), F.round(F.try_divide(F.count_if(sure & (F.col(actual) == 1)), F.count_if(sure)), 6).alias("win_rate"))
 
-def classification_report(df: DataFrame, actual: str = "actual", predicted: str = "prediction") -> DataFrame:
-    a, p = F.col(actual) == 1, F.col(predicted) == 1
-    counts = df.agg(F.count_if(a & p).alias("tp"), F.count_if(~a & p).alias("fp"), F.count_if(a & ~p).alias("fn"), F.count_if(~a & ~p).alias("tn"))
-    ratio = lambda x, y: F.coalesce(F.try_divide(x, y), F.lit(0.0))
-    tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
-    return counts.withColumns({"accuracy": ratio(tp + tn, tp + fp + fn + tn), "precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn)})
 
+def out_of_sample(df: DataFrame, train_end: str, by: tuple[str, ...] = BY) -> DataFrame:
+    """Rows and accuracy of each group before and after the end of training."""
+    flag = F.col("date") > F.lit(train_end).cast("timestamp_ntz")
+    return df.groupBy(*by, flag.alias("is_oos")).agg(F.count("*").alias("n"), F.round(F.avg((F.col("prediction") == F.col("actual")).cast("int")), 6).alias("accuracy"))
 
-def threshold_sweep(df: DataFrame, thresholds: list[float], proba: str = "proba", actual: str = "actual") -> DataFrame:
-    """Coverage and accuracy of the predictions at least as sure as each threshold: all thresholds in one aggregation."""
-    t = df.sparkSession.createDataFrame([(x,) for x in thresholds], "threshold double")
-    sure = F.greatest(proba, 1 - F.col(proba))
-    x = df.crossJoin(F.broadcast(t)).groupBy("threshold").agg(F.count("*").alias("n"), F.count_if(sure >= F.col("threshold")).alias("covered"), F.count_if((sure >= F.col("threshold")) & ((F.col(proba) >= 0.5).cast("int") == F.col(actual))).alias("correct"))
-    return x.select("threshold", "covered", (F.col("covered") / F.col("n")).alias("coverage"), F.try_divide("correct", "covered").alias("accuracy"))
+
+# Columns that move with the price level.
+NON_STATIONARY = [
+    "open", "high", "low", "close", "sma_7", "sma_30", "sma_50", "sma_100", "sma_200", "ema_12", "ema_26", "ema_50", "ema_200", "vwap", "prev_close", "prev_high", "prev_low",
+    "macd", "macd_signal", "macd_histogram", "atr_14", "daily_volatility", "bb_upper", "bb_middle", "bb_lower", "bb_width", "volume", "prev_volume", "volume_sma_20", "obv",
+]
+
+
+def drop_non_stationary(df: DataFrame) -> DataFrame:
+    return df.drop(*NON_STATIONARY)
+
+
+def turnover_features(df: DataFrame, by: tuple[str, ...] = BY, window: int = 50) -> DataFrame:
+    """turnover_ratio (over volume), its z-score, and the changes of a carried-forward turnover over 1 and 5 rows."""
+    w = ordered(by)
+    out = df.withColumns({"turnover_ratio": F.try_divide("turnover", "volume"), "_f": F.last("turnover", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    out = out.withColumns({f"turnover_change_{n}p": F.try_divide(F.col("_f"), F.lag("_f", n).over(w)) - 1 for n in (1, 5)})
+    z = F.try_divide(F.col("turnover_ratio") - rolling(F.avg, "turnover_ratio", window, w), rolling(F.stddev_samp, "turnover_ratio", window, w))
+    return out.withColumn(f"turnover_ratio_zscore_{window}", z).drop("_f")
+
+
+def log_returns(df: DataFrame, cols: tuple[str, ...] = ("open", "high", "low", "close", "volume"), by: tuple[str, ...] = BY) -> DataFrame:
+    """{col}_logret of each column; the first row of a group, which has none, is dropped."""
+    w = ordered(by)
+    out = df.withColumns({f"{c}_logret": F.log(F.try_divide(F.col(c), F.lag(c).over(w))) for c in cols})
+    return out.na.drop(subset=[f"{c}_logret" for c in cols])
+
+
+def lag_features(df: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
+    """Yesterday's rsi_14, log return and volume, the distance to sma_30, the volume over its mean, and the change over 24 rows."""
+    w = ordered(by)
+    return df.withColumns(
+        {
+            "rsi_14_lag1": F.lag("rsi_14").over(w), "log_returns_lag1": F.lag("log_returns").over(w), "volume_lag1": F.lag("volume").over(w),
+            "price_vs_sma": F.try_divide(F.col("close") - F.col("sma_30"), F.col("sma_30")), "vol_spike": F.try_divide("volume", "volume_sma_20"), "momentum_24h": F.try_divide(F.col("close"), F.lag("close", 24).over(w)) - 1,
+        }
+    )
+
+
+def past_returns(df: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
+    w = ordered(by)
+    out = df.withColumns({f"past_return_{n}h": F.try_divide(F.col("close"), F.lag("close", n).over(w)) - 1 for n in (1, 5, 10, 20)})
+    return out.withColumn("past_log_return", F.log(F.try_divide(F.col("close"), F.lag("close").over(w))))
+
+
+def split_by_date(df: DataFrame, cut: str | None = None, share: float = 0.8, by: tuple[str, ...] = BY) -> DataFrame:
+    """is_train for rows before the cut; without one, before the date of each group's row at `share` of its rows."""
+    if cut:
+        return df.withColumn("is_train", F.col("date") < F.lit(cut).cast("timestamp_ntz"))
+    rn, n = F.row_number().over(ordered(by)), F.count(F.lit(1)).over(Window.partitionBy(*by))
+    at = F.min(F.when(F.col("_rn") > F.floor(F.col("_n") * F.lit(share)), F.col("date"))).over(Window.partitionBy(*by))
+    return df.withColumns({"_rn": rn, "_n": n}).withColumn("is_train", F.col("date") < at).drop("_rn", "_n")
+
+
+def split_report(df: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
+    """Rows, span, missing values, mean and share of rises of both sides of each group's split, and whether training ends before the test begins."""
+    side = lambda x: F.col("is_train") == x
+    both = {"train": side(True), "test": side(False)}
+    g = df.groupBy(*by).agg(
+        *[F.count_if(s).alias(f"{k}_rows") for k, s in both.items()],
+        *[f(F.when(s, F.col("date"))).alias(f"{k}_{n}") for k, s in both.items() for f, n in ((F.min, "from"), (F.max, "to"))],
+        *[F.count_if(s & F.col("target").isNull()).alias(f"{k}_null_targets") for k, s in both.items()],
+        *[F.round(F.avg(F.when(s, F.col("target"))), 8).alias(f"{k}_mean") for k, s in both.items()],
+        *[F.round(F.avg(F.when(s, F.col("target_direction"))) * 100, 4).alias(f"{k}_up_pct") for k, s in both.items()],
+    )
+    return g.withColumn("no_overlap", F.col("train_to") < F.col("test_from"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallow.functions.windows import BY, ordered, rolling
@@ -85,11 +85,39 @@ def describe(df: DataFrame, cols: list[str]) -> DataFrame:
     return long.groupBy("feature_name").agg(F.count("x").alias("count"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_samp("x"), 6).alias("std"), F.round(F.min("x"), 6).alias("min"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.round(F.max("x"), 6).alias("max"), F.count_if(F.col("x").isNull()).alias("null_count"))
 
 
-def timeline(bars: DataFrame, minutes: int) -> DataFrame:
-    """Expected against actual candles per asset."""
-    g = bars.groupBy("asset_symbol").agg(F.min("date").alias("a"), F.max("date").alias("b"), F.count("*").alias("actual"))
-    expected = F.floor((F.unix_seconds(F.col("b").cast("timestamp")) - F.unix_seconds(F.col("a").cast("timestamp"))) / (60 * minutes)) + 1
-    return g.select("asset_symbol", expected.alias("expected"), "actual", (expected - F.col("actual")).alias("gaps"))
+# Minutes of an interval code; any other code counts as a day.
+STEP_MINUTES = {"1h": 60, "1d": 1440, "1wk": 10080, "60": 60, "D": 1440, "W": 10080}
+# Steps of the gap scan by interval code; any other code is daily.
+GAP_STEPS = {"1h": "1 HOUR", "60": "1 HOUR", "1wk": "7 DAYS", "W": "7 DAYS", "1mo": "1 MONTH", "M": "1 MONTH"}
+
+
+def by_code(codes: dict[str, object], default: object, col: str = "interval") -> Column:
+    """A lookup over a fixed map of codes."""
+    out = F.lit(None)
+    for k, v in codes.items():
+        out = F.when(F.col(col) == k, F.lit(v)).otherwise(out)
+    return F.coalesce(out, F.lit(default))
+
+
+def timeline(bars: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
+    """Expected against actual candles of each group, where some are missing. The step is that of the interval code."""
+    g = bars.groupBy(*by).agg(F.min("date").alias("a"), F.max("date").alias("b"), F.count("*").alias("actual"))
+    minutes = (F.unix_seconds(F.col("b").cast("timestamp")) - F.unix_seconds(F.col("a").cast("timestamp"))) / 60
+    expected = minutes / by_code(STEP_MINUTES, 1440) + 1
+    g = g.withColumn("e", expected).withColumn("gaps", (F.col("e") - F.col("actual")).cast("long"))
+    return g.where("gaps > 0").select(*by, F.col("e").cast("long").alias("expected"), "actual", "gaps", F.round(F.col("gaps") / F.col("e") * 100, 6).alias("gap_pct"))
+
+
+def gap_scan(bars: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
+    """Rows, missing points and completeness of each group against its ideal timeline: hours, days (business days for stocks), weeks or months."""
+    span = bars.groupBy(*by, "asset_class").agg(F.min("date").alias("a"), F.max("date").alias("b"), F.count("*").alias("n_rows"))
+    step = by_code(GAP_STEPS, "1 DAY")
+    ideal = F.when(step == "1 HOUR", F.expr("sequence(a, b, INTERVAL 1 HOUR)")).when(step == "7 DAYS", F.expr("sequence(a, b, INTERVAL 7 DAYS)")).when(step == "1 MONTH", F.expr("sequence(a, b, INTERVAL 1 MONTH)")).otherwise(F.expr("sequence(a, b, INTERVAL 1 DAY)"))
+    points = span.withColumn("_daily", step == "1 DAY").select(*by, "asset_class", "n_rows", "_daily", F.explode(ideal).alias("date"))
+    points = points.where(~F.col("_daily") | (F.col("asset_class") != "Stock") | F.weekday("date").between(0, 4))
+    found = points.join(bars.select(*by, "date", F.lit(1).alias("_found")), [*by, "date"], "left")
+    g = found.groupBy(*by, "n_rows").agg(F.count("*").alias("ideal"), F.count_if(F.col("_found").isNull()).alias("gap_count"))
+    return g.select(*by, "n_rows", "gap_count", F.round(F.col("n_rows") / F.col("ideal") * 100, 6).alias("completeness"))
 
 
 def missing_candles(bars: DataFrame, step: str) -> DataFrame:
@@ -99,16 +127,70 @@ def missing_candles(bars: DataFrame, step: str) -> DataFrame:
     return ideal.join(bars.select("asset_symbol", "date"), ["asset_symbol", "date"], "left_anti")
 
 
-def frozen(bars: DataFrame, least: int = 0) -> DataFrame:
-    f = bars.withColumn("p", F.lag("close").over(ordered())).groupBy("asset_symbol").agg(F.count_if(F.col("close") == F.col("p")).alias("frozen"), F.count("*").alias("n"))
-    return f.where(F.col("frozen") >= least).select("asset_symbol", "frozen", F.round(F.col("frozen") / F.col("n") * 100, 6).alias("frozen_pct"))
+def frozen(bars: DataFrame, threshold: int = 5, by: tuple[str, ...] = BY) -> DataFrame:
+    """Groups with more than `threshold` candles that close as the one before."""
+    f = bars.withColumn("p", F.lag("close").over(ordered(by))).groupBy(*by).agg(F.count_if(F.col("close") == F.col("p")).alias("frozen"), F.count("*").alias("n"))
+    return f.where(F.col("frozen") > threshold).select(*by, "frozen", "n", F.round(F.col("frozen") / F.col("n") * 100, 6).alias("frozen_pct"))
+
+
+def outliers(bars: DataFrame, k: float = 5.0, by: tuple[str, ...] = BY) -> DataFrame:
+    """Candles of each group whose log return is more than k deviations off the mean; both are those of the symbol over all its intervals."""
+    p = F.lag("close").over(ordered(by))
+    r = bars.withColumn("r", F.log(F.try_divide(F.col("close"), p)))
+    stats = r.groupBy("asset_symbol").agg(F.avg("r").alias("m"), F.stddev_samp("r").alias("s"))
+    return r.join(stats, "asset_symbol").where(F.abs(F.col("r") - F.col("m")) > k * F.col("s")).groupBy(*by).agg(F.count("*").alias("spike_candles"))
+
+
+def duplicate_timestamps(bars: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
+    return bars.groupBy(*by, "date").agg(F.count("*").alias("occurs")).where("occurs > 1")
+
+
+def drift(bars: DataFrame, steps: tuple[int, ...] = (3600, 86400, 604800), by: tuple[str, ...] = BY) -> DataFrame:
+    """Candles of each group that follow the one before at none of the usual distances (in seconds)."""
+    at = lambda c: F.unix_seconds(c.cast("timestamp"))
+    d = bars.withColumn("_d", at(F.col("date")) - at(F.lag("date").over(ordered(by))))
+    return d.where(F.col("_d").isNotNull() & ~F.col("_d").isin(*steps)).groupBy(*by).agg(F.count("*").alias("drift_events"))
+
+
+def ml_summary(bars: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
+    return bars.groupBy(*by).agg(F.count("*").alias("row_count"), F.min("date").alias("start_date"), F.max("date").alias("end_date"))
+
+
+def rsi_snapshot(bars: DataFrame, window: int = 14, rows: int = 30, by: tuple[str, ...] = BY) -> DataFrame:
+    """Simple-mean RSI of the last row, from the last `rows` rows."""
+    last = latest(bars, rows, by)
+    w = ordered(by)
+    d = last.withColumn("_d", F.col("close") - F.lag("close").over(w)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    near = latest(d.where(F.col("_n") > window), window, by)
+    g = near.groupBy(*by).agg(F.avg(F.greatest("_d", F.lit(0.0))).alias("gain"), F.avg(F.greatest(-F.col("_d"), F.lit(0.0))).alias("loss"))
+    return g.select(*by, F.round(100 - 100 / (1 + F.col("gain") / (F.col("loss") + 1e-9)), 2).alias("rsi"))
+
+
+def atr_snapshot(bars: DataFrame, window: int = 14, rows: int = 30, by: tuple[str, ...] = BY) -> DataFrame:
+    """Simple-mean average true range of the last row, from the last `rows` rows."""
+    last = latest(bars, rows, by)
+    p = F.lag("close").over(ordered(by))
+    true_range = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - p), F.abs(F.col("low") - p))
+    d = last.withColumn("_tr", true_range).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    return latest(d.where(F.col("_n") > window), window, by).groupBy(*by).agg(F.round(F.avg("_tr"), 4).alias("atr"))
+
+
+def top_correlations(bars: DataFrame, assets: int = 10, n: int = 5) -> DataFrame:
+    """The n strongest correlations of closes among the most volatile assets."""
+    top = volatility_scan(bars).orderBy(F.desc("volatility"), "asset_symbol").limit(assets).select("asset_symbol")
+    pairs = pair_correlations(bars.join(F.broadcast(top), "asset_symbol", "left_semi"))  # `assets` rows
+    return pairs.orderBy(F.desc("correlation"), "a", "b").limit(n)
+
+
+def sector_comparison(bars: DataFrame) -> DataFrame:
+    """Mean volatility of each class, and its riskiest asset."""
+    risk = change(bars).groupBy("asset_class", "asset_symbol").agg(F.stddev_samp("change_pct").alias("v"))
+    return risk.groupBy("asset_class").agg(F.round(F.avg("v"), 6).alias("avg_vol"), F.max_by("asset_symbol", F.struct("v", "asset_symbol")).alias("max_risk"))
 
 
-def outliers(bars: DataFrame, k: float = 3.0) -> DataFrame:
-    c = change(bars)
-    w = Window.partitionBy("asset_symbol")
-    o = c.withColumns({"m": F.avg("change_pct").over(w), "s": F.stddev_samp("change_pct").over(w)}).where(F.abs(F.col("change_pct") - F.col("m")) > k * F.col("s"))
-    return o.groupBy("asset_symbol").agg(F.count("*").alias("outliers"))
+def data_volume(bars: DataFrame) -> DataFrame:
+    g = bars.groupBy("asset_symbol", "asset_class", "interval").agg(F.count("*").alias("total_rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+    return g.orderBy(F.desc("total_rows"), "asset_symbol", "interval")
 
 
 def pair_correlations(bars: DataFrame, least: int = 5) -> DataFrame:
@@ -127,8 +209,11 @@ def moments(df: DataFrame, col: str, by: tuple[str, ...] = BY) -> DataFrame:
 
 
 def freshness(bars: DataFrame, now: str) -> DataFrame:
+    """Age tiers of each group's last candle: crypto trades around the clock (1 and 24 hours), stocks do not (24 and 72)."""
     age = (F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(F.col("last").cast("timestamp"))) / 3600
-    return bars.groupBy("asset_symbol").agg(F.max("date").alias("last")).select("asset_symbol", "last", F.when(age <= 1, "fresh").when(age <= 24, "aging").otherwise("stale").alias("tier"))
+    crypto = F.col("asset_class") == "Crypto"
+    tier = F.when(age < F.when(crypto, 1).otherwise(24), "fresh").when(age < F.when(crypto, 24).otherwise(72), "aging").otherwise("stale")
+    return bars.groupBy("asset_symbol", "interval", "asset_class").agg(F.max("date").alias("last")).select("asset_symbol", "interval", "last", tier.alias("tier"))
 
 
 def downsample(bars: DataFrame, points: int) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallow.functions.windows import ordered
+from tallow.functions.windows import BY, ordered
 
-# Interval code, minutes, description.
-INTERVALS = [("1m", 1, "1 minute"), ("5m", 5, "5 minutes"), ("15m", 15, "15 minutes"), ("30m", 30, "30 minutes"), ("1h", 60, "1 hour"), ("4h", 240, "4 hours"), ("1d", 1440, "1 day"), ("1wk", 10080, "1 week"), ("W", 10080, "1 week"), ("M", 43200, "1 month")]
-DATE_FROM, DATE_TO = "1992-01-01", "2030-12-31"
+# Interval code, minutes, description; the id is the place.
+INTERVALS = [("1h", 60, "Hourly"), ("60", 60, "Hourly (Bybit)"), ("1d", 1440, "Daily"), ("D", 1440, "Daily (Bybit)"), ("1wk", 10080, "Weekly"), ("W", 10080, "Weekly (Bybit)"), ("1mo", 43200, "Monthly"), ("M", 43200, "Monthly (Bybit)"), ("4h", 240, "4-Hour"), ("240", 240, "4-Hour (Bybit)")]
+DATE_FROM, YEARS_AHEAD = "1992-01-01", 5
 
 
 def clean(bars: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def clean(bars: DataFrame) -> DataFrame:
     return bars.where(positive[0] & positive[1] & positive[2] & positive[3] & (F.col("volume") >= 0) & F.col("date").isNotNull())
 
 
-def dedup(bars: DataFrame, keys: tuple[str, ...] = ("asset_symbol", "date")) -> DataFrame:
+def dedup(bars: DataFrame, keys: tuple[str, ...] = ("asset_symbol", "interval", "date")) -> DataFrame:
     """One row per key: the largest volume; ties by the whole row, so that reruns agree."""
     w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("volume"), *[F.desc_nulls_last(c) for c in bars.columns if c not in (*keys, "volume")])
     return bars.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
@@ -35,8 +35,16 @@ def insert_or_ignore(old: DataFrame, new: DataFrame, keys: tuple[str, ...]) -> D
     return old.unionByName(new.join(old.select(*keys), list(keys), "left_anti").select(*old.columns))
 
 
-def dim_date(spark: SparkSession, first: str = DATE_FROM, last: str = DATE_TO) -> DataFrame:
-    days = spark.sql(f"SELECT explode(sequence(DATE '{first}', DATE '{last}', INTERVAL 1 DAY)) AS date")
+def first_of_key(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+    """One row per key, the first by `order` (keep first)."""
+    w = Window.partitionBy(*keys).orderBy(*order, *[c for c in df.columns if c not in (*keys, *order)])
+    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def dim_date(spark: SparkSession, first: str = DATE_FROM, last: str | None = None) -> DataFrame:
+    """One row per day up to `last`, else some years ahead of today."""
+    upto = f"DATE '{last}'" if last else f"add_months(current_date(), {12 * YEARS_AHEAD})"
+    days = spark.sql(f"SELECT explode(sequence(DATE '{first}', {upto}, INTERVAL 1 DAY)) AS date")
     dow = F.dayofweek("date") - 1
     return days.select(
         (F.datediff("date", F.lit(first).cast("date")) + 1).cast("long").alias("date_id"), "date", F.year("date").alias("year"), F.quarter("date").alias("quarter"), F.month("date").alias("month"), F.date_format("date", "MMMM").alias("month_name"),
@@ -48,16 +56,24 @@ def dim_interval(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i + 1, *x) for i, x in enumerate(INTERVALS)], "interval_id int, interval_code string, interval_minutes int, interval_description string")
 
 
-def dim_assets(bars: DataFrame, asset_class: str, exchange: str = "unknown") -> DataFrame:
-    """Surrogate keys over the distinct symbols (a dimension: one row per asset); USDT is cut from symbols."""
-    symbols = bars.select(F.replace("asset_symbol", F.lit("USDT"), F.lit("")).alias("asset_symbol")).distinct()
-    return symbols.select(F.row_number().over(Window.orderBy("asset_symbol")).cast("long").alias("asset_id"), "asset_symbol", F.lit(asset_class).alias("asset_class"), F.lit(exchange).alias("exchange"))
+def dim_assets(bars: DataFrame, asset_class: str = "Stock", exchange: str = "unknown", have: DataFrame | None = None) -> DataFrame:
+    """Surrogate keys over the distinct symbols (a dimension: one row per asset); USDT is cut from symbols.
+
+    With `have`, its rows stay and new symbols follow its largest id. Class and exchange are those of the bars, where they have such columns.
+    """
+    kind = [F.min(c).alias(c) if c in bars.columns else F.lit(x).alias(c) for c, x in (("asset_class", asset_class), ("exchange", exchange))]
+    symbols = bars.groupBy(F.replace("asset_symbol", F.lit("USDT"), F.lit("")).alias("asset_symbol")).agg(*kind) if any(c in bars.columns for c in ("asset_class", "exchange")) else bars.select(F.replace("asset_symbol", F.lit("USDT"), F.lit("")).alias("asset_symbol")).distinct().select("asset_symbol", *kind)
+    if have is not None:
+        symbols = symbols.join(have.select("asset_symbol"), "asset_symbol", "left_anti").crossJoin(have.agg(F.coalesce(F.max("asset_id"), F.lit(0)).alias("_last")))
+    ids = F.row_number().over(Window.orderBy("asset_symbol")).cast("long")
+    out = symbols.select((ids if have is None else ids + F.col("_last")).alias("asset_id"), "asset_symbol", "asset_class", "exchange")
+    return out if have is None else have.unionByName(out)
 
 
-def load_facts(bars: DataFrame, assets: DataFrame, dates: DataFrame, intervals: DataFrame, interval: str, have: DataFrame | None = None) -> DataFrame:
-    """New facts: bars joined to the dimensions (small, broadcast), less those already loaded."""
-    b = bars.withColumns({"asset_symbol": F.replace("asset_symbol", F.lit("USDT"), F.lit("")), "_day": F.col("date").cast("date"), "interval_code": F.lit(interval)})
-    f = b.join(F.broadcast(assets.select("asset_id", "asset_symbol")), "asset_symbol")
+def load_facts(bars: DataFrame, assets: DataFrame, dates: DataFrame, intervals: DataFrame, have: DataFrame | None = None) -> DataFrame:
+    """New facts: bars (by symbol, interval and date) joined to the dimensions, less those already loaded. Dates and intervals are bounded by the calendar and broadcast; assets as Spark sees fit."""
+    b = bars.withColumns({"asset_symbol": F.replace("asset_symbol", F.lit("USDT"), F.lit("")), "_day": F.col("date").cast("date"), "interval_code": F.col("interval")})
+    f = b.join(assets.select("asset_id", "asset_symbol"), "asset_symbol")
     f = f.join(F.broadcast(dates.select("date_id", F.col("date").alias("_day"))), "_day").join(F.broadcast(intervals.select("interval_id", "interval_code")), "interval_code")
     f = f.select("asset_id", "date_id", "interval_id", F.col("date").alias("timestamp"), "open", "high", "low", "close", "volume", (F.col("high") - F.col("low")).alias("daily_volatility"))
     return f if have is None else f.join(have.select("asset_id", "interval_id", "timestamp"), ["asset_id", "interval_id", "timestamp"], "left_anti").select(*f.columns)
@@ -65,15 +81,16 @@ def load_facts(bars: DataFrame, assets: DataFrame, dates: DataFrame, intervals:
 
 def gold(facts: DataFrame, assets: DataFrame, intervals: DataFrame) -> DataFrame:
     """Denormalised facts with 7- and 30-row moving averages (partial windows count)."""
-    g = facts.join(F.broadcast(assets), "asset_id").join(F.broadcast(intervals.select("interval_id", "interval_code")), "interval_id")
-    w = Window.partitionBy("asset_symbol", "interval_code").orderBy("timestamp")
+    g = facts.join(assets, "asset_id").join(F.broadcast(intervals.select("interval_id", "interval_code")), "interval_id")
+    w = Window.partitionBy("asset_symbol", "interval").orderBy("date")
+    g = g.withColumnsRenamed({"interval_code": "interval", "timestamp": "date"})
     return g.select(
-        "asset_symbol", "asset_class", "exchange", F.col("interval_code").alias("interval"), F.col("timestamp").alias("date"), "open", "high", "low", "close", "volume", "daily_volatility",
+        "asset_symbol", "asset_class", "exchange", "interval", "date", "open", "high", "low", "close", "volume", "daily_volatility",
         F.avg("close").over(w.rowsBetween(-6, 0)).alias("sma_7"), F.avg("close").over(w.rowsBetween(-29, 0)).alias("sma_30"),
     )
 
 
-def high_water_mark(bars: DataFrame, by: tuple[str, ...] = ("asset_symbol",)) -> DataFrame:
+def high_water_mark(bars: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
     return bars.groupBy(*by).agg(F.max("date").alias("last_date"))
 
 
@@ -84,7 +101,7 @@ def macro_table(a: DataFrame, b: DataFrame, c: DataFrame) -> DataFrame:
     return both.select(F.coalesce("d1", "d2", "d3").alias("date"), "dxy_close", "vix_close", "tnx_close")
 
 
-def align_exact_ffill(bars: DataFrame, aux: DataFrame, col: str, by: tuple[str, ...] = ("asset_symbol",)) -> DataFrame:
+def align_exact_ffill(bars: DataFrame, aux: DataFrame, col: str, by: tuple[str, ...] = BY) -> DataFrame:
     """aux (by, date, col) on bars: exact time match, then carried forward."""
     joined = bars.join(aux.select(*by, "date", col), [*by, "date"], "left")
     return joined.withColumn(col, F.last(col, ignorenulls=True).over(ordered(by).rowsBetween(Window.unboundedPreceding, 0)))

@@ -9,20 +9,21 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tallow.operators import indicators, modelling, warehouse
 from tallow.plans import catalog
+from tallow.sources import sinks
 
 SF = "/root/testdata/sf0.001"
 
 
 def bars(spark, rows):
     t0 = datetime(2024, 1, 1)
-    return spark.createDataFrame([(s, t0 + timedelta(hours=i), float(o), float(h), float(lo), float(c), float(v)) for s, i, o, h, lo, c, v in rows], "asset_symbol string, date timestamp_ntz, open double, high double, low double, close double, volume double")
+    return spark.createDataFrame([(s, "1h", t0 + timedelta(hours=i), float(o), float(h), float(lo), float(c), float(v)) for s, i, o, h, lo, c, v in rows], "asset_symbol string, interval string, date timestamp_ntz, open double, high double, low double, close double, volume double")
 
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).limit(5).count() == 5
 
 
-@pytest.mark.parametrize("name", ["sql_aggregates", "sql_topk", "gold_analytics", "indicators_recursive", "profile_missing", "asof_alignment", "facts_incremental"])
+@pytest.mark.parametrize("name", ["sql_aggregates", "gold_analytics", "features_stock", "profile_missing", "profile_gap_scan", "profile_frozen", "stats_features", "stats_autocorrelation", "asof_alignment", "facts_incremental", "backtest_folds", "threshold_sweep", "load_upsert", "scan_klines", "stream_candles"])
 def test_against_duckdb(spark, name):
     con = duckdb.connect()
     for t in ("lineitem", "events", "orders", "customer", "nation", "region"):
@@ -70,8 +71,8 @@ def test_upsert_keeps_the_new_row(spark):
 def test_facts_are_loaded_once(spark):
     b = bars(spark, [("AUSDT", i, 1, 1, 1, 1, 1) for i in range(3)])
     dims = warehouse.dim_assets(b, "Crypto"), warehouse.dim_date(spark), warehouse.dim_interval(spark)
-    have = warehouse.load_facts(b, *dims, "1h")
-    assert have.count() == 3 and warehouse.load_facts(b, *dims, "1h", have).count() == 0
+    have = warehouse.load_facts(b, *dims)
+    assert have.count() == 3 and warehouse.load_facts(b, *dims, have).count() == 0
 
 
 def test_macro_table_joins_the_third_series_by_the_first(spark):
@@ -104,14 +105,29 @@ def test_folds_and_pivot_take_every_asset(spark, tmp_path):
     assert all(pivoted.loc[d, s] == c for s, d, c in b.itertuples(index=False))
 
 
-def test_trades_stop_first_and_reenter_on_the_same_bar():
-    t = [datetime(2024, 1, d) for d in (1, 2, 3)]
-    pdf = pd.DataFrame({"date": t, "high": [100, 120, 100], "low": [100, 90, 100], "close": [100.0, 100.0, 101.0], "prediction": [1, 1, 0], "confidence": [0.6, 0.6, 0.6]})
-    got = modelling.trades_of(pdf)
-    assert [(r[6], r[7]) for r in got] == [("stop_loss", 1), ("force_close", 1)] and got[0][3] == pytest.approx(98.0)
+def test_intervals_of_one_symbol_stay_apart(spark):
+    hourly = bars(spark, [("A", i, 1, 1, 1, 1 + i, 5) for i in range(3)])
+    both = hourly.unionByName(hourly.withColumn("interval", F.lit("1d")))
+    assert warehouse.dedup(both).count() == 6
+    assert indicators.window_indicators(both).where("returns_1p is null").count() == 2
 
 
-def test_empty_predictions_make_no_trades(spark):
-    p = catalog.predictions(spark, SF).where(F.lit(False))
-    assert modelling.simulate(p).count() == 0
-    assert modelling.trade_metrics(modelling.simulate(p)).first()["total_trades"] == 0
+def test_new_assets_follow_the_largest_key(spark):
+    old = warehouse.dim_assets(bars(spark, [("B", 0, 1, 1, 1, 1, 1)]))
+    got = warehouse.dim_assets(bars(spark, [("A", 0, 1, 1, 1, 1, 1), ("B", 0, 1, 1, 1, 1, 1)]), have=old)
+    assert sorted((r.asset_id, r.asset_symbol) for r in got.collect()) == [(1, "B"), (2, "A")]
+
+
+def test_standardise_fits_each_group_on_its_own(spark):
+    b = bars(spark, [("A", i, 1, 1, 1, 1 + i, 1) for i in range(4)] + [("B", i, 1, 1, 1, 100, 1) for i in range(4)])
+    got = modelling.standardise(b.withColumn("is_train", F.hour("date") < 2), ["close"])
+    assert sorted(r.close for r in got.where("asset_symbol = 'A'").collect()) == [-1.0, 1.0, 3.0, 5.0]
+    assert {r.close for r in got.where("asset_symbol = 'B'").collect()} == {0.0}
+
+
+def test_markdown_report(spark):
+    assert sinks.markdown_table(spark.createDataFrame([(1, "a")], "n int, s string")) == "| n | s |\n|---|---|\n| 1 | a |"
+
+
+def test_every_query_has_its_sql():
+    assert set(catalog.QUERIES) == set(catalog.SQL)
