@@ -2,13 +2,16 @@
 
 A k-mer of code points is an anchor if the smallest hash among its inner s-mers
 lies at its first or last place. The choice looks at the k-mer alone, so an edit
-moves no anchor outside the k-mers it touches. A fingerprint is the anchors'
-codes in text order, so that two texts can be matched by position as well.
+moves no anchor outside the k-mers it touches. A fingerprint is the anchors' codes
+in text order; two are matched by position: by the longest chain of common anchors
+that stand in the same order in both.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,11 +19,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from tallow.llm.common import shuffle_partitions
 from tallow.llm.wordhash import mix
 
 K, S = 32, 8
+# Short texts have few long k-mers: below so many code points they have anchors of smaller ones as well. (k, s, code points)
+SHORT = ((8, 2, 192), (4, 1, 48))
 CHUNK_CHARS = 1 << 18
 BUCKET_ROWS = 4096
 MAX_BUCKETS = 65_536
@@ -90,31 +96,66 @@ def _codes(h: np.ndarray, at: np.ndarray, k: int, s: int) -> np.ndarray:
     return (mix(total) >> np.uint64(32)).astype(np.uint32)
 
 
-def to_string(codes: np.ndarray) -> str:
-    return codes.astype(">u4").tobytes().hex()
+Fingerprint = tuple[np.ndarray, ...]  # codes in text order by level: K, then those of SHORT that the text's length asks for
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sorted sets of codes; two empty ones are alike."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    both = np.sort(np.concatenate((a, b)))
-    common = int(np.count_nonzero(both[1:] == both[:-1]))
-    return common / (len(both) - common)
+def fingerprints(texts: list[str], k: int = K, s: int = S) -> list[Fingerprint]:
+    out = [(codes,) for codes, _ in anchors(texts, k, s)]
+    for small_k, small_s, below in SHORT:
+        short = [i for i, t in enumerate(texts) if len(t) < below]
+        for i, (codes, _) in zip(short, anchors([texts[i] for i in short], small_k, small_s), strict=True):
+            out[i] += (codes,)
+    return out
+
+
+def to_string(fingerprint: Fingerprint) -> str:
+    """24 bits of each code in base64 (four letters an anchor), levels apart by a full stop."""
+    return ".".join(base64.urlsafe_b64encode(c.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()).decode() for c in fingerprint)
+
+
+def longest_chain(at: np.ndarray) -> int:
+    """Length of the longest increasing run of entries, others left out."""
+    if len(at) < 2 or (at[1:] > at[:-1]).all():
+        return len(at)
+    tails: list[int] = []
+    for x in at.tolist():
+        spot = bisect_left(tails, x)
+        tails[spot : spot + 1] = [x]
+    return len(tails)
+
+
+def likeness(a: Fingerprint, b: Fingerprint) -> float:
+    """Anchors on the longest common chain over all anchors of either, 0 to 1, on the finest level that both have; two empty texts are alike.
+
+    A code that stands several times counts where it stands first.
+    """
+    x, y = list(zip(a, b, strict=False))[-1]
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    if len(x) == len(y) and (x == y).all():
+        return 1.0
+    (cx, ix), (cy, iy) = np.unique(x, return_index=True), np.unique(y, return_index=True)
+    _, jx, jy = np.intersect1d(cx, cy, assume_unique=True, return_indices=True)
+    chain = longest_chain(iy[jy][np.argsort(ix[jx])])
+    return chain / (len(cx) + len(cy) - chain)
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def fingerprint_documents(docs: DataFrame, k: int = K, s: int = S, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with fingerprint (string) and anchor_positions (array of code-point offsets). Null texts count as empty; other columns pass through."""
+    """docs with fingerprint (string) and anchor_positions (array of code-point offsets of the K anchors).
+
+    Null texts count as empty and have neither; long texts are taken whole. Repeated rows give repeated rows, a table without
+    rows none. Other columns pass through; those named like the two new ones are replaced.
+    """
     keep = [c for c in docs.columns if c not in ("fingerprint", "anchor_positions")]
-    schema = docs.select(*keep).schema.add("fingerprint", "string").add("anchor_positions", "array<int>")
+    schema = StructType([*docs.select(*keep).schema.fields, StructField("fingerprint", StringType()), StructField("anchor_positions", ArrayType(IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = anchors([t or "" for t in b.column(b.schema.get_field_index(text_col)).to_pylist()], k, s)
-            cols = [*b.columns, pa.array([to_string(c) for c, _ in got], pa.string()), pa.array([p.astype(np.int32) for _, p in got], pa.list_(pa.int32()))]
+            texts = [t or "" for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
+            cols = [*b.columns, pa.array(map(to_string, fingerprints(texts, k, s)), pa.string()), pa.array([p.astype(np.int32) for _, p in anchors(texts, k, s)], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return docs.select(*keep).mapInArrow(run, schema)
@@ -125,7 +166,8 @@ def compare_neighbours(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
 
     Rows go to ranges of doc_id and are sorted there; each range ends with a copy of the first row of
     the next one, so each text is read, shuffled and fingerprinted once. Null ids come last; equal ids
-    are ordered by text, downwards. A single document is its own next one.
+    (as of repeated rows) are ordered by text, downwards. A single document is its own next one. Null texts are
+    empty ones; long texts are taken whole. A table without rows gives none. Other columns are not read.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows, filled = d.agg(F.count(F.lit(1)), F.count("doc_id")).first()
@@ -158,8 +200,7 @@ def compare_neighbours(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
         held: list[tuple] = []
         for batch in batches:
             texts = batch.column(3).to_pylist()
-            fresh = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), texts, anchors(texts, k, s), strict=True))
-            rows = held + [(b, tail, i, t, codes, np.unique(codes)) for b, tail, i, t, (codes, _) in fresh]
+            rows = held + list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), texts, fingerprints(texts, k, s), strict=True))
             held = rows[-1:]
             yield from _compared(rows, k, s)
 
@@ -171,14 +212,14 @@ def _compared(rows: list[tuple], k: int, s: int) -> Iterator[pa.RecordBatch]:
     for lo in range(0, len(pairs), 1000):
         part = pairs[lo : lo + 1000]
         edited = [a[3][: len(a[3]) - len(a[3]) // 3] + b[3][: len(a[3]) // 3] for a, b in part]
-        codes = [c for c, _ in anchors(edited, k, s)]
+        codes = fingerprints(edited, k, s)
         cols = [
             pa.array([a[2] for a, _ in part], pa.int64()),
             pa.array([len(a[3]) for a, _ in part], pa.int64()),
             pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
             pa.array([to_string(a[4]) for a, _ in part], pa.string()),
             pa.array([to_string(c) for c in codes], pa.string()),
-            pa.array([likeness(a[5], np.unique(c)) for (a, _), c in zip(part, codes, strict=True)], pa.float64()),
-            pa.array([likeness(a[5], b[5]) for a, b in part], pa.float64()),
+            pa.array([likeness(a[4], c) for (a, _), c in zip(part, codes, strict=True)], pa.float64()),
+            pa.array([likeness(a[4], b[4]) for a, b in part], pa.float64()),
         ]
         yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])

@@ -41,6 +41,68 @@ def test_every_operator_takes_odd_and_empty_tables(odd, empty):
         assert f(empty).count() == 0, f.__name__
 
 
+def plain_anchors(text, k, s):
+    """Positions and k-mers of the anchors, by loops: an s-mer's hash is the code of its own smallest-k text."""
+    mers = [text[i : i + k] for i in range(len(text) - k + 1)]
+    hashes = {m: int(plain_hash(m)) for m in {text[i : i + s] for i in range(len(text) - s + 1)}}
+    found = []
+    for i, m in enumerate(mers):
+        inner = [hashes[m[j : j + s]] for j in range(k - s + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            found.append((i, m))
+    return found
+
+
+def plain_hash(mer):
+    h = [(int(syncmers.mix(np.array([(ord(c) + int(syncmers._M[0])) % 2**64], np.uint64))[0])) for c in mer]
+    step = 1
+    while len(h) > 1:
+        h = [(h[i] * int(syncmers._M[step % 3]) + (h[i + step] ^ (h[i + step] >> 29))) % 2**64 for i in range(len(h) - step)]
+        step *= 2
+    return syncmers.mix(np.array(h, np.uint64))[0]
+
+
+def plain_likeness(a, b):
+    """Longest common subsequence of first occurrences over all, by dynamic programming."""
+    a, b = list(dict.fromkeys(a)), list(dict.fromkeys(b))
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1] / (len(a) + len(b) - best[-1][-1])
+
+
+def test_syncmers_by_brute_force():
+    rng = random.Random(1)
+    for k, s in ((syncmers.K, syncmers.S), (8, 2), (4, 1)):
+        texts = [prose(rng, 60), prose(rng, 30) + " é ü 漢字 " + prose(rng, 30)]
+        for t, (codes, at) in zip(texts, syncmers.anchors(texts, k, s), strict=True):
+            want = plain_anchors(t, k, s)
+            assert at.tolist() == [i for i, _ in want]
+            assert len({(c, m) for c, (_, m) in zip(codes.tolist(), want, strict=True)}) == len({m for _, m in want}) == len(set(codes.tolist()))
+
+
+def test_likeness_by_brute_force(spark):
+    rng = random.Random(2)
+    words = [prose(rng, 12) for _ in range(9)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 9))) for _ in range(14)] + ["abcdef", "uvw", "", prose(rng, 4), "x" * 300]
+    rows = sorted(enumerate(texts), reverse=True)
+    got = {r.doc_id: r for r in syncmers.compare_neighbours(frame(spark, [(i, t, "", "", 0, "") for i, t in enumerate(texts)])).collect()}
+
+    def like(x, y):
+        if not x or not y:
+            return float(x == y)
+        level = [(syncmers.K, syncmers.S), *[(k, s) for k, s, below in syncmers.SHORT if max(len(x), len(y)) < below]][-1]
+        return plain_likeness(*[c.tolist() for c, _ in syncmers.anchors([x, y], *level)])
+
+    for (i, t), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
+        edited = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
+        assert got[i].near_edited == pytest.approx(like(t, edited)) and got[i].near_next == pytest.approx(like(t, after))
+        assert got[i].fingerprint == syncmers.to_string(syncmers.fingerprints([t])[0])
+        assert got[i].edited_fingerprint == syncmers.to_string(syncmers.fingerprints([edited])[0])
+        assert 12 > len(t) or got[i].near_edited > 0
+
+
 def test_syncmers_anchor_choice_and_likeness():
     rng = random.Random(1)
     t = prose(rng, 400)
@@ -50,7 +112,16 @@ def test_syncmers_anchor_choice_and_likeness():
     (_, moved), = syncmers.anchors(["xyz " + t])
     assert {("xyz " + t)[p : p + syncmers.K] for p in moved} >= inside
     edited = t[: len(t) * 2 // 3] + prose(rng, 130)
-    assert 0.3 < syncmers.likeness(np.unique(codes), np.unique(syncmers.anchors([edited])[0][0])) < 0.7
+    swapped = t[len(t) // 2 :] + t[: len(t) // 2]
+    one, two, three = syncmers.fingerprints([t, edited, swapped])
+    assert 0.3 < syncmers.likeness(one, two) < 0.7 and syncmers.likeness(one, three) < 0.4 and syncmers.likeness(one, one) == 1
+    assert len(syncmers.to_string(one)) < 0.4 * len(t)
+
+
+def test_fingerprints_keep_positions(spark, odd, empty):
+    rows = syncmers.fingerprint_documents(odd).collect()
+    assert len(rows) == len(ODD) and all((r.fingerprint != "") == bool(r.text) or not r.text for r in rows)
+    assert syncmers.fingerprint_documents(empty).count() == 0
 
 
 def test_neighbours_wrap_around(spark):
