@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,9 +239,50 @@ def test_lm_base_score_and_normalisation(spark):
     for r in lm.score_documents(frame(spark, docs)).collect():
         assert r.base_score == pytest.approx(sum(np.log10((counts[w] + 1) / (n + v + 1)) for w in tokens[r.doc_id]))
         assert r.n_known == sum(counts[w] > 0 for w in tokens[r.doc_id]) and r.train_tokens == n
-    model = lm.LogBilinear(5, 4)
-    losses = model.fit(np.random.default_rng(0).integers(0, 50, (5, 4)).astype(float), steps=100)
-    assert losses[-1] < losses[0] and np.allclose((10 ** model.table().astype(float)).sum(axis=1), 1, atol=1e-4)
+
+
+def test_lm_learns_pairs_and_is_normalised():
+    rng = np.random.default_rng(0)
+    pairs = rng.integers(0, 50, (5, 4)).astype(float)
+    model = lm.LogBilinear(5, pairs.sum(axis=0) / pairs.sum())
+    losses = model.fit(np.arange(5), pairs, 300, 0.05)
+    p = np.exp(model.r @ model.q.T + model.b - model.log_sums()[:, None])
+    assert losses[-1] < losses[0] and np.allclose(p.sum(axis=1), 1)
+    assert np.abs(p - pairs / pairs.sum(axis=1, keepdims=True)).max() < 0.05
+
+
+def test_lm_pair_counts_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HELD", 50)
+    rng = random.Random(16)
+    docs = frame(spark, [(i, prose(rng, rng.randint(0, 30)), "", "", 0, "") for i in range(40)]).repartition(3)
+    voc = lm.Vocabulary(lm.token_counts(docs, "text"))
+    got = Counter()
+    for r in lm.pair_counts(docs, voc, "text").collect():
+        got.update(dict(zip(np.frombuffer(r["keys"], "<i8").tolist(), np.frombuffer(r["counts"], "<i8").tolist(), strict=True)))
+    want = Counter()
+    for r in docs.collect():
+        cls = [voc.classes, voc.classes, *[int(x) for w in lm.words(pa.array([r.text])) for x in voc.look(w)[0]], voc.end]
+        for two, one, nxt in zip(cls, cls[1:], cls[2:], strict=False):
+            want[one * voc.classes + nxt] += 1
+            want[(voc.classes + 1 + two) * voc.classes + nxt] += 1
+    assert got == want
+
+
+def test_lm_score_beats_the_base_on_held_out_texts(spark):
+    rng = random.Random(17)
+    follow = {w: [prose(rng, 1) + str(k) for k in range(3)] for w in range(3)}
+    docs = []
+    for i in range(400):
+        t, kind = [], rng.randrange(3)
+        for _ in range(60):
+            t.append(rng.choice(follow[kind]))
+            kind = (kind + 1) % 3 if rng.random() < 0.9 else rng.randrange(3)
+        docs.append((i, " ".join(t), "", "", 0, ""))
+    rows = lm.score_documents(frame(spark, docs)).where("held_out").collect()
+    tokens = sum(r.n_tokens for r in rows)
+    base, score = sum(r.base_score for r in rows) / tokens, sum(r.score for r in rows) / tokens
+    assert rows and score > base + 0.2
+    assert all(np.isfinite(r.score) and r.score < 0 for r in rows)
 
 
 def test_warc_round_trip(spark, tmp_path):
