@@ -34,8 +34,10 @@ def fold_events(events: DataFrame) -> DataFrame:
 
     kind: message starts a turn; delta adds text to it; edit replaces its text; regenerate empties it
     and withdraws the later turns logged so far. Null texts are empty; null kinds count as message.
-    Events with equal seq are taken in the order of turn, kind, text. A delta of a turn that no event
-    started starts it. A conversation is one unit of output and is folded in one task.
+    Events with equal seq (as of repeated rows) are taken in the order of turn, kind, role, text. A delta of a turn that no
+    event started starts it. Events without a turn are those of the last one, so a regenerate that follows withdraws
+    them. A null conv_id is a conversation. An empty log gives no messages; long texts stay whole; other columns
+    are not read. A conversation is one unit of output and is folded in one task.
     """
     e = events.select("conv_id", "seq", F.coalesce("kind", F.lit("message")).alias("kind"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     log = Window.partitionBy("conv_id").orderBy(F.col("seq").asc_nulls_last(), F.col("turn").asc_nulls_last(), "kind", "role", "text")
@@ -52,15 +54,18 @@ def fold_events(events: DataFrame) -> DataFrame:
 
 
 def render_messages(messages: DataFrame) -> DataFrame:
-    """One row per conversation: conv_id, formatted. Turns in order (null last)."""
+    """One row per conversation: conv_id, formatted. Turns in order (null last; equal ones by their text).
+
+    Null roles and texts must be empty strings, as fold_events gives them. No messages give no rows; long texts stay whole.
+    """
     body = F.when(F.col("role") == "assistant", F.concat(F.lit("<s>"), escape(F.col("text")), F.lit("</s>"))).otherwise(F.concat(F.lit("[INST]"), escape(F.col("role")), F.lit("\n"), escape(F.col("text")), F.lit("[/INST]")))
     turns = F.array_sort(F.collect_list(F.struct(F.col("turn").isNull().alias("last"), "turn", body.alias("body"))))
     return messages.groupBy("conv_id").agg(turns.alias("_t")).select("conv_id", F.array_join(F.transform("_t", lambda x: x["body"]), "").alias("formatted"))
 
 
 def read_back(formatted: DataFrame, col: str = "formatted") -> DataFrame:
-    """formatted with the array column messages (role, text), read from the rendered text alone."""
-    found = F.regexp_extract_all(F.col(col), F.lit(TURN), F.lit(0))
+    """formatted with the array column messages (role, text), read from the rendered text alone. An empty or null text has none."""
+    found = F.regexp_extract_all(F.coalesce(F.col(col), F.lit("")), F.lit(TURN), F.lit(0))
     inner = lambda x, a, b: F.substring(x, F.lit(a + 1), F.length(x) - F.lit(a + b))
 
     def parse(x: Column) -> Column:
@@ -81,5 +86,8 @@ def events_of(conversations: DataFrame) -> DataFrame:
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
-    """conv_id, formatted and messages (read back) of each conversation."""
+    """conv_id, formatted and messages (read back) of each conversation.
+
+    Stored rows are messages, repeated ones too; nulls and odd turns are taken as fold_events says. An empty table gives no rows.
+    """
     return read_back(render_messages(fold_events(events_of(conversations))))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallow.llm.common import arrow_rows, shuffle_partitions, stage
+from tallow.llm.common import arrow_rows, shuffle_partitions, stage, unstage
 from tallow.llm.components import components
 from tallow.llm.wordhash import mix, words
 
@@ -507,8 +507,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     table without rows gives none; only the id and the text are read, so other columns may have any name.
     """
     with arrow_rows(docs.sparkSession, BATCH_ROWS):
-        heads = heads_and_edges(docs, n, num, den, id_col, text_col)
-    edges, heads = heads.where("u is not null").select("u", "v"), heads.where("u is null").drop("u", "v")
+        both = heads_and_edges(docs, n, num, den, id_col, text_col)
+    edges, heads = both.where("u is not null").select("u", "v"), both.where("u is null").drop("u", "v")
     copied = heads.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
     salted = copied.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
@@ -519,12 +519,14 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     families = components(edges).select(F.col("node").alias("key"), F.col("component").alias("family"))
     members = nodes.where("node = doc_id").select("node", "n_shingles", "key").distinct().join(families, "key").drop("key")
     members = stage(members, "jaccard-members")
+    unstage(both)
     parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_TOKENS)).cast("int")
     sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s")).where("n > 1").withColumn("parts", parts)
     sizes = stage(sizes, "jaccard-families")
     places = stage(_first_places(members, sizes), "jaccard-places")
     with arrow_rows(docs.sparkSession, BATCH_ROWS):
         links = stage(_search(_tokens_at(docs, places, n, id_col, text_col), num, den), "jaccard-links")
+    unstage(places)
     classes = components(links)
     large = sizes.where("parts > 1")
     if large.limit(1).count():

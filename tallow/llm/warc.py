@@ -110,7 +110,8 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     Null html is empty. Rows with equal payloads of min. 100 bytes are one response, that of the smallest
     page_id (null is largest; of equal rows the first), and revisits. The payload goes through one
     shuffle, by page; only digests meet by payload, and those of copied payloads are salted. A task writes
-    archives under names that depend on its partition alone, so a repeated task replaces them.
+    archives under names that depend on its partition alone, so a repeated task replaces them. Empty payloads are
+    responses; a very long one is an archive of its own. An empty table gives no archives. Other columns are not read.
     """
     spark = pages.sparkSession
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"

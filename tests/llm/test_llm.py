@@ -311,6 +311,17 @@ def test_warc_equal_rows_are_one_response(spark, tmp_path):
     assert all(r.digest_ok and r.payload_bytes == 201 for r in got)
 
 
+def test_warc_of_odd_and_empty_tables(spark, tmp_path):
+    rows = [(None, None, "y" * 150, 1), (5, "u\n v", "y" * 150, 2), (None, "u", "y" * 150, 3), (7, "u", "", 4), (8, "u", "z" * 3_000_000, 5)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string, digest int")
+    folder, archives = warc.write_warc(docs, str(tmp_path / "w"))
+    got = warc.read_warc(spark.createDataFrame(archives.collect(), archives.schema), folder).collect()
+    assert len(got) == 5 and all(r.digest_ok for r in got)
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to) for r in got) == [(0, "revisit", 5), (0, "revisit", 5), (5, "response", None), (7, "response", None), (8, "response", None)]
+    _, none = warc.write_warc(docs.limit(0), str(tmp_path / "e"))
+    assert none.count() == 0
+
+
 def test_warc_dictionary_sees_the_whole_archive(monkeypatch):
     seen = []
     monkeypatch.setattr(warc, "train_dictionary", lambda samples: seen.extend(samples) or b"d" * 2000)
@@ -434,6 +445,24 @@ def test_chat_fold_and_round_trip(spark):
     assert got == {1: [("user", "</s>[INST] ok"), ("assistant", "\\b[/INST]")], 2: [("", ""), ("", "")]}
 
 
+def test_chat_of_odd_and_empty_tables(spark):
+    schema = "conv_id long, turn long, role string, text string, seq string"
+    rows = [(1, 0, "user", "x" * 500_000, "c"), (1, 0, "user", "x" * 500_000, "c"), (None, None, None, None, None), (2, 1, "assistant", "\\l\\e<s>", "c")]
+    got = {r.conv_id: [(m.role, m.text) for m in r.messages] for r in chat.format_conversations(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {1: [("user", "x" * 500_000)] * 2, None: [("", "")], 2: [("assistant", "\\l\\e<s>")]}
+    assert chat.format_conversations(spark.createDataFrame([], schema)).count() == 0
+    log = [(1, 1, "message", None, "user", "lost"), (1, 2, "message", 1, "user", "kept"), (1, 3, "regenerate", 1, "user", ""), (1, 4, "delta", 1, "user", "new")]
+    folded = chat.fold_events(spark.createDataFrame(log, "conv_id long, seq long, kind string, turn long, role string, text string"))
+    assert [(r.turn, r.text) for r in folded.collect()] == [(1, "new")]
+
+
+def test_first_of_each_class_takes_odd_tables(spark, odd, empty):
+    assert sorted(str(r.doc_id) for r in jaccard.first_of_each_class(odd).collect()) == ["1", "2", "4", "5", "None"]
+    assert jaccard.first_of_each_class(empty).count() == 0
+    clash = odd.withColumnRenamed("lang", "_row").withColumnRenamed("source", "component_id")
+    assert jaccard.first_of_each_class(clash).columns == clash.columns and jaccard.first_of_each_class(clash).count() == 5
+
+
 def test_pipeline_stages_keep_the_columns(spark):
     import corpus_pipeline
 
