@@ -10,23 +10,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallow.llm import jaccard, mixing, packing, quality
-from tallow.llm.common import stage, table
+from tallow.llm.common import stage, table, unstage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the rules keep, without their failing lines. Null, empty and short texts (under 50 words) go; repeated rows stay; an empty table gives none."""
     return quality.clean_documents(docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: links are five-word shingles with a similarity of 0.8 or more."""
+    """One document of each group stays: links are five-word shingles with a similarity of 0.8 or more. Null ids, repeated rows and texts without words: see first_of_each_class."""
     return jaccard.first_of_each_class(docs, n=5, num=80, den=100)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: documents as often as their source's target asks for, one of each source cut at the budget. Documents without words go; a null source is one of its own."""
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences, one row each (see packing.pack). A null text is one end token; repeated documents are packed each."""
     return packing.pack_documents(docs)
 
 
@@ -39,5 +42,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, f) in enumerate(STAGES):
-        docs = stage(f(spark, docs, sf_dir), f"pipeline-{k}")
+        done = stage(f(spark, docs, sf_dir), f"pipeline-{k}")
+        if k:
+            unstage(docs)
+        docs = done
     return docs
