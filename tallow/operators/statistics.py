@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,3 +90,21 @@ def feature_statistics(df: DataFrame, cols: list[str], target: str = "returns_1p
 def top_features(statistics: DataFrame, n: int = 15) -> DataFrame:
     """The n features without fault or leakage that follow the target most."""
     return statistics.where("quality_flag = 'PASS'").orderBy(F.desc(F.abs("target_correlation")), "feature_name").limit(n).select("feature_name", "target_correlation")
+
+
+def importances(df: DataFrame, cols: list[str], target: str = "returns_1p", sample: int = 10_000, least: int = 1000, seed: int = 42) -> DataFrame:
+    """Importance of each feature for the target by a random forest: feature_name, importance_score, one row per feature; leakage columns score 0.
+
+    The forest learns from at most `sample` rows with all values known, those with the smallest hash of their
+    values; with fewer than `least` rows all scores are 0.
+    """
+    used = [c for c in cols if c not in LEAKAGE and c != target]
+    known = df.select(F.col(target).alias("_target"), *used).na.drop()
+    rows = known.orderBy(F.xxhash64("_target", *used)).limit(sample).persist()
+    scores = dict.fromkeys(cols, 0.0)
+    if rows.count() >= least:
+        ready = VectorAssembler(inputCols=used, outputCol="_features").transform(rows)
+        forest = RandomForestRegressor(featuresCol="_features", labelCol="_target", numTrees=50, maxDepth=10, seed=seed).fit(ready)
+        scores |= dict(zip(used, map(float, forest.featureImportances.toArray()), strict=True))
+    rows.unpersist()
+    return df.sparkSession.createDataFrame(list(scores.items()), "feature_name string, importance_score double")

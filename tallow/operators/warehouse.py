@@ -31,6 +31,13 @@ def upsert(old: DataFrame, new: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return both.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_new")
 
 
+def with_audit(df: DataFrame) -> DataFrame:
+    """created_at and updated_at: the time of the load; a row that has a created_at keeps it."""
+    now = F.current_timestamp().cast("timestamp_ntz")
+    created = F.coalesce(F.col("created_at"), now) if "created_at" in df.columns else now
+    return df.withColumns({"created_at": created, "updated_at": now})
+
+
 def insert_or_ignore(old: DataFrame, new: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return old.unionByName(new.join(old.select(*keys), list(keys), "left_anti").select(*old.columns))
 

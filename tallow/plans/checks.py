@@ -130,3 +130,5 @@ add(
     lambda s, d: modelling.targets(silver(s, d)).groupBy("asset_symbol", "interval").agg(F.count("target").alias("n"), F.round(F.stddev_samp("target"), 6).alias("std"), *[F.round(F.percentile("target", F.lit(p)), 8).alias(f"p{int(p * 100)}") for p in (0.05, 0.5, 0.95)]),
     f"WITH t AS (SELECT asset_symbol, interval, lead(close) OVER ({_BY} ORDER BY date) / close - 1 AS t FROM silver) SELECT asset_symbol, interval, count(t) AS n, round(stddev(t), 6) AS std, round(quantile_cont(t, 0.05), 8) AS p5, round(quantile_cont(t, 0.5), 8) AS p50, round(quantile_cont(t, 0.95), 8) AS p95 FROM t GROUP BY ALL",
 )
+# The forest's scores have no SQL; a test holds them against a feature that makes the target.
+add("stats_importance", lambda s, d: statistics.importances(_featured(s, d).drop("with_inf"), _FINITE))

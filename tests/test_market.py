@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tallow.operators import indicators, modelling, warehouse
+from tallow.operators import indicators, modelling, statistics, warehouse
 from tallow.plans import catalog
+from tallow.session import object_store
 from tallow.sources import sinks
 
 SF = "/root/testdata/sf0.001"
@@ -130,4 +131,18 @@ def test_markdown_report(spark):
 
 
 def test_every_query_has_its_sql():
-    assert set(catalog.QUERIES) == set(catalog.SQL)
+    assert set(catalog.QUERIES) - set(catalog.SQL) == {"stats_importance"}
+
+
+def test_importances_find_what_makes_the_target(spark):
+    df = spark.range(1500).select(F.rand(1).alias("a"), F.rand(2).alias("b"), F.rand(3).alias("log_returns")).withColumn("returns_1p", F.col("a") * 2 + F.col("b") * 0.01)
+    got = {r.feature_name: r.importance_score for r in statistics.importances(df, ["a", "b", "log_returns"]).collect()}
+    assert got["a"] > 0.9 > 0.1 > got["b"] > got["log_returns"] == 0
+    assert {r.importance_score for r in statistics.importances(df.limit(10), ["a", "b"]).collect()} == {0.0}
+
+
+def test_audit_columns_and_object_store(spark):
+    once = warehouse.with_audit(spark.range(1))
+    first = once.withColumn("created_at", F.lit(datetime(2020, 1, 1)))
+    assert warehouse.with_audit(first).first().created_at == datetime(2020, 1, 1) and once.first().updated_at.year >= 2024
+    assert object_store("http://h:9000", "k", "s")["spark.hadoop.fs.s3a.path.style.access"] == "true"
