@@ -78,16 +78,29 @@ def read_back(formatted: DataFrame, col: str = "formatted") -> DataFrame:
     return formatted.withColumn("messages", F.transform(found, parse))
 
 
-def events_of(conversations: DataFrame) -> DataFrame:
-    """Stored conversations (conv_id, turn, role, text) as a log of message events; repeated turns are messages of their own."""
+CHUNK = 4096  # code points of a streamed delta
+
+
+def events_of(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Stored conversations (conv_id, turn, role, text) as the log that made them; repeated turns are messages of their own.
+
+    An assistant's turn is a message without text and the deltas of at most `chunk` code points that filled it; any other
+    turn is one message.
+    """
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_last(), F.col("text").asc_nulls_last())
     at = F.row_number().over(order)
-    return conversations.select("conv_id", at.alias("seq"), F.lit("message").alias("kind"), at.alias("turn"), "role", "text")
+    whole = F.array(F.struct(F.lit("message").alias("kind"), F.coalesce("text", F.lit("")).alias("text")))
+    starts = F.sequence(F.lit(0), F.floor((F.greatest(F.length("text"), F.lit(1)) - 1) / chunk).cast("int"))
+    deltas = F.transform(starts, lambda i: F.struct(F.lit("delta").alias("kind"), F.substring("text", i * chunk + 1, F.lit(chunk)).alias("text")))
+    streamed = F.concat(F.array(F.struct(F.lit("message").alias("kind"), F.lit("").alias("text"))), deltas)
+    numbered = conversations.select("conv_id", at.alias("turn"), "role", "text")
+    log = numbered.select("conv_id", "turn", "role", F.posexplode(F.when((F.col("role") == "assistant") & F.col("text").isNotNull(), streamed).otherwise(whole)).alias("step", "event"))
+    return log.select("conv_id", F.struct("turn", "step").alias("seq"), "event.kind", "turn", "role", "event.text")
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
     """conv_id, formatted and messages (read back) of each conversation.
 
-    Stored rows are messages, repeated ones too; nulls and odd turns are taken as fold_events says. An empty table gives no rows.
+    Stored rows become a log of messages and deltas (events_of), repeated ones too; nulls and odd turns are taken as fold_events says. An empty table gives no rows.
     """
     return read_back(render_messages(fold_events(events_of(conversations))))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tallow.llm.common import stage
 
-BROADCAST_HOSTS = 200_000
+BROADCAST_BYTES = 32 << 20
 WINNERS = 3  # paths kept for a host, by votes
 LEAST_SHARE = 0.25
 SALTS = 16
@@ -232,8 +232,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """
     p = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host_of(F.col("url")))
     winners = stage(host_paths(p), "host-paths")
-    few = winners.count() <= BROADCAST_HOSTS
-    if few:
+    size = winners.agg(F.sum(F.octet_length("host") + F.octet_length(F.array_join("winners", "")) + 64)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
         joined = p.join(F.broadcast(winners), "host", "left")
     else:
         salted = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
