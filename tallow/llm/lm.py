@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallow.llm.common import shuffle_partitions, stage, unstage
+from tallow.llm.common import stage, unstage
 from tallow.llm.wordhash import Words, words
 
 SUFFIXES = 256
@@ -225,8 +225,8 @@ class LogBilinear:
 def train_model(pairs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, steps: int = STEPS) -> LogBilinear:
     """The model of both distances: contexts one place back, then two places back.
 
-    pairs (see pair_counts) stay on the executors; a round sends them the model and brings back each part's rows and
-    its view of the class vectors. All of that is of the size of the model.
+    pairs (see pair_counts) are read where they are stored, without a shuffle; a round sends the tasks the model and brings
+    back each part's rows and its view of the class vectors. All of that is of the size of the model.
     """
     spark, c = pairs.sparkSession, vocabulary.classes
     freq = np.ones(c)
@@ -234,8 +234,6 @@ def train_model(pairs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS,
     freq[vocabulary.head : vocabulary.end] += 10.0**vocabulary.log_mass
     freq[vocabulary.end] += vocabulary.end_count
     model = LogBilinear(2 * (c + 1), freq / freq.sum())
-    tasks = max(1, min(shuffle_partitions(spark), pairs.count()))
-    dealt = pairs.repartition(tasks, "part")
 
     for t in range(rounds):
         shared = spark.sparkContext.broadcast(model)
@@ -253,7 +251,7 @@ def train_model(pairs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS,
                     own.fit(rows, counts, steps, rate)
                     yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (rows, own.r[rows], own.q, own.b)] + [pa.array([float(n.sum())])], names=["rows", "r", "q", "b", "weight"])
 
-        found = dealt.mapInArrow(run, "rows binary, r binary, q binary, b binary, weight double")
+        found = pairs.mapInArrow(run, "rows binary, r binary, q binary, b binary, weight double")
         total, q, b = 0.0, np.zeros_like(model.q), np.zeros_like(model.b)
         for x in found.toLocalIterator():  # a row per part
             model.r[np.frombuffer(x["rows"], np.int64)] = np.frombuffer(x["r"]).reshape(-1, DIM)
