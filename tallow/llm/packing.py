@@ -24,7 +24,7 @@ from tallow.llm.common import arrow_rows, stage
 
 CAPACITY = 4096
 END_ID = 1
-MEMO_WORDS = 400_000  # words remembered by a process, about 60 MB
+MEMO_WORDS = 600_000  # words remembered by a process, about 85 MB
 MEMO_CHARS = 64
 MARK = "|"
 SLICE_ROWS = 256
