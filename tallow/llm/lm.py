@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,7 +119,8 @@ class Vocabulary:
         return one, two, nxt, np.repeat(np.arange(w.lo, w.hi), n + 1)
 
 
-PAIRS = "part int, keys binary, counts binary"
+PAIRS = "part int, salt int, keys binary, counts binary"
+SALTS = 16
 
 
 def pair_counts(train: DataFrame, vocabulary: Vocabulary, text_col: str) -> DataFrame:
@@ -132,7 +134,8 @@ def pair_counts(train: DataFrame, vocabulary: Vocabulary, text_col: str) -> Data
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def pack(part: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([keys.astype("<i8").tobytes()], pa.binary()), pa.array([n.astype("<i8").tobytes()], pa.binary())], names=["part", "keys", "counts"])
+        salt = TaskContext.get().partitionId() % SALTS
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([salt], pa.int32()), *[pa.array([x.astype("<i8").tobytes()], pa.binary()) for x in (keys, n)]], names=["part", "salt", "keys", "counts"])
 
     def add(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -172,9 +175,11 @@ def pair_counts(train: DataFrame, vocabulary: Vocabulary, text_col: str) -> Data
             for k, n in zip(pdf["keys"], pdf["counts"], strict=True):
                 one = (np.frombuffer(k, "<i8"), np.frombuffer(n, "<i8"))
                 held = one if held is None else add([held, one])
-        return pd.DataFrame({"part": [key[0]], "keys": [held[0].astype("<i8").tobytes()], "counts": [held[1].astype("<i8").tobytes()]})
+        return pd.DataFrame({"part": [key[0]], "salt": [0], "keys": [held[0].astype("<i8").tobytes()], "counts": [held[1].astype("<i8").tobytes()]})
 
-    return stage(train.select(text_col).mapInArrow(run, PAIRS).groupBy("part").applyInPandas(total, PAIRS), "lm-pairs")
+    # What all tasks saw of a part meets in two steps, so that no task reads it all.
+    sums = train.select(text_col).mapInArrow(run, PAIRS).groupBy("part", "salt").applyInPandas(total, PAIRS)
+    return stage(sums.groupBy("part").applyInPandas(total, PAIRS), "lm-pairs")
 
 
 class LogBilinear:
@@ -241,7 +246,7 @@ def train_model(pairs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS,
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, rate=rate) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for keys, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                for keys, n in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                     keys, n = np.frombuffer(keys, "<i8"), np.frombuffer(n, "<i8")
                     own = LogBilinear.__new__(LogBilinear)
                     own.__dict__.update({k: x.copy() for k, x in shared.value.__dict__.items()})
