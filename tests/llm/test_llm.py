@@ -3,6 +3,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -428,6 +429,45 @@ def test_extraction_of_odd_pages(html, text):
     assert extraction.extract(html, []) == text
 
 
+class Article(HTMLParser):
+    """A second extractor for pages that mark their text with <article>, on the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.skipped, self.text = 0, [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in extraction.BLOCKS:
+            self.text.append(" ")
+        self.depth += tag == "article"
+        noise = tag in extraction.NOISE | extraction.SKIPPED or extraction.NOISE_NAME.search(dict(attrs).get("class") or "")
+        if (noise or self.skipped) and tag not in extraction.VOID:
+            self.skipped.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in extraction.BLOCKS:
+            self.text.append(" ")
+        self.depth -= tag == "article"
+        if tag in self.skipped:
+            del self.skipped[len(self.skipped) - 1 - self.skipped[::-1].index(tag) :]
+
+    def handle_data(self, data):
+        if self.depth and not self.skipped:
+            self.text.append(data)
+
+
+def test_extraction_agrees_with_a_second_extractor(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r.page_id: r.text for r in extraction.extract_main_text(pages).collect()}
+    rows = [r for r in pages.collect() if "<article" in (r.html or "")]
+    same = 0
+    for r in rows:
+        second = Article()
+        second.feed(r.html)
+        same += " ".join("".join(second.text).split()) == got[r.page_id]
+    assert len(rows) > 20 and same >= 0.95 * len(rows)
+
+
 def test_extraction_votes_and_empty_table(spark):
     schema = "page_id long, url string, html string, host string, winners string"
     rows = [(i, "http://h/1", f"<div class=a><p>body {i} of it all</p></div><div class=b><p>a much longer aside than the body {i}</p></div>" if i == 0 else f"<div class=a><p>body {i} of it all and more words</p></div><div class=b><p>x</p></div>", "x", "y") for i in range(5)]
