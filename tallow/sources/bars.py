@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,19 +24,18 @@ def null_nan(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in cols})
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def scan_tagged(spark: SparkSession, files: Iterable[tuple[str, str, str]], schema: T.StructType = BAR_SCHEMA) -> DataFrame:
-    """Union of (path, symbol, interval) scans with the tags as columns; a missing path is skipped."""
-    frames = []
+    """Union of (path, symbol, interval) scans with the tags as columns; a path that is not there is skipped."""
+    out = spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("symbol", T.StringType()), T.StructField("interval", T.StringType())]))
     for path, symbol, interval in files:
-        try:
-            frames.append(spark.read.schema(schema).parquet(path).withColumns({"symbol": F.lit(symbol), "interval": F.lit(interval)}))
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-    empty = spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("symbol", T.StringType()), T.StructField("interval", T.StringType())]))
-    for f in frames:
-        empty = empty.unionByName(f, allowMissingColumns=True)
-    return empty
+        if exists(spark, path):
+            out = out.unionByName(spark.read.schema(schema).parquet(path).withColumns({"symbol": F.lit(symbol), "interval": F.lit(interval)}), allowMissingColumns=True)
+    return out
 
 
 def normalise_names(df: DataFrame) -> DataFrame:
