@@ -8,7 +8,7 @@ no source, however hot, is ever sorted in one task, and texts are not shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallow.llm.common import WORD, set_aside, stage, word_count
@@ -76,6 +76,19 @@ def _cuts(keyed: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFr
     return stage(out, "mix-cuts")
 
 
+def _taken(keyed: DataFrame, cuts: DataFrame, source: str) -> tuple[DataFrame, list[Column]]:
+    """keyed joined to the cuts of its sources, and the columns ADDED over that."""
+    few = cuts.count() <= BROADCAST_SOURCES
+    salts = 1 if few else 32
+    left = keyed.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(salts)))
+    right = cuts.withColumn("_salt2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    right = F.broadcast(right) if few else right
+    joined = left.join(right, left[source].eqNullSafe(right["_source"]) & (left["_salt"] == right["_salt2"]))
+    in_rest = F.when(F.col("_cut_key").isNull(), F.lit(0)).when(F.col("_key") < F.col("_cut_key"), F.col("_size")).when(F.col("_key") == F.col("_cut_key"), F.least("_cut_words", "_size")).otherwise(F.lit(0))
+    taken = F.col("_full") * F.col("_size") + in_rest
+    return joined, [x.alias(c) for x, c in zip((F.col("_size"), F.col("_total"), F.col("_target"), taken.cast("long")), ADDED, strict=True)]
+
+
 ADDED = ["mix_size", "mix_source_size", "mix_target", "mix_taken"]
 
 
@@ -90,18 +103,18 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epoch
     docs, names = set_aside(docs)
     source = names[source_col]
     keyed = _keyed(docs, names[id_col], names[text_col], source)
-    slim = stage(keyed.select(F.col(source).alias("_source"), "_size", "_key"), "mix-keys")
-    cuts = _cuts(slim, weights, max_epochs)
-    few = cuts.count() <= BROADCAST_SOURCES
-    salts = 1 if few else 32
-    left = keyed.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(salts)))
-    right = cuts.withColumn("_salt2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    right = F.broadcast(right) if few else right
-    joined = left.join(right, left[source].eqNullSafe(right["_source"]) & (left["_salt"] == right["_salt2"]))
-    in_rest = F.when(F.col("_cut_key").isNull(), F.lit(0)).when(F.col("_key") < F.col("_cut_key"), F.col("_size")).when(F.col("_key") == F.col("_cut_key"), F.least("_cut_words", "_size")).otherwise(F.lit(0))
-    taken = F.col("_full") * F.col("_size") + in_rest
-    new = [F.col("_size"), F.col("_total"), F.col("_target"), taken.cast("long")]
-    return joined.select(*[F.col(x).alias(c) for c, x in names.items() if c not in ADDED], *[x.alias(c) for x, c in zip(new, ADDED, strict=True)])
+    cuts = _cuts(stage(keyed.select(F.col(source).alias("_source"), "_size", "_key"), "mix-keys"), weights, max_epochs)
+    joined, new = _taken(keyed, cuts, source)
+    return joined.select(*[F.col(x).alias(c) for c, x in names.items() if c not in ADDED], *new)
+
+
+def mix_figures(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The id, the source and the added columns of mix_sources, whose rules hold; the texts are read once."""
+    given, names = set_aside(docs.select(id_col, text_col, source_col))
+    id_, text, source = names.values()
+    slim = stage(_keyed(given, id_, text, source).select(id_, F.col(source).alias("_source"), "_size", "_key"), "mix-keys")
+    joined, new = _taken(slim.withColumnRenamed("_source", source), _cuts(slim, weights, max_epochs), source)
+    return joined.select(F.col(id_).alias(id_col), F.col(source).alias(source_col), *new)
 
 
 def mixed_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:

@@ -140,6 +140,8 @@ def test_mixing_meets_targets(spark):
     for r in rows:
         taken[r.source] += r.mix_taken
         assert 0 <= r.mix_taken <= 3 * r.mix_size
+    slim = mixing.mix_figures(docs.withColumnRenamed("lang", "_size")).collect()
+    assert sorted(map(str, slim)) == sorted(str(x) for x in mixing.mix_sources(docs).select("doc_id", "source", *mixing.ADDED).collect())
     for s, t in {r.source: r.mix_target for r in rows}.items():
         assert abs(taken[s] - t) <= 1
     total = sum(len(WORD.findall(r.text)) for r in mixing.mixed_documents(docs).collect())
