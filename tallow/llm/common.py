@@ -64,6 +64,22 @@ def set_aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return docs.toDF(*names.values()), names
 
 
+def most_frequent(counts: DataFrame, col: str, most: int) -> DataFrame:
+    """The rows with the largest counts, at most `most` and as many as steps of a 64th of an octave allow; rows of one step come together or not at all.
+
+    The steps' sizes, a few thousand rows, give the bound, so nothing is sorted in one task.
+    """
+    step = F.floor(F.log2(col) * 64).cast("int")
+    sizes = sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True)
+    total, least = 0, None
+    for s, n in sizes:
+        total += n
+        if total > most:
+            break
+        least = s
+    return counts.where(step >= least) if least is not None else counts.where(F.lit(False))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

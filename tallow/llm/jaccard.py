@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallow.llm.common import arrow_rows, shuffle_partitions, stage, unstage
+from tallow.llm.common import arrow_rows, most_frequent, shuffle_partitions, stage, unstage
 from tallow.llm.components import components
 from tallow.llm.wordhash import mix, words
 
@@ -102,7 +102,9 @@ def common_tokens(docs: DataFrame, n: int, text_col: str) -> np.ndarray:
             yield count()
 
     counts = docs.select(text_col).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > COMMON)
-    top = counts.orderBy(F.desc("n"), "token").limit(COMMON_KEPT).toPandas()  # COMMON_KEPT rows at most
+    counts = stage(counts, "jaccard-common")
+    top = most_frequent(counts, "n", COMMON_KEPT).select("token").toPandas()  # COMMON_KEPT rows at most
+    unstage(counts)
     return np.sort(top["token"].to_numpy(np.int64).view(np.uint64))
 
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallow.llm.common import stage, unstage
+from tallow.llm.common import most_frequent, stage, unstage
 from tallow.llm.wordhash import Words, words
 
 SUFFIXES = 256
@@ -81,7 +81,8 @@ class Vocabulary:
         self.end, self.classes = self.head + SUFFIXES, self.head + SUFFIXES + 1
         end = counts.where("suffix = -1").select("c").first()
         self.end_count = int(end[0]) if end else 0
-        known = counts.where("suffix >= 0").orderBy(F.desc("c"), "token").limit(max(KNOWN, self.head)).toPandas()  # KNOWN rows, or as many as there are own classes
+        known = most_frequent(counts.where("suffix >= 0"), "c", max(KNOWN, self.head)).toPandas()  # KNOWN rows, or as many as there are own classes, at most
+        known = known.sort_values(["c", "token"], ascending=[False, True], ignore_index=True)
         rank = np.arange(len(known))
         cls = np.where(rank < self.head, rank, self.head + known["suffix"].to_numpy(np.int64))
         token = known["token"].to_numpy(np.int64).view(np.uint64)

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallow.llm import chat, components, extraction, jaccard, lm, mixing, packing, quality, syncmers, warc
+from tallow.llm.common import most_frequent
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_words string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -244,6 +245,12 @@ def test_lm_base_score_and_normalisation(spark):
         assert r.n_known == sum(counts[w] > 0 for w in tokens[r.doc_id]) and r.train_tokens == n
 
 
+def test_most_frequent_keeps_whole_steps(spark):
+    counts = spark.createDataFrame([(i, c) for i, c in enumerate([100, 100, 40, 7, 7, 7, 1])], "token long, c long")
+    for most, want in ((0, []), (1, []), (2, [100, 100]), (5, [100, 100, 40]), (6, [100, 100, 40, 7, 7, 7]), (9, [100, 100, 40, 7, 7, 7, 1])):
+        assert sorted((r.c for r in most_frequent(counts, "c", most).collect()), reverse=True) == want
+
+
 def test_lm_learns_pairs_and_is_normalised():
     rng = np.random.default_rng(0)
     pairs = rng.integers(0, 50, (5, 4)).astype(float)
