@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,6 +28,7 @@ END_ID = 1
 MEMO_WORDS = 600_000  # words remembered by a process, about 85 MB
 MEMO_CHARS = 64
 MARK = "|"
+PROBES = ("a", "I", "the", "Hello", "don", "transformation", "QUICK", "zzxqj", "x" * 40, "antidisestablishmentarianism")
 SLICE_ROWS = 256
 BATCH_ROWS = 1024
 RANGE_ROWS = 512
@@ -58,16 +60,29 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     ids_of = lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, "<u4")
     mark_ids = ids_of(MARK)
 
+    model = tok.model
+    ids_of_letters = lambda w: array("I", [t.id for t in model.tokenize(w.lower())]).tobytes()
+    # Words of ASCII letters, with a stop or comma at most, need no normalising where the tokenizer treats these probes so.
+    stops = {c: ids_of(c).tobytes() for c in ".,"}
+    direct = all(ids_of(w).tobytes() == ids_of_letters(w) and ids_of(w + c).tobytes() == ids_of_letters(w) + x for w in PROBES for c, x in stops.items())
+
     def learn(new: list[str]) -> dict[str, bytes]:
-        out = {}
-        for lo in range(0, len(new), 4096):
-            part = [w for w in new[lo : lo + 4096] if MARK not in w]
+        out, odd = {}, []
+        for w in new:
+            stem = w[:-1] if w[-1] in stops else w
+            if direct and stem.isalpha() and stem.isascii():
+                x = memo.get(stem) or out.get(stem) or ids_of_letters(stem)
+                out[w] = x if stem is w else x + stops[w[-1]]
+            else:
+                odd.append(w)
+        for lo in range(0, len(odd), 4096):
+            part = [w for w in odd[lo : lo + 4096] if MARK not in w]
             ids = ids_of(f" {MARK} ".join(part))
             cuts = np.flatnonzero(ids == mark_ids[0]) if len(mark_ids) == 1 else ()
             if len(cuts) == len(part) - 1:
                 raw, ends = ids.tobytes(), (4 * cuts).tolist()
                 out.update({w: raw[a:b] for w, a, b in zip(part, [0, *[x + 4 for x in ends]], [*ends, len(raw)], strict=True)})
-            out.update({w: ids_of(w).tobytes() for w in new[lo : lo + 4096] if w not in out})
+            out.update({w: ids_of(w).tobytes() for w in odd[lo : lo + 4096] if w not in out})
         return out
 
     def encode(texts: list[str]) -> list[bytes]:
