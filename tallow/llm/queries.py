@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallow.llm import chat, extraction, jaccard, licenses, lm, mixing, packing, quality, syncmers, warc
+from tallow.llm import chat, collocations, compression, extraction, jaccard, licenses, lm, mixing, packing, periodic, quality, syncmers, warc
 from tallow.llm.common import stage, table
 
 
@@ -70,7 +70,21 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_syncmer_fingerprints, op2_source_mixing, op3_quality_rules, op4_best_fit_packing, op5_lm_scoring, op6_warc_archives, op7_ngram_jaccard_join, op8_license_scan, op9_html_extraction, op10_chat_formatting)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic.digest(periodic.periodic_runs(periodic.with_period(docs)))
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return compression.score_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_syncmer_fingerprints, op2_source_mixing, op3_quality_rules, op4_best_fit_packing, op5_lm_scoring, op6_warc_archives, op7_ngram_jaccard_join, op8_license_scan, op9_html_extraction, op10_chat_formatting, op11_periodic_runs, op12_quality_classifier, op13_phrase_collocations)}
 
 SQL: dict[str, str] = {"op8_license_scan": licenses.scan_sql()}
 
@@ -167,3 +181,27 @@ WITH d AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost <= 0.4 * n_words AS kept FROM o
 """
+
+SQL["op13_phrase_collocations"] = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, r, p, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+    SELECT lang, r, unnest(pieces) AS piece, unnest(range(len(pieces))) AS p FROM (
+      SELECT lang, row_number() OVER () AS r, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents))
+), n AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang
+), g AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, 6) t(k))
+), f AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100
+), c AS (
+  SELECT * FROM f WHERE k > 1 AND NOT EXISTS (SELECT 1 FROM f b WHERE b.lang = f.lang AND b.k > f.k AND b.f >= f.f AND contains(' ' || b.phrase || ' ', ' ' || f.phrase || ' '))
+), q AS (
+  SELECT lang, phrase, f AS a, j, array_to_string(ws[1:j], ' ') AS x, array_to_string(ws[j + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS j FROM (SELECT *, string_split(phrase, ' ') AS ws FROM c))
+), s AS (
+  SELECT q.lang, q.phrase, a, j, l.f AS l, r.f AS r, n, ((1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM q JOIN f l ON l.lang = q.lang AND l.phrase = x JOIN f r ON r.lang = q.lang AND r.phrase = y JOIN n ON n.lang = q.lang
+), b AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b) WHERE rank <= 2000
+"""
