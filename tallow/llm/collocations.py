@@ -4,8 +4,11 @@ Level k counts phrases of k words. Its pass over the texts sends every task the
 and emits a phrase only if both of its parts of k - 1 words, which overlap, are among them (Apriori). Then each
 frequent phrase is scored at each place where it can be cut in two, from the tables of the levels.
 
-What is sent is a set of 64-bit hashes of at most MOST phrases, or, where there are more, a bitmap of fixed size.
+What is sent is a set of hashes of at most MOST phrases, or, where there are more, a bitmap of fixed size.
 Either may let some phrase through that is not frequent; counts are of the words themselves, so results don't change.
+
+Most pairs of frequent words are rare. So level 2 counts hashes of the pairs first, packed by range, and then the
+words of those alone whose hash is frequent.
 """
 
 from __future__ import annotations
@@ -15,10 +18,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallow.llm.common import set_aside, stage, unstage
+from tallow.llm.common import set_aside, shuffle_partitions, stage, unstage
 from tallow.llm.spans import Spans, spans
 from tallow.llm.wordhash import mix
 
@@ -27,6 +31,9 @@ LEAST, LONGEST, TOP, DROP = 100, 5, 2000, 100
 MOST = 1 << 22  # hashes sent as they are: 32 MB
 BITS, SLICE = 29, 19  # beyond that, a bitmap of 2^BITS bits (64 MB), put together by slices of 2^SLICE bits
 HELD = 300_000  # phrases that a task counts before it hands them on
+PACKED = 1_000_000  # hashes that a task counts before it hands them on
+KEY = 40  # bits of a packed hash
+SLICES = 65_536  # ranges of packed hashes at most
 SALTS = 64
 LANGS = 65_536
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -49,12 +56,13 @@ def _by_level(w: Spans, lang: np.ndarray, k: int) -> Iterator[np.ndarray]:
 
 
 class Known:
-    """A set of hashes: sorted, or a bitmap of their lowest bits."""
+    """A set of hashes, each without its lowest `shift` bits: sorted, or a bitmap of the lowest bits of what is left."""
 
-    def __init__(self, hashes: np.ndarray | None = None, bitmap: np.ndarray | None = None) -> None:
-        self.hashes, self.bitmap = hashes, bitmap
+    def __init__(self, hashes: np.ndarray | None = None, bitmap: np.ndarray | None = None, shift: int = 0) -> None:
+        self.hashes, self.bitmap, self.shift = hashes, bitmap, np.uint64(shift)
 
     def has(self, h: np.ndarray) -> np.ndarray:
+        h = h >> self.shift
         if self.bitmap is not None:
             at = h & np.uint64(8 * len(self.bitmap) - 1)
             return (self.bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
@@ -84,10 +92,14 @@ def known_phrases(level: DataFrame, n: int, most: int = MOST) -> Known:
                     out[own] = h[first[own]]
                 yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64))], names=["h"])
 
-    hashes = level.select("lang", "phrase").mapInArrow(run, "h long")
+    return known_hashes(level.select("lang", "phrase").mapInArrow(run, "h long"), n, most)
+
+
+def known_hashes(hashes: DataFrame, n: int, most: int, shift: int = 0) -> Known:
+    """The n rows of hashes (h) as a set for broadcast."""
     if n <= most:
         found = hashes.toArrow().column(0).to_numpy()  # `most` at most
-        return Known(np.unique(found.astype(np.int64).view(np.uint64)))
+        return Known(np.unique(found.astype(np.int64).view(np.uint64)), shift=shift)
 
     def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         bits = np.zeros(1 << SLICE, bool)
@@ -99,7 +111,74 @@ def known_phrases(level: DataFrame, n: int, most: int = MOST) -> Known:
     bitmap = np.zeros(1 << (BITS - 3), np.uint8)
     for s in places.groupBy("slice").applyInPandas(fill, "slice long, bits binary").toLocalIterator():  # 2^(BITS - SLICE) slices of 64 kB
         bitmap[s["slice"] << (SLICE - 3) : (s["slice"] + 1) << (SLICE - 3)] = np.frombuffer(s["bits"], np.uint8)
-    return Known(bitmap=bitmap)
+    return Known(bitmap=bitmap, shift=shift)
+
+
+def _sum(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+    keys, at = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(at, weights=counts).astype(np.int64)
+
+
+def _places(w: Spans, lang_hash: np.ndarray, k: int, shorter: Known) -> tuple[np.ndarray, np.ndarray]:
+    """Words at which a phrase of k words starts whose parts of k - 1 words are both in `shorter`, and the hash of the phrase at every word."""
+    m = len(w.id) - k + 1
+    *_, part, whole = _by_level(w, lang_hash, k)
+    known = shorter.has(part)
+    fits = known[:m] & known[1 : m + 1]
+    for j in range(1, k):
+        fits &= w.joined[j : j + m]
+    return np.flatnonzero(fits), whole
+
+
+def frequent_hashes(texts: DataFrame, k: int, shorter: Known, least: int, slices: int) -> DataFrame:
+    """Hashes (h, KEY bits) of phrases of k words of texts whose parts are in `shorter`, that occur `least` times or more. Phrases of one hash count together."""
+    shared = texts.sparkSession.sparkContext.broadcast(shorter)
+    shift = np.uint64(64 - KEY)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        pack = zstandard.ZstdCompressor(level=1)
+
+        def flush() -> pa.RecordBatch:
+            keys, counts = held.pop()
+            own = (keys * np.uint64(slices)) >> np.uint64(KEY)
+            name, first = np.unique(own, return_index=True)
+            rows = [(np.diff(x, prepend=np.uint64(0)), y) for x, y in zip(np.split(keys, first[1:]), np.split(counts, first[1:]), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(name.astype(np.int32)), *[pa.array([pack.compress(r[i].astype(t).tobytes()) for r in rows], pa.binary()) for i, t in ((0, "<u8"), (1, "<u4"))]], names=["slice", "keys", "counts"])
+
+        for b in batches:
+            code, _, lang_hash = _langs(b.column(0))
+            for w in spans(b.column(1), lower=True, breaks=BREAKS):
+                if len(w.id) < k:
+                    continue
+                at, h = _places(w, lang_hash[code], k, shared.value)
+                held.append(np.unique(h[at] >> shift, return_counts=True))
+                size += len(held[-1][0])
+                if size > PACKED:
+                    held[:] = [_sum(held)]
+                    size = len(held[0][0])
+                    if size > PACKED // 2:
+                        yield flush()
+                        size = 0
+        if held:
+            held[:] = [_sum(held)]
+            if len(held[0][0]):
+                yield flush()
+
+    def total(key: tuple, rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+        held, size, unpack = [], 0, zstandard.ZstdDecompressor()
+        for pdf in rows if not isinstance(rows, pd.DataFrame) else [rows]:
+            for x, y in zip(pdf["keys"], pdf["counts"], strict=True):
+                held.append((np.cumsum(np.frombuffer(unpack.decompress(x), "<u8"), dtype=np.uint64), np.frombuffer(unpack.decompress(y), "<u4")))
+                size += len(held[-1][0])
+                if size > 2 * PACKED:
+                    held = [_sum(held)]
+                    size = len(held[0][0])
+        keys, counts = _sum(held)
+        return pd.DataFrame({"h": keys[counts >= least].astype(np.int64)})
+
+    return texts.mapInArrow(run, "slice int, keys binary, counts binary").groupBy("slice").applyInPandas(total, "h long")
 
 
 def _distinct(columns: list[np.ndarray], sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -114,12 +193,12 @@ def _distinct(columns: list[np.ndarray], sizes: list[int]) -> tuple[np.ndarray,
     return first, counts
 
 
-def level_counts(texts: DataFrame, k: int, shorter: Known | None = None) -> DataFrame:
-    """Counts of the phrases of k words of texts (lang, text), whose parts of k - 1 words are both in `shorter`.
+def level_counts(texts: DataFrame, k: int, shorter: Known | None = None, own: Known | None = None) -> DataFrame:
+    """Counts of the phrases of k words of texts (lang, text), whose parts of k - 1 words are both in `shorter`, and which are in `own` if given.
 
     Level 1 also has a row without a phrase for each lang, which counts its words.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(shorter)
+    shared = texts.sparkSession.sparkContext.broadcast((shorter, own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, bytes | None], int] = {}
@@ -134,15 +213,10 @@ def level_counts(texts: DataFrame, k: int, shorter: Known | None = None) -> Data
             for w in spans(b.column(1), lower=True, breaks=BREAKS):
                 if len(w.id) < k:
                     continue
-                lang, m = code[w.row], len(w.id) - k + 1
-                fits = np.ones(m, bool)
-                for j in range(1, k):
-                    fits &= w.joined[j : j + m]
+                lang, at = code[w.row], np.arange(len(w.id))
                 if k > 1:
-                    *_, h = _by_level(w, lang_hash[code], k - 1)
-                    known = shared.value.has(h)
-                    fits &= known[:m] & known[1 : m + 1]
-                at = np.flatnonzero(fits)
+                    at, h = _places(w, lang_hash[code], k, shared.value[0])
+                    at = at[shared.value[1].has(h[at])] if shared.value[1] else at
                 if not len(at):
                     continue
                 first, counts = _distinct([lang[at], *[w.id[at + j] for j in range(k)]], [len(langs), *[len(w.words)] * k])
@@ -175,8 +249,13 @@ def mine_collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGES
     totals = words.where("phrase IS NULL").select("lang", F.col("f").alias("n"))
     levels = [words.where("phrase IS NOT NULL")]
     while len(levels) < longest and (n := levels[-1].count()):
-        found = level_counts(texts, len(levels) + 1, known_phrases(levels[-1], n, most)).where(F.col("f") >= least)
-        levels.append(stage(found, f"phrases-{len(levels) + 1}"))
+        k, shorter, own = len(levels) + 1, known_phrases(levels[-1], n, most), None
+        if k == 2:
+            slices = int(min(SLICES, max(shuffle_partitions(docs.sparkSession), totals.agg(F.sum("n")).first()[0] // PACKED)))
+            pairs = stage(frequent_hashes(texts, k, shorter, least, slices), "phrases-pairs")
+            own = known_hashes(pairs, pairs.count(), most, 64 - KEY)
+            unstage(pairs)
+        levels.append(stage(level_counts(texts, k, shorter, own).where(F.col("f") >= least), f"phrases-{k}"))
     out = stage(_scored(levels, totals, top, drop), "phrases-scored")
     for x in (words, *levels[1:]):
         unstage(x)
