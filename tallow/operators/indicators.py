@@ -1,14 +1,14 @@
-"""Technical indicators per asset. Those without recursion are window columns over one window spec (one shuffle, one sort); the recursive ones share one grouped map."""
+"""Technical indicators per asset. Those without recursion are window columns over one window spec (one shuffle, one sort); the recursive ones share one scan over pieces of the series."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tallow.functions.windows import BY, guarded, lagged, ordered, rolling
+from tallow.operators.series import ROWS, Ewm, Running, numbered, pieces, scan
 
 MIN_ROWS = 200
 RECURSIVE = ["rsi_14", "ema_12", "ema_26", "ema_50", "ema_200", "macd", "macd_signal", "macd_histogram", "atr_14"]
@@ -56,6 +56,7 @@ def wilder_atr(h: np.ndarray, lo: np.ndarray, c: np.ndarray, n: int = 14) -> np.
 
 
 def recursive_columns(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The columns of RECURSIVE of one series in memory."""
     c = pdf["close"].to_numpy(float)
     d = np.diff(c, prepend=np.nan)
     up, down = ewm(np.where(d > 0, d, 0.0), 1 / 14, 14), ewm(np.where(d < 0, -d, 0.0), 1 / 14, 14)
@@ -68,25 +69,62 @@ def recursive_columns(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(rsi_14=rsi, **{f"ema_{n}": e for n, e in ema.items()}, macd=macd, macd_signal=signal, macd_histogram=macd - signal, atr_14=wilder_atr(pdf["high"].to_numpy(float), pdf["low"].to_numpy(float), c))
 
 
-def recursive_indicators(bars: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
-    """EMA, Wilder and MACD columns. The recursion needs an asset's rows in order in one task; assets run in parallel."""
-    keep = [x for x in bars.columns if x not in RECURSIVE]
-    schema = bars.select(*keep).schema
-    for x in RECURSIVE:
-        schema = schema.add(x, "double")
+_KNOWN = ("close", "high", "low")
+_FAST, _SLOW = Ewm(2 / 13, "close"), Ewm(2 / 27, "close")
+# x of each recursion is a column of _sources(); the signal starts with the first macd, that of row 26.
+WILDER = {"_up": Ewm(1 / 14, "_gain"), "_down": Ewm(1 / 14, "_loss"), "_atr": Ewm(1 / 14, "_range", 14)}
+FEATURE_SCAN = {"ema_12": _FAST, "ema_26": _SLOW, "ema_50": Ewm(2 / 51, "close"), "ema_200": Ewm(2 / 201, "close"), "macd_signal": Ewm(0.2, ("ema_12", "ema_26"), 26), **WILDER}
+DASHBOARD_SCAN = {"ema_dash_9": Ewm(2 / 10, "close"), "ema_dash_21": Ewm(2 / 22, "close"), "ema_dash_50": Ewm(2 / 51, "close"), "_fast": _FAST, "_slow": _SLOW, "macd_dash_signal": Ewm(0.2, ("_fast", "_slow"))}
+DASHBOARD = ["ema_dash_9", "ema_dash_21", "ema_dash_50", "macd_dash", "macd_dash_signal", "macd_dash_histogram"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = recursive_columns(pdf.sort_values("date", kind="stable"))
-        return out[schema.names]
 
-    done = bars.select(*keep).groupBy(*by).applyInPandas(run, schema)
-    return done.withColumns({x: F.when(~F.isnan(x), F.col(x)) for x in RECURSIVE})
+def _is_known() -> Column:
+    out = F.lit(True)
+    for c in _KNOWN:
+        out = out & F.col(c).isNotNull() & ~F.isnan(c)
+    return out
+
+
+def _sources(p: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Gain, loss and range of each row of pieces (the range of row 14 is the mean of the first 14), from the row before."""
+    w = ordered((*by, "piece"), "row_no")
+    before = F.lag("close").over(w)
+    h, lo, d = F.col("high"), F.col("low"), F.col("close") - before
+    p = p.withColumns({"_gain": F.coalesce(F.greatest(d, F.lit(0.0)), F.lit(0.0)), "_loss": F.coalesce(F.greatest(-d, F.lit(0.0)), F.lit(0.0)), "_range": F.greatest(h - lo, F.abs(h - before), F.abs(lo - before))})
+    return p.withColumn("_range", F.when(F.col("row_no") == 14, F.avg("_range").over(w.rowsBetween(-13, 0))).otherwise(F.col("_range")))
+
 
+def _from_scan(done: DataFrame) -> DataFrame:
+    """The columns of RECURSIVE from those of FEATURE_SCAN; NULL in the rows of their warm-up."""
+    n, up, down = F.col("row_no"), F.col("_up"), F.col("_down")
+    macd, signal = F.col("ema_12") - F.col("ema_26"), F.when(n >= 34, F.col("macd_signal"))
+    out = done.withColumns({"rsi_14": F.when(n >= 14, F.when(down == 0, 100.0).otherwise(100 - 100 / (1 + up / down))), "macd": F.when(n >= 26, macd), "macd_signal": signal, "macd_histogram": macd - signal, "atr_14": F.when(F.col("in_halo"), F.lit(None)).otherwise(F.coalesce("_atr", F.lit(0.0)))})
+    return out.withColumns({f"ema_{x}": F.when(n >= x, F.col(f"ema_{x}")) for x in (12, 26, 50, 200)})
+
+
+def _of_known_rows(bars: DataFrame, by: tuple[str, ...], names: list[str], solve) -> DataFrame:
+    """bars with the columns `names` of solve(numbered rows); rows without a close, high or low have no part in the recursion and NULLs there."""
+    keep = bars.select(*[c for c in bars.columns if c not in names])
+    done = solve(numbered(keep.where(_is_known()), by)).where(~F.col("in_halo")).select(*keep.columns, *names)
+    return done.unionByName(keep.where(~_is_known()), allowMissingColumns=True)
 
-def features(gold: DataFrame, by: tuple[str, ...] = BY, min_rows: int = MIN_ROWS) -> DataFrame:
-    """The feature table: groups of at least min_rows, all indicators, rows of the warm-up dropped."""
-    enough = gold.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by))).where(F.col("_n") >= min_rows).drop("_n")
-    done = window_indicators(recursive_indicators(enough, by), by)
+
+def recursive_indicators(bars: DataFrame, by: tuple[str, ...] = BY, size: int = ROWS) -> DataFrame:
+    """EMA, Wilder and MACD columns, as of recursive_columns. Series are cut into pieces of `size` rows (200 or more), so no task holds a whole one."""
+    return _of_known_rows(bars, by, RECURSIVE, lambda n: _from_scan(scan(_sources(pieces(n, 13, size), by), FEATURE_SCAN, by, size=size)))
+
+
+HALO = 219  # rows that the longest window, a mean of 200, and a mean over means need
+
+
+def features(gold: DataFrame, by: tuple[str, ...] = BY, min_rows: int = MIN_ROWS, size: int = ROWS) -> DataFrame:
+    """The feature table: groups of at least min_rows, all indicators, rows of the warm-up dropped. Windows see pieces of a series with HALO rows before them."""
+    keep = [c for c in gold.columns if c not in RECURSIVE]
+    p = _sources(pieces(numbered(gold.select(*keep).where(_is_known()), by).where(F.col("n_rows") >= min_rows), HALO, size), by)
+    signed = F.when(F.col("close") < F.lag("close").over(ordered((*by, "piece"), "row_no")), -F.col("volume")).otherwise(F.col("volume"))
+    done = _from_scan(scan(p.withColumn("_signed", signed), FEATURE_SCAN | {"_obv": Running("sum", "_signed")}, by, size=size))
+    done = window_indicators(done.select(*keep, *RECURSIVE, "_obv", "piece", "in_halo"), (*by, "piece"))
+    done = done.where(~F.col("in_halo")).withColumn("obv", F.col("_obv")).drop("_obv", "piece", "in_halo")
     return done.na.drop(subset=RECURSIVE + WINDOWED)
 
 
@@ -97,21 +135,15 @@ def class_features(features: DataFrame, extras: DataFrame, asset_class: str) ->
     return own.join(extras.select(*keys, "turnover", "open_interest", "funding_rate"), keys, "left") if asset_class.lower() == "crypto" else own
 
 
-def dashboard_recursive(bars: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
+def dashboard_recursive(bars: DataFrame, by: tuple[str, ...] = BY, size: int = ROWS) -> DataFrame:
     """The dashboard's exponential means, defined from the first row on: ema_dash_9/21/50, macd_dash, its signal and histogram."""
-    names = ["ema_dash_9", "ema_dash_21", "ema_dash_50", "macd_dash", "macd_dash_signal", "macd_dash_histogram"]
-    keep = bars.select(*[c for c in bars.columns if c not in names])
-    schema = StructType([*keep.schema.fields, *[StructField(x, DoubleType()) for x in names]])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date", kind="stable")
-        c = pdf["close"].to_numpy(float)
-        ema = {n: ewm(c, 2 / (n + 1)) for n in (9, 12, 21, 26, 50)}
-        macd = ema[12] - ema[26]
-        signal = ewm(macd, 0.2)
-        return pdf.assign(ema_dash_9=ema[9], ema_dash_21=ema[21], ema_dash_50=ema[50], macd_dash=macd, macd_dash_signal=signal, macd_dash_histogram=macd - signal)[schema.names]
+    def solve(n: DataFrame) -> DataFrame:
+        done = scan(pieces(n, 0, size), DASHBOARD_SCAN, by, size=size)
+        macd = F.col("_fast") - F.col("_slow")
+        return done.withColumns({"macd_dash": macd, "macd_dash_histogram": macd - F.col("macd_dash_signal")})
 
-    return keep.groupBy(*by).applyInPandas(run, schema)
+    return _of_known_rows(bars, by, DASHBOARD, solve)
 
 
 def dashboard_indicators(bars: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:

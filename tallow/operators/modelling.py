@@ -12,6 +12,7 @@ from dateutil.relativedelta import relativedelta
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallow.operators.quantiles import exact_quantiles
 from tallow.functions.windows import BY, ordered, rolling
 
 OVER_CLOSE = {"macd_pct": "macd", "macd_sig_pct": "macd_signal", "macd_hist_pct": "macd_histogram", "atr_pct": "atr_14", "volatility_pct": "daily_volatility"}
@@ -56,8 +57,10 @@ def standardise(df: DataFrame, cols: list[str], fit: str = "is_train", by: tuple
 
 
 def winsorise(df: DataFrame, cols: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
-    bounds = df.agg(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"_b_{c}") for c in cols])
-    return df.crossJoin(F.broadcast(bounds)).withColumns({c: F.least(F.greatest(c, F.col(f"_b_{c}")[0]), F.col(f"_b_{c}")[1]) for c in cols}).select(*df.columns)
+    """cols cut at their exact quantiles low and high over all rows; nulls stay."""
+    found = {(r["feature"], r["p"]): r["quantile"] for r in exact_quantiles(df, cols, (low, high)).collect()}  # two numbers a column
+    bound = lambda c, p: F.lit(found.get((c, p))).cast("double")
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), F.least(F.greatest(c, bound(c, low)), bound(c, high))) for c in cols})
 
 
 def sequences(df: DataFrame, cols: list[str], length: int = 20, by: tuple[str, ...] = BY, label: str = "target_direction") -> DataFrame:

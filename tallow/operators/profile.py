@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallow.functions.windows import BY, ordered, rolling
+from tallow.operators.matrices import pair_sums
+from tallow.operators.quantiles import as_columns, exact_quantiles
+from tallow.operators.series import meet
+from tallow.sources.stages import stage
 
 
 def latest(df: DataFrame, n: int, by: tuple[str, ...] = BY) -> DataFrame:
@@ -23,34 +27,35 @@ def top_movers(bars: DataFrame, n: int = 10, gainers: bool = True) -> DataFrame:
     return c.orderBy(F.desc("change_pct") if gainers else F.asc("change_pct"), "asset_symbol", "date").limit(n)
 
 
-def volatility_scan(bars: DataFrame) -> DataFrame:
-    return change(bars).groupBy("asset_symbol").agg(F.round(F.stddev_samp("change_pct"), 6).alias("volatility"))
+def volatility_scan(bars: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
+    return change(bars, by).groupBy(*by).agg(F.round(F.stddev_samp("change_pct"), 6).alias("volatility"))
 
 
-def last_zscore(bars: DataFrame, window: int = 50, least: int = 30) -> DataFrame:
-    c = latest(change(bars).where("change_pct is not null"), window)
-    s = c.groupBy("asset_symbol").agg(F.count("*").alias("n"), F.avg("change_pct").alias("m"), F.stddev_samp("change_pct").alias("s"), F.max_by("change_pct", "date").alias("x"))
-    return s.where(F.col("n") >= least).select("asset_symbol", F.round((F.col("x") - F.col("m")) / F.col("s"), 6).alias("zscore"))
+def last_zscore(bars: DataFrame, window: int = 50, least: int = 30, by: tuple[str, ...] = BY) -> DataFrame:
+    c = latest(change(bars, by).where("change_pct is not null"), window, by)
+    s = c.groupBy(*by).agg(F.count("*").alias("n"), F.avg("change_pct").alias("m"), F.stddev_samp("change_pct").alias("s"), F.max_by("change_pct", "date").alias("x"))
+    return s.where(F.col("n") >= least).select(*by, F.round((F.col("x") - F.col("m")) / F.col("s"), 6).alias("zscore"))
 
 
-def ma_cross(bars: DataFrame) -> DataFrame:
-    """Where the 50-row mean crossed the 200-row mean on the last row."""
-    w = ordered()
+def ma_cross(bars: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
+    """Where the 50-row mean crossed the 200-row mean on the last row of each group."""
+    w = ordered(by)
     m = bars.withColumns({"a": rolling(F.avg, "close", 50, w), "b": rolling(F.avg, "close", 200, w)})
-    m = latest(m.withColumns({"pa": F.lag("a").over(w), "pb": F.lag("b").over(w)}), 1)
+    m = latest(m.withColumns({"pa": F.lag("a").over(w), "pb": F.lag("b").over(w)}), 1, by)
     signal = F.when((F.col("pa") <= F.col("pb")) & (F.col("a") > F.col("b")), "golden").when((F.col("pa") >= F.col("pb")) & (F.col("a") < F.col("b")), "death").otherwise("none")
-    return m.select("asset_symbol", signal.alias("signal"))
+    return m.select(*by, signal.alias("signal"))
 
 
-def squeeze(bars: DataFrame, window: int = 20, ratio: float = 0.7) -> DataFrame:
-    w = ordered()
-    s = latest(bars, 50).withColumn("sd", rolling(F.stddev_samp, "close", window, w))
-    s = latest(s.withColumn("m", rolling(F.avg, "sd", window, w)), 1)
-    return s.select("asset_symbol", F.round(F.try_divide(F.col("sd"), F.col("m")), 6).alias("ratio"), F.coalesce(F.col("sd") / F.col("m") < ratio, F.lit(False)).alias("squeezed"))
+def squeeze(bars: DataFrame, window: int = 20, ratio: float = 0.7, by: tuple[str, ...] = BY) -> DataFrame:
+    w = ordered(by)
+    s = latest(bars, 50, by).withColumn("sd", rolling(F.stddev_samp, "close", window, w))
+    s = latest(s.withColumn("m", rolling(F.avg, "sd", window, w)), 1, by)
+    return s.select(*by, F.round(F.try_divide(F.col("sd"), F.col("m")), 6).alias("ratio"), F.coalesce(F.col("sd") / F.col("m") < ratio, F.lit(False)).alias("squeezed"))
 
 
-def dead_assets(bars: DataFrame, n: int = 7) -> DataFrame:
-    return latest(bars, n).groupBy("asset_symbol").agg(F.count("*").alias("n"), F.count_distinct("close").alias("k")).select("asset_symbol", ((F.col("n") == n) & (F.col("k") == 1)).alias("dead"))
+def dead_assets(bars: DataFrame, n: int = 7, by: tuple[str, ...] = BY) -> DataFrame:
+    """Whether the last n closes of each group are one price."""
+    return latest(bars, n, by).groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct("close").alias("k")).select(*by, ((F.col("n") == n) & (F.col("k") == 1)).alias("dead"))
 
 
 def volume_spikes(bars: DataFrame, times: float = 10.0) -> DataFrame:
@@ -80,15 +85,18 @@ def null_audit(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Count, mean, deviation, least, quartiles, largest and missing values of each column; the quartiles are exact (exact_quantiles)."""
     long = df.select(*[F.col(c).cast("double") for c in cols]).unpivot([], cols, "feature_name", "x")
-    q = lambda p: F.round(F.percentile("x", F.lit(p)), 6)
-    return long.groupBy("feature_name").agg(F.count("x").alias("count"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_samp("x"), 6).alias("std"), F.round(F.min("x"), 6).alias("min"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.round(F.max("x"), 6).alias("max"), F.count_if(F.col("x").isNull()).alias("null_count"))
+    g = long.groupBy("feature_name").agg(F.count("x").alias("count"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_samp("x"), 6).alias("std"), F.round(F.min("x"), 6).alias("min"), F.round(F.max("x"), 6).alias("max"), F.count_if(F.col("x").isNull()).alias("null_count"))
+    q = as_columns(exact_quantiles(df, cols, (0.25, 0.5, 0.75)), {0.25: "q25", 0.5: "q50", 0.75: "q75"}).withColumnRenamed("feature", "feature_name")
+    g = g.join(q, "feature_name", "left")
+    return g.select("feature_name", "count", "mean", "std", "min", *[F.round(c, 6).alias(c) for c in ("q25", "q50", "q75")], "max", "null_count")
 
 
 # Minutes of an interval code; any other code counts as a day.
 STEP_MINUTES = {"1h": 60, "1d": 1440, "1wk": 10080, "60": 60, "D": 1440, "W": 10080}
-# Steps of the gap scan by interval code; any other code is daily.
-GAP_STEPS = {"1h": "1 HOUR", "60": "1 HOUR", "1wk": "7 DAYS", "W": "7 DAYS", "1mo": "1 MONTH", "M": "1 MONTH"}
+# Calendars of the gap scan by interval code; any other code is daily.
+CALENDARS = {"1h": "hour", "60": "hour", "1wk": "week", "W": "week", "1mo": "month end", "M": "month end"}
 
 
 def by_code(codes: dict[str, object], default: object, col: str = "interval") -> Column:
@@ -108,23 +116,88 @@ def timeline(bars: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
     return g.where("gaps > 0").select(*by, F.col("e").cast("long").alias("expected"), "actual", "gaps", F.round(F.col("gaps") / F.col("e") * 100, 6).alias("gap_pct"))
 
 
+def _calendar() -> Column:
+    """hour, day, business day (daily stocks), week or month end: what a row's ideal timeline is made of."""
+    c = by_code(CALENDARS, "day")
+    return F.when((c == "day") & (F.col("asset_class") == "Stock"), "business day").otherwise(c)
+
+
+def _after(a: str, b: str) -> Column:
+    """Microseconds from a to b."""
+    at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return at(b) - at(a)
+
+
+_HOUR, _DAY = 3_600_000_000, 86_400_000_000
+
+
+def _on_calendar(calendar: Column, first: str, date: str) -> Column:
+    """Whether a date is a point of the ideal timeline that starts at `first`."""
+    daily = _after(first, date) % _DAY == 0
+    return (
+        F.when(calendar == "hour", _after(first, date) % _HOUR == 0)
+        .when(calendar == "week", _after(first, date) % (7 * _DAY) == 0)
+        .when(calendar == "month end", daily & (F.last_day(date) == F.to_date(date)))
+        .when(calendar == "business day", daily & F.weekday(date).between(0, 4))
+        .otherwise(daily)
+    )
+
+
+def _calendar_points(calendar: Column, first: str, last: str) -> Column:
+    """How many points an ideal timeline from first to last has, without making one."""
+    days = F.floor(_after(first, last) / _DAY) + 1
+    w, r = F.weekday(first), days % 7
+    business = F.floor(days / 7) * 5 + F.greatest(F.lit(0), F.least(r, 5 - w)) + F.greatest(F.lit(0), w + r - 7)
+    months = (F.year(last) - F.year(first)) * 12 + F.month(last) - F.month(first) + 1
+    # The last month's end counts if the last date has reached it, at the first date's time of day.
+    ended = (F.last_day(last) == F.to_date(last)) & (_after(first, last) % _DAY >= 0) & (F.date_format(last, "HH:mm:ss.SSSSSS") >= F.date_format(first, "HH:mm:ss.SSSSSS"))
+    return (
+        F.when(calendar == "hour", F.floor(_after(first, last) / _HOUR) + 1)
+        .when(calendar == "week", F.floor(_after(first, last) / (7 * _DAY)) + 1)
+        .when(calendar == "month end", months - F.when(ended, 0).otherwise(1))
+        .when(calendar == "business day", business)
+        .otherwise(days)
+        .cast("long")
+    )
+
+
 def gap_scan(bars: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
-    """Rows, missing points and completeness of each group against its ideal timeline: hours, days (business days for stocks), weeks or months."""
-    span = bars.groupBy(*by, "asset_class").agg(F.min("date").alias("a"), F.max("date").alias("b"), F.count("*").alias("n_rows"))
-    step = by_code(GAP_STEPS, "1 DAY")
-    ideal = F.when(step == "1 HOUR", F.expr("sequence(a, b, INTERVAL 1 HOUR)")).when(step == "7 DAYS", F.expr("sequence(a, b, INTERVAL 7 DAYS)")).when(step == "1 MONTH", F.expr("sequence(a, b, INTERVAL 1 MONTH)")).otherwise(F.expr("sequence(a, b, INTERVAL 1 DAY)"))
-    points = span.withColumn("_daily", step == "1 DAY").select(*by, "asset_class", "n_rows", "_daily", F.explode(ideal).alias("date"))
-    points = points.where(~F.col("_daily") | (F.col("asset_class") != "Stock") | F.weekday("date").between(0, 4))
-    found = points.join(bars.select(*by, "date", F.lit(1).alias("_found")), [*by, "date"], "left")
-    g = found.groupBy(*by, "n_rows").agg(F.count("*").alias("ideal"), F.count_if(F.col("_found").isNull()).alias("gap_count"))
-    return g.select(*by, "n_rows", "gap_count", F.round(F.col("n_rows") / F.col("ideal") * 100, 6).alias("completeness"))
+    """Rows, missing points and completeness of each group against its ideal timeline: hours, days (business days for stocks), weeks or month ends.
+
+    The timeline is counted by calendar arithmetic, and the candles that lie on it are; no point of it is made.
+    """
+    span = stage(bars.groupBy(*by, "asset_class").agg(F.min("date").alias("a"), F.max("date").alias("b"), F.count("*").alias("n_rows")), "gap-spans")
+    rows = meet(bars.select(*by, "asset_class", "date"), span.select(*by, "asset_class", "a"), (*by, "asset_class"), "inner")
+    found = rows.groupBy(*by, "asset_class").agg(F.count_distinct(F.when(_on_calendar(_calendar(), "a", "date"), F.col("date"))).alias("found"))
+    g = meet(span, found, (*by, "asset_class")).withColumn("ideal", _calendar_points(_calendar(), "a", "b"))
+    return g.select(*by, "n_rows", (F.col("ideal") - F.col("found")).alias("gap_count"), F.round(F.col("n_rows") / F.col("ideal") * 100, 6).alias("completeness"))
 
 
-def missing_candles(bars: DataFrame, step: str) -> DataFrame:
-    """Timestamps of each asset's ideal timeline that have no candle."""
-    span = bars.groupBy("asset_symbol").agg(F.min("date").alias("a"), F.max("date").alias("b"))
-    ideal = span.select("asset_symbol", F.explode(F.sequence("a", "b", F.expr(f"INTERVAL {step}"))).alias("date"))
-    return ideal.join(bars.select("asset_symbol", "date"), ["asset_symbol", "date"], "left_anti")
+def missing_candles(bars: DataFrame, step: str, by: tuple[str, ...] = ("asset_symbol",)) -> DataFrame:
+    """Timestamps of each group's ideal timeline that have no candle. Points are made inside gaps alone, between a candle and the next.
+
+    Candles off the timeline (other than a whole number of steps after the first) end a gap but fill no point.
+    """
+    dates = bars.select(*by, "date").distinct()
+    w = ordered(by)
+    first = F.min("date").over(Window.partitionBy(*by))
+    seconds = F.expr(f"unix_seconds(TIMESTAMP '1970-01-01 00:00:00' + INTERVAL {step})")
+    since = lambda c: F.unix_seconds(c.cast("timestamp")) - F.unix_seconds(F.col("_first").cast("timestamp"))
+    g = dates.withColumns({"_next": F.lead("date").over(w), "_first": first}).withColumn("_step", seconds)
+    # The points strictly between a candle and the next are those of numbers k to n.
+    g = g.withColumns({"_k": F.floor(since(F.col("date")) / F.col("_step")) + 1, "_n": F.ceil(since(F.col("_next")) / F.col("_step")) - 1}).where("_k <= _n")
+    point = F.timestamp_seconds(F.unix_seconds(F.col("_first").cast("timestamp")) + F.col("_i") * F.col("_step"))
+    return g.withColumn("_i", F.explode(F.sequence("_k", "_n"))).select(*by, point.cast("timestamp_ntz").alias("date"))
+
+
+def islands(bars: DataFrame, seconds: int, by: tuple[str, ...] = BY) -> DataFrame:
+    """Unbroken stretches of candles at most `seconds` apart: by, island (from 1), first_date, last_date, candles and the gap in seconds to the next."""
+    w = ordered(by)
+    at = lambda c: F.unix_seconds(c.cast("timestamp"))
+    b = bars.select(*by, "date").withColumn("_new", (F.coalesce(at(F.col("date")) - at(F.lag("date").over(w)) > seconds, F.lit(True))).cast("long"))
+    g = b.withColumn("island", F.sum("_new").over(w)).groupBy(*by, "island").agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count("*").alias("candles"))
+    nxt = F.lead("first_date").over(Window.partitionBy(*by).orderBy("island"))
+    return g.withColumn("gap_seconds", at(nxt) - at(F.col("last_date")))
 
 
 def frozen(bars: DataFrame, threshold: int = 5, by: tuple[str, ...] = BY) -> DataFrame:
@@ -177,7 +250,7 @@ def atr_snapshot(bars: DataFrame, window: int = 14, rows: int = 30, by: tuple[st
 
 def top_correlations(bars: DataFrame, assets: int = 10, n: int = 5) -> DataFrame:
     """The n strongest correlations of closes among the most volatile assets."""
-    top = volatility_scan(bars).orderBy(F.desc("volatility"), "asset_symbol").limit(assets).select("asset_symbol")
+    top = volatility_scan(bars, ("asset_symbol",)).orderBy(F.desc("volatility"), "asset_symbol").limit(assets).select("asset_symbol")
     pairs = pair_correlations(bars.join(F.broadcast(top), "asset_symbol", "left_semi"))  # `assets` rows
     return pairs.orderBy(F.desc("correlation"), "a", "b").limit(n)
 
@@ -194,10 +267,9 @@ def data_volume(bars: DataFrame) -> DataFrame:
 
 
 def pair_correlations(bars: DataFrame, least: int = 5) -> DataFrame:
-    """Correlation of closes of every pair of assets on common dates."""
-    a, b = bars.select("date", F.col("asset_symbol").alias("a"), F.col("close").alias("x")), bars.select("date", F.col("asset_symbol").alias("b"), F.col("close").alias("y"))
-    p = a.join(b, "date").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("c"))
-    return p.select("a", "b", F.when(F.col("n") < least, 0.0).otherwise(F.round("c", 6)).alias("correlation"))
+    """Correlation of closes of every pair of assets on common dates, by blocks of assets. Of candles of one asset and date the last close by size counts."""
+    one = bars.groupBy("asset_symbol", "date").agg(F.max("close").alias("close"))
+    return pair_sums(one, "asset_symbol", "date", "close").select("a", "b", F.when(F.col("n") < least, 0.0).otherwise(F.round("correlation", 6)).alias("correlation"))
 
 
 def moments(df: DataFrame, col: str, by: tuple[str, ...] = BY) -> DataFrame:
@@ -216,8 +288,8 @@ def freshness(bars: DataFrame, now: str) -> DataFrame:
     return bars.groupBy("asset_symbol", "interval", "asset_class").agg(F.max("date").alias("last")).select("asset_symbol", "interval", "last", tier.alias("tier"))
 
 
-def downsample(bars: DataFrame, points: int) -> DataFrame:
-    """Candles of equal row counts, at most `points` per asset."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("asset_symbol"))
-    b = bars.withColumn("bucket", F.floor((F.row_number().over(ordered()) - 1) / F.ceil(n / F.lit(points))))
-    return b.groupBy("asset_symbol", "bucket").agg(F.min("date").alias("date"), F.min_by("open", "date").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "date").alias("close"), F.sum("volume").alias("volume"))
+def downsample(bars: DataFrame, points: int, by: tuple[str, ...] = BY) -> DataFrame:
+    """Candles of equal row counts, at most `points` per group."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
+    b = bars.withColumn("bucket", F.floor((F.row_number().over(ordered(by)) - 1) / F.ceil(n / F.lit(points))))
+    return b.groupBy(*by, "bucket").agg(F.min("date").alias("date"), F.min_by("open", "date").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "date").alias("close"), F.sum("volume").alias("volume"))

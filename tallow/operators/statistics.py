@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallow.functions.windows import BY, ordered
+from tallow.operators.quantiles import as_columns, exact_quantiles
 
 # Columns that hold the return to be told.
 LEAKAGE = ["returns_1p", "returns_5p", "returns_10p", "returns_20p", "log_returns"]
@@ -78,11 +79,13 @@ def feature_statistics(df: DataFrame, cols: list[str], target: str = "returns_1p
     """
     inf = lambda c: F.col(c).isin(float("inf"), float("-inf"))
     long = df.select(F.col(target).alias("_t"), F.array(*[F.struct(F.lit(c).alias("feature_name"), F.col(c).cast("double").alias("x")) for c in cols]).alias("f")).select("_t", F.explode("f").alias("f")).select("_t", "f.*")
-    q = lambda p: F.round(F.percentile("x", F.lit(p)), 4)
     g = long.groupBy("feature_name").agg(
-        F.count("x").alias("count"), F.round(F.avg("x"), 4).alias("mean"), F.round(F.stddev_samp("x"), 4).alias("std"), F.round(F.min("x"), 4).alias("min"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.round(F.max("x"), 4).alias("max"),
+        F.count("x").alias("count"), F.round(F.avg("x"), 4).alias("mean"), F.round(F.stddev_samp("x"), 4).alias("std"), F.round(F.min("x"), 4).alias("min"), F.round(F.max("x"), 4).alias("max"),
         (F.count_if(inf("x")) > 0).alias("has_inf"), F.count_if(F.col("x").isNull()).alias("null_count"), F.round(F.corr("x", "_t"), 6).alias("target_correlation"),
     )
+    quartiles = as_columns(exact_quantiles(df, cols, (0.25, 0.5, 0.75)), {0.25: "q25", 0.5: "q50", 0.75: "q75"})
+    g = g.join(quartiles.select(F.col("feature").alias("feature_name"), *[F.round(c, 4).alias(c) for c in ("q25", "q50", "q75")]), "feature_name", "left")
+    g = g.select("feature_name", "count", "mean", "std", "min", "q25", "q50", "q75", "max", "has_inf", "null_count", "target_correlation")
     flag = F.when(F.col("has_inf"), "FAIL_INF").when(F.col("null_count") > 0, "FAIL_NULL").when(F.col("feature_name").isin(*LEAKAGE), "LEAKAGE").otherwise("PASS")
     return g.withColumn("quality_flag", flag).withColumn("target_correlation", F.when(F.col("feature_name") != target, F.col("target_correlation")))
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallow.functions.windows import BY, ordered
+from tallow.functions.windows import BY
+from tallow.operators.series import meet, numbered
+from tallow.sources.stages import stage
 
 # Interval code, minutes, description; the id is the place.
 INTERVALS = [("1h", 60, "Hourly"), ("60", 60, "Hourly (Bybit)"), ("1d", 1440, "Daily"), ("D", 1440, "Daily (Bybit)"), ("1wk", 10080, "Weekly"), ("W", 10080, "Weekly (Bybit)"), ("1mo", 43200, "Monthly"), ("M", 43200, "Monthly (Bybit)"), ("4h", 240, "4-Hour"), ("240", 240, "4-Hour (Bybit)")]
@@ -86,6 +88,19 @@ def load_facts(bars: DataFrame, assets: DataFrame, dates: DataFrame, intervals:
     return f if have is None else f.join(have.select("asset_id", "interval_id", "timestamp"), ["asset_id", "interval_id", "timestamp"], "left_anti").select(*f.columns)
 
 
+def with_price_ids(facts: DataFrame, have: DataFrame | None = None) -> DataFrame:
+    """facts with price_id, 1, 2, ... by asset, interval and time; after the largest of `have`, if given. Ids are prefix sums of the counts of ranges, so no task sees all facts."""
+    last = have.agg(F.coalesce(F.max("price_id"), F.lit(0))).first()[0] if have is not None else 0
+    n = numbered(facts.withColumn("_all", F.lit(0)), ("_all",), ("asset_id", "interval_id", "timestamp"))
+    return n.select((F.col("row_no") + last).alias("price_id"), *facts.columns)
+
+
+def calendar_of(bars: DataFrame, years_ahead: int = YEARS_AHEAD) -> DataFrame:
+    """dim_date from the bars' own first day to some years after their last: no fact falls outside it."""
+    first, last = bars.agg(F.min("date").cast("date"), F.max("date").cast("date")).first()
+    return dim_date(bars.sparkSession, str(first or DATE_FROM), str((last or first).replace(month=12, day=28).replace(year=last.year + years_ahead)) if last else None)
+
+
 def gold(facts: DataFrame, assets: DataFrame, intervals: DataFrame) -> DataFrame:
     """Denormalised facts with 7- and 30-row moving averages (partial windows count)."""
     g = facts.join(assets, "asset_id").join(F.broadcast(intervals.select("interval_id", "interval_code")), "interval_id")
@@ -108,14 +123,42 @@ def macro_table(a: DataFrame, b: DataFrame, c: DataFrame) -> DataFrame:
     return both.select(F.coalesce("d1", "d2", "d3").alias("date"), "dxy_close", "vix_close", "tnx_close")
 
 
-def align_exact_ffill(bars: DataFrame, aux: DataFrame, col: str, by: tuple[str, ...] = BY) -> DataFrame:
+BUCKET_ROWS = 65_536
+
+
+def bucket_width(rows: DataFrame, per_bucket: int = BUCKET_ROWS) -> int:
+    """Microseconds of time buckets that hold about per_bucket rows."""
+    one = rows.agg(F.min(_micros()).alias("a"), F.max(_micros()).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    return max(1, ((one["b"] or 0) - (one["a"] or 0) + 1) * per_bucket // max(one["n"], 1))
+
+
+def _micros(col: str = "date") -> Column:
+    return F.unix_micros(F.col(col).cast("timestamp"))
+
+
+def carry_forward(rows: DataFrame, col: str, by: tuple[str, ...], order: tuple[str, ...] = ("date",), width: int | None = None) -> DataFrame:
+    """rows with col's nulls filled by the last known value before, in `order` (which begins with date) within by.
+
+    A task sees a bucket of time, not a series: each bucket's last known value is found by an aggregate, a pass over the buckets (a row
+    each) carries it on, over empty ones too, and rows before a bucket's first known value take what is carried in.
+    """
+    width = width or bucket_width(rows)
+    b = rows.withColumn("_bucket", F.floor(_micros() / width))
+    known = F.col(col).isNotNull()
+    last = F.max_by(F.when(known, F.col(col)), F.when(known, F.struct(*order)))
+    buckets = b.groupBy(*by, "_bucket").agg(last.alias("_last"))
+    carried = F.last("_last", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    carried = stage(buckets.select(*by, "_bucket", carried.alias("_carried")), "carried")
+    inner = F.last(col, ignorenulls=True).over(Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return meet(b.withColumn(col, inner), carried, (*by, "_bucket")).withColumn(col, F.coalesce(col, "_carried")).drop("_bucket", "_carried")
+
+
+def align_exact_ffill(bars: DataFrame, aux: DataFrame, col: str, by: tuple[str, ...] = BY, width: int | None = None) -> DataFrame:
     """aux (by, date, col) on bars: exact time match, then carried forward."""
-    joined = bars.join(aux.select(*by, "date", col), [*by, "date"], "left")
-    return joined.withColumn(col, F.last(col, ignorenulls=True).over(ordered(by).rowsBetween(Window.unboundedPreceding, 0)))
+    return carry_forward(bars.join(aux.select(*by, "date", col), [*by, "date"], "left"), col, by, width=width)
 
 
-def align_asof(bars: DataFrame, aux: DataFrame, col: str, by: tuple[str, ...] = ("asset_symbol",)) -> DataFrame:
-    """aux on bars: the last print at or before each bar, by a union and a window, never a range join."""
+def align_asof(bars: DataFrame, aux: DataFrame, col: str, by: tuple[str, ...] = ("asset_symbol",), width: int | None = None) -> DataFrame:
+    """aux on bars: the last print at or before each bar, by a union that is carried forward, never a range join."""
     both = bars.withColumn("_side", F.lit(1)).unionByName(aux.select(*by, "date", col).withColumn("_side", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy("date", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(col, F.last(col, ignorenulls=True).over(w)).where("_side = 1").drop("_side")
+    return carry_forward(both, col, by, ("date", "_side"), width).where("_side = 1").drop("_side")

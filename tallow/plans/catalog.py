@@ -130,11 +130,11 @@ _CH = "c AS (SELECT *, (close - lag(close) OVER (PARTITION BY asset_symbol ORDER
 _LATEST = lambda src, n: f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asset_symbol ORDER BY date DESC) AS rn_{n} FROM {src}) WHERE rn_{n} <= {n}"
 add("profile_gainers", lambda s, d: profile.top_movers(bars_1d(s, d)), f"WITH {_CH} SELECT asset_symbol, date, close, round(change_pct, 6) AS change_pct FROM c WHERE change_pct IS NOT NULL ORDER BY 4 DESC, 1, 2 LIMIT 10")
 add("profile_losers", lambda s, d: profile.top_movers(bars_1d(s, d), gainers=False), f"WITH {_CH} SELECT asset_symbol, date, close, round(change_pct, 6) AS change_pct FROM c WHERE change_pct IS NOT NULL ORDER BY 4, 1, 2 LIMIT 10")
-add("profile_volatility", lambda s, d: profile.volatility_scan(bars_1d(s, d)), f"WITH {_CH} SELECT asset_symbol, round(stddev_samp(change_pct), 6) AS volatility FROM c GROUP BY 1")
-add("profile_zscore", lambda s, d: profile.last_zscore(bars_1d(s, d)), f"WITH {_CH}, k AS (SELECT * FROM c WHERE change_pct IS NOT NULL), l AS ({_LATEST('k', 50)}) SELECT asset_symbol, round((max_by(change_pct, date) - avg(change_pct)) / stddev_samp(change_pct), 6) AS zscore FROM l GROUP BY 1 HAVING count(*) >= 30")
-add("profile_ma_cross", lambda s, d: profile.ma_cross(bars_1d(s, d)), f"WITH m AS (SELECT *, {_ROLL('avg', 'close', 50)} AS a, {_ROLL('avg', 'close', 200)} AS b FROM bars_1d), n AS (SELECT *, {_LAG('a')} AS pa, {_LAG('b')} AS pb FROM m), l AS ({_LATEST('n', 1)}) SELECT asset_symbol, CASE WHEN pa <= pb AND a > b THEN 'golden' WHEN pa >= pb AND a < b THEN 'death' ELSE 'none' END AS signal FROM l")
-add("profile_squeeze", lambda s, d: profile.squeeze(bars_1d(s, d)), f"WITH l AS ({_LATEST('bars_1d', 50)}), m AS (SELECT *, {_ROLL('stddev_samp', 'close', 20)} AS sd FROM l), n AS (SELECT *, {_ROLL('avg', 'sd', 20)} AS mm FROM m), k AS ({_LATEST('n', 1)}) SELECT asset_symbol, round(sd / nullif(mm, 0), 6) AS ratio, coalesce(sd / mm < 0.7, false) AS squeezed FROM k")
-add("profile_dead", lambda s, d: profile.dead_assets(bars_1d(s, d)), f"WITH l AS ({_LATEST('bars_1d', 7)}) SELECT asset_symbol, count(*) = 7 AND count(DISTINCT close) = 1 AS dead FROM l GROUP BY 1")
+add("profile_volatility", lambda s, d: profile.volatility_scan(bars_1d(s, d)).drop("interval"), f"WITH {_CH} SELECT asset_symbol, round(stddev_samp(change_pct), 6) AS volatility FROM c GROUP BY 1")
+add("profile_zscore", lambda s, d: profile.last_zscore(bars_1d(s, d)).drop("interval"), f"WITH {_CH}, k AS (SELECT * FROM c WHERE change_pct IS NOT NULL), l AS ({_LATEST('k', 50)}) SELECT asset_symbol, round((max_by(change_pct, date) - avg(change_pct)) / stddev_samp(change_pct), 6) AS zscore FROM l GROUP BY 1 HAVING count(*) >= 30")
+add("profile_ma_cross", lambda s, d: profile.ma_cross(bars_1d(s, d)).drop("interval"), f"WITH m AS (SELECT *, {_ROLL('avg', 'close', 50)} AS a, {_ROLL('avg', 'close', 200)} AS b FROM bars_1d), n AS (SELECT *, {_LAG('a')} AS pa, {_LAG('b')} AS pb FROM m), l AS ({_LATEST('n', 1)}) SELECT asset_symbol, CASE WHEN pa <= pb AND a > b THEN 'golden' WHEN pa >= pb AND a < b THEN 'death' ELSE 'none' END AS signal FROM l")
+add("profile_squeeze", lambda s, d: profile.squeeze(bars_1d(s, d)).drop("interval"), f"WITH l AS ({_LATEST('bars_1d', 50)}), m AS (SELECT *, {_ROLL('stddev_samp', 'close', 20)} AS sd FROM l), n AS (SELECT *, {_ROLL('avg', 'sd', 20)} AS mm FROM m), k AS ({_LATEST('n', 1)}) SELECT asset_symbol, round(sd / nullif(mm, 0), 6) AS ratio, coalesce(sd / mm < 0.7, false) AS squeezed FROM k")
+add("profile_dead", lambda s, d: profile.dead_assets(bars_1d(s, d)).drop("interval"), f"WITH l AS ({_LATEST('bars_1d', 7)}) SELECT asset_symbol, count(*) = 7 AND count(DISTINCT close) = 1 AS dead FROM l GROUP BY 1")
 add("profile_spikes", lambda s, d: profile.volume_spikes(bars_ord(s, d), 2.0), "WITH m AS (SELECT *, avg(volume) OVER (PARTITION BY asset_symbol ORDER BY date ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS mean FROM bars_ord) SELECT asset_symbol, date, volume, round(mean, 6) AS mean FROM m WHERE volume > mean * 2")
 add("profile_spread", lambda s, d: profile.spread_outliers(bars_1d(s, d)), "SELECT asset_symbol, date, round((high - low) / close * 100, 6) AS spread_pct FROM bars_1d ORDER BY 3 DESC, 1, 2 LIMIT 10")
 add("profile_gaps", lambda s, d: profile.overnight_gaps(bars_1d(s, d)), f"WITH g AS (SELECT asset_symbol, date, round((open - {_LAG('close')}) / {_LAG('close')} * 100, 6) AS gap_pct FROM bars_1d) SELECT * FROM g WHERE abs(gap_pct) > 2 ORDER BY abs(gap_pct) DESC, 1, 2 LIMIT 10")
@@ -143,7 +143,7 @@ add("profile_describe", lambda s, d: profile.describe(bars_1d(s, d), ["close", "
 add("profile_missing", lambda s, d: profile.missing_candles(bars_1h(s, d), "1 HOUR"), "WITH g AS (SELECT asset_symbol, unnest(generate_series(min(date), max(date), INTERVAL 1 HOUR)) AS date FROM bars_1h GROUP BY 1) SELECT asset_symbol, date FROM g ANTI JOIN bars_1h USING (asset_symbol, date)")
 add("profile_correlations", lambda s, d: profile.pair_correlations(bars_ord(s, d)), "WITH p AS (SELECT x.asset_symbol AS a, y.asset_symbol AS b, count(*) AS n, corr(x.close, y.close) AS c FROM bars_ord x JOIN bars_ord y ON x.date = y.date AND x.asset_symbol < y.asset_symbol GROUP BY 1, 2) SELECT a, b, CASE WHEN n < 5 THEN 0.0 ELSE round(c, 6) END AS correlation FROM p")
 add("profile_moments", lambda s, d: profile.moments(bars_1d(s, d), "close").drop("interval"), "WITH m AS (SELECT asset_symbol, avg(close) AS m FROM bars_1d GROUP BY 1), c AS (SELECT b.asset_symbol, avg((close - m) ** 2) AS m2, avg((close - m) ** 3) AS m3, avg((close - m) ** 4) AS m4, skewness(close) AS s, kurtosis(close) AS k FROM bars_1d b JOIN m USING (asset_symbol) GROUP BY 1) SELECT asset_symbol, round(m3 / m2 ** 1.5, 6) AS skew_biased, round(m4 / m2 ** 2 - 3, 6) AS kurt_biased, round(s, 6) AS skew, round(k, 6) AS kurt FROM c")
-add("downsample", lambda s, d: profile.downsample(bars_1d(s, d), 500).withColumn("volume", F.round("volume", 4)), "WITH n AS (SELECT *, row_number() OVER (PARTITION BY asset_symbol ORDER BY date) AS rn, count(*) OVER (PARTITION BY asset_symbol) AS n FROM bars_1d), k AS (SELECT *, floor((rn - 1) / ceil(n / 500))::BIGINT AS bucket FROM n) SELECT asset_symbol, bucket, min(date) AS date, min_by(open, date) AS open, max(high) AS high, min(low) AS low, max_by(close, date) AS close, round(sum(volume), 4) AS volume FROM k GROUP BY 1, 2")
+add("downsample", lambda s, d: profile.downsample(bars_1d(s, d), 500).drop("interval").withColumn("volume", F.round("volume", 4)), "WITH n AS (SELECT *, row_number() OVER (PARTITION BY asset_symbol ORDER BY date) AS rn, count(*) OVER (PARTITION BY asset_symbol) AS n FROM bars_1d), k AS (SELECT *, floor((rn - 1) / ceil(n / 500))::BIGINT AS bucket FROM n) SELECT asset_symbol, bucket, min(date) AS date, min_by(open, date) AS open, max(high) AS high, min(low) AS low, max_by(close, date) AS close, round(sum(volume), 4) AS volume FROM k GROUP BY 1, 2")
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,4 +157,4 @@ _P = f"""a AS (SELECT *, {_LAG('close')} AS p, lead(close) OVER (PARTITION BY as
 add("evaluate_report", lambda s, d: rounded(modelling.classification_report(predictions(s, d))), f"WITH {_P}, c AS (SELECT count(*) FILTER (WHERE actual = 1 AND prediction = 1) AS tp, count(*) FILTER (WHERE actual = 0 AND prediction = 1) AS fp, count(*) FILTER (WHERE actual = 1 AND prediction = 0) AS fn, count(*) FILTER (WHERE actual = 0 AND prediction = 0) AS tn FROM pr) SELECT tp, fp, fn, tn, round((tp + tn) / (tp + fp + fn + tn), 8) AS accuracy, round(tp / (tp + fp), 8) AS precision, round(tp / (tp + fn), 8) AS recall, round(2 * tp / (2 * tp + fp + fn), 8) AS f1 FROM c")
 
 
-from tallow.plans import checks, features, loads  # noqa: E402, F401  (they register their queries)
+from tallow.plans import checks, features, loads, scale  # noqa: E402, F401  (they register their queries)

@@ -9,6 +9,7 @@ from tallow.functions.windows import ordered
 from tallow.operators import indicators, modelling, warehouse
 from tallow.plans.registry import add
 from tallow.sources.bars import bars_1d, bars_1h, silver
+from tallow.sources.stages import stage
 
 PRICES = ["open", "high", "low", "close", "prev_close", "prev_high", "prev_low", "daily_volatility"]
 SMALL = ["returns_1p", "returns_5p", "returns_10p", "returns_20p", "log_returns", "hl_ratio", "close_position", "bb_percentage", "volume_ratio", "funding_rate"]
@@ -20,16 +21,19 @@ def _rounded(df: DataFrame, places: int) -> DataFrame:
     return df.select(*[F.round(c, 8 if c in PRICES + SMALL else places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def gold_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = warehouse.dedup(warehouse.clean(silver(spark, sf_dir)))
-    assets, dates, intervals = warehouse.dim_assets(bars), warehouse.dim_date(spark), warehouse.dim_interval(spark)
+def gold_of(spark: SparkSession, sf_dir: str, asset_class: str) -> DataFrame:
+    """Gold of one class. Its clean bars are written once: assets, calendar and facts are made from that."""
+    own = silver(spark, sf_dir).where(F.col("asset_class") == asset_class)
+    bars = stage(warehouse.dedup(warehouse.clean(own)), "clean-bars")
+    assets, dates, intervals = warehouse.dim_assets(bars), warehouse.calendar_of(bars), warehouse.dim_interval(spark)
     return warehouse.gold(warehouse.load_facts(bars, assets, dates, intervals), assets, intervals)
 
 
 def features_of(asset_class: str, places: int):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        done = indicators.features(gold_all(spark, sf_dir).where(F.col("asset_class") == asset_class))
-        return _rounded(indicators.class_features(done, silver(spark, sf_dir), asset_class), places)
+        done = indicators.features(gold_of(spark, sf_dir, asset_class))
+        extras = silver(spark, sf_dir).where(F.col("asset_class") == asset_class)
+        return _rounded(indicators.class_features(done, extras, asset_class), places)
 
     return run
 
@@ -78,7 +82,7 @@ add(
 
 
 def _stationary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = indicators.features(gold_all(spark, sf_dir).where("asset_class = 'Stock'"))
+    done = indicators.features(gold_of(spark, sf_dir, "Stock"))
     return modelling.stationary(done).select(*KEYS[:1], "interval", "date", *[F.round(c, 6).alias(c) for c in [*modelling.DISTANCES, *modelling.OVER_CLOSE]])
 
 
@@ -93,7 +97,7 @@ add(
 
 def _non_stationary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of the feature table for a model, as one row per column."""
-    left = modelling.drop_non_stationary(indicators.features(gold_all(spark, sf_dir).where("asset_class = 'Stock'"))).drop(*KEYS)
+    left = modelling.drop_non_stationary(indicators.features(gold_of(spark, sf_dir, "Stock"))).drop(*KEYS)
     return left.agg(*[F.count(c).alias(c) for c in left.columns]).unpivot([], left.columns, "feature", "known")
 
 
@@ -102,7 +106,7 @@ add("features_left", _non_stationary, _FEATURES.format("Stock", "").replace("SEL
 
 
 def _lagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = modelling.lag_features(indicators.features(gold_all(spark, sf_dir).where("asset_class = 'Crypto'")))
+    f = modelling.lag_features(indicators.features(gold_of(spark, sf_dir, "Crypto")))
     return f.select("asset_symbol", "date", F.round("rsi_14_lag1", 4).alias("rsi_14_lag1"), *[F.round(c, 6).alias(c) for c in ("log_returns_lag1", "volume_lag1", "price_vs_sma", "vol_spike", "momentum_24h")])
 
 

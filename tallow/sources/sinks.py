@@ -2,21 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallow.operators.warehouse import upsert
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local mode."""
-    given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not given and (not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster")):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{(given or tempfile.mkdtemp(prefix='spark-sinks-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from tallow.sources.stages import scratch_path  # noqa: F401
 
 
 def write_partitioned(df: DataFrame, path: str, keys: tuple[str, ...] = ("asset_symbol", "interval")) -> None:

@@ -28,3 +28,17 @@ def drain(stream: DataFrame, path: str) -> DataFrame:
     query = stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/table").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/table")
+
+
+def without_duplicates(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
+    """The first of events with equal keys that come within the watermark's delay of one another; events behind the watermark are left out (and counted, see drain_counted)."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+
+
+def drain_counted(stream: DataFrame, path: str) -> tuple[DataFrame, dict[str, int]]:
+    """As drain(), with the rows that its stateful steps took in, and those that came behind the watermark and were dropped."""
+    query = stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/table").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    steps = [s for p in query.recentProgress for s in p["stateOperators"]]
+    counts = {"added": sum(s["numRowsUpdated"] for s in steps), "late": sum(s["numRowsDroppedByWatermark"] for s in steps)}
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/table"), counts
