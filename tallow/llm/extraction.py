@@ -31,10 +31,13 @@ BLOCKS = {"address", "article", "aside", "blockquote", "body", "br", "caption",
 CONTAINERS = {"article", "main", "section", "div", "td", "body"}
 CLOSED_BY_SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe"}
-NOISE_WORDS = r"ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookies?|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|popup|replies|reply|respond|sidebar|sponsor\w*|subscribe|toolbar"
+NOISE_WORDS = r"ad|ads|advert\w*|banner|breadcrumbs?|comments?(?:-?(?:area|box|form|list|section|thread|wrap\w*))?|cookies?|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|popup|replies|reply|respond|sidebar|sponsor\w*|subscribe|toolbar"
 ASIDE_WORDS = r"promo\w*|related|share|sharing|social|widget"  # what a name of main text in the same element outweighs
 NOISE_NAME = re.compile(rf"(?:^|[\s_-])(?:{NOISE_WORDS})(?:$|[\s_-])", re.I)
 ASIDE_NAME = re.compile(rf"(?:^|[\s_-])(?:{ASIDE_WORDS})(?:$|[\s_-])", re.I)
+NOISE_ALONE = re.compile(rf"(?:{NOISE_WORDS})", re.I)
+MODIFIER = re.compile(r"(?:has|have|with|without|no|is|show|hide|toggle)[-_]", re.I)  # tells how an element is laid out, not what it is
+OWN_HEADER = re.compile(r"(?:article|entry|post|story)[-_]{1,2}(?:header|heading|title)", re.I)  # of the article itself: its text stays
 MAIN_NAME = re.compile(r"article|content|entry|main|post|story|body-?text", re.I)
 NOISE_ROLES = ("navigation", "banner", "contentinfo", "complementary", "search", "dialog")
 LINES = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
@@ -45,14 +48,36 @@ ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "noise", "left_out", "parts", "chars", "links", "blocks", "main")
+    """An element. Its path is kept as a step, a hash and a length, and spelt out on demand: pages nest deep."""
 
-    def __init__(self, tag: str, path: str, parent: Node | None, noise: bool, left_out: bool, main: bool) -> None:
-        self.tag, self.path, self.parent, self.main = tag, path, parent, main
-        self.noise, self.left_out = noise, left_out  # by element, role or name; by element or role
+    __slots__ = ("tag", "step", "key", "length", "parent", "noise", "left_out", "named", "parts", "chars", "links", "blocks", "main")
+
+    def __init__(self, tag: str, step: str, parent: Node | None, left_out: bool, named: bool, main: bool) -> None:
+        self.tag, self.step, self.parent, self.main = tag, step, parent, main
+        self.key = hash((parent.key, step)) if parent and step else parent.key if parent else hash("")
+        self.length = (parent.length if parent else 0) + (len(step) + 1 if step else 0)
+        self.left_out, self.named = left_out, named  # by element or role, its own or one around it; by its own name
+        self.noise = left_out or named or bool(parent and parent.noise)
         self.parts: list = []  # strings, child nodes, and None for the edge of a block
         self.chars = self.links = self.blocks = 0
 
+    @property
+    def path(self) -> str:
+        steps, node = [], self
+        while node:
+            if node.step:
+                steps.append(node.step)
+            node = node.parent
+        return "".join(f">{x}" for x in reversed(steps))
+
+
+def key_of(path: str) -> int:
+    """The key of a node with this path."""
+    key = hash("")
+    for step in path.split(">")[1:]:
+        key = hash((key, step))
+    return key
+
 
 def _general(tag: str, names: str) -> str:
     kept = [re.sub(r"\d+", "#", c.lower()) for c in names.split()]
@@ -60,16 +85,34 @@ def _general(tag: str, names: str) -> str:
 
 
 def _noise_name(names: str) -> bool:
-    """Whether the classes and id of an element mark it as no part of the text."""
-    if not names:
-        return False
-    return bool(NOISE_NAME.search(names)) or bool(ASIDE_NAME.search(names) and not any(MAIN_NAME.search(x) and not ASIDE_NAME.search(x) for x in names.split()))
+    """Whether the classes and id of an element mark it as no part of the text.
+
+    A name of main text in the same element outweighs names that only hold a word of noise (content sidebar-left), not
+    such a word alone (content sidebar). What an element has (has-sidebar) says nothing of what it is.
+    """
+    words = [x for x in names.split() if not MODIFIER.match(x) and not OWN_HEADER.fullmatch(x)]
+    noise, aside = ([x for x in words if p.search(x)] for p in (NOISE_NAME, ASIDE_NAME))
+    if any(NOISE_ALONE.fullmatch(x) for x in noise):
+        return True
+    return bool(noise or aside) and not any(MAIN_NAME.search(x) for x in words if x not in noise and x not in aside)
 
 
 def parse(text: str) -> Node:
     """A tolerant tree of a page: unclosed elements end with their parent, stray end tags are ignored."""
     root = Node("", "", None, False, False, False)
     top, at = root, 0
+    still_open: dict[str, int] = {}  # how often each element is open: what isn't is not looked for
+    endless: set[str] = set()  # elements that nothing ends from here on
+
+    def close(node: Node) -> None:
+        """Close all that is open inside node."""
+        nonlocal top
+        while top is not node:
+            still_open[top.tag] -= 1
+            top = top.parent
+
+    def is_open(tags: set[str]) -> bool:
+        return any(still_open.get(t) for t in tags)
 
     def say(raw: str) -> None:
         if raw:
@@ -84,11 +127,11 @@ def parse(text: str) -> Node:
                 say(m[0][9:-3])
             continue
         if m[1]:
-            node = top
-            while node.parent and node.tag != tag:
-                node = node.parent
-            if node.parent:
-                top = node.parent
+            if still_open.get(tag):
+                node = top
+                while node.tag != tag:
+                    node = node.parent
+                close(node.parent)
             elif tag in ("p", "br"):
                 top.parts.append(None)
             continue
@@ -98,26 +141,30 @@ def parse(text: str) -> Node:
                 top.parts.append(None)
             continue
         if tag in BLOCKS and tag not in CLOSED_BY_SIBLING:
-            top = _close_paragraph(top)
-        elif tag in CLOSED_BY_SIBLING:
+            if is_open(LINES):
+                close(_close_paragraph(top))
+        elif is_open(CLOSED_BY_SIBLING.get(tag, set())):
             node = top
             while node.parent and node.tag not in CLOSED_BY_SIBLING[tag] | {"ul", "ol", "dl", "table", "select"}:
                 node = node.parent
             if node.parent and node.tag in CLOSED_BY_SIBLING[tag]:
-                top = node.parent
+                close(node.parent)
         names = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
         left_out = top.left_out or tag in NOISE or tag in SKIPPED or "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in NOISE_ROLES
-        noise = top.noise or left_out or (tag not in ("html", "body", "main", "article") and _noise_name(names))
-        node = Node(tag, f"{top.path}>{_general(tag, attrs.get('class', ''))}" if tag in BLOCKS else top.path, top, noise, left_out, tag in ("article", "main") or bool(names and MAIN_NAME.search(names)))
+        named = tag not in ("html", "body", "main", "article") and _noise_name(names)
+        node = Node(tag, _general(tag, attrs.get("class", "")) if tag in BLOCKS else "", top, left_out, named, tag in ("article", "main") or bool(names and MAIN_NAME.search(names)))
         top.parts.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(text, at)
+            end = None if tag in endless else re.compile(rf"</{tag}\s*>", re.I).search(text, at)
+            if not end:
+                endless.add(tag)
             # Without an end, scripts and styles run to the page's end; what else is open there is taken for a stray tag.
             at = end.end() if end else len(text) if tag in ("script", "style") else at
             continue
         if m[3].rstrip().endswith("/") and tag not in BLOCKS:
             continue
         top = node
+        still_open[tag] = still_open.get(tag, 0) + 1
     say(text[at:])
     return root
 
@@ -129,8 +176,8 @@ def _close_paragraph(top: Node) -> Node:
     return node.parent if node.parent and node.tag in LINES else top
 
 
-def blocks_of(node: Node, by_name: bool = True) -> list[str]:
-    """The texts of a node's blocks in page order, without noise (by_name: that by classes and ids as well); white space inside a block is one space."""
+def blocks_of(node: Node, around: bool = True) -> list[str]:
+    """The texts of a node's blocks in page order, without noise; white space inside a block is one space. Not around: what stands around the node says nothing of its inside."""
     out: list[str] = []
     text: list[str] = []
 
@@ -146,7 +193,7 @@ def blocks_of(node: Node, by_name: bool = True) -> list[str]:
             end()
         elif isinstance(x, str):
             text.append(x)
-        elif (x.noise if by_name else x.left_out) and x is not node:
+        elif (x.noise if around else x.left_out or x.named) and x is not node:
             if x.tag in BLOCKS:
                 end()
         else:
@@ -182,23 +229,37 @@ def score(x: Node, page: Node) -> float:
 
 
 def best_container(root: Node, found: list[Node]) -> Node | None:
-    return max(found, key=lambda x: (score(x, root), len(x.path)), default=None)
+    return max(found, key=lambda x: (score(x, root), x.length), default=None)
 
 
 def extract(text: str | None, winners: list[str]) -> str:
     """The main text of one page: the first of the winning paths that it has, else its best container, else all that is no noise.
 
     A winning path must hold LEAST_SHARE of the best container's words. A page whose text all lies in elements
-    that their names mark as noise gives that text, less the elements and roles that are noise.
+    that their names mark as noise gives the text of the one of them with most words, without the noise inside it.
     """
     root = parse(text or "")
     found = containers(root)
     own = best_container(root, found)
-    by_path: dict[str, list[Node]] = {}
+    by_key: dict[int, list[Node]] = {}
     for x in found:
-        by_path.setdefault(x.path, []).append(x)
-    chosen = next((nodes for path in winners if (nodes := by_path.get(path)) and sum(n.chars for n in nodes) >= LEAST_SHARE * (own.chars if own else 0)), [own or root])
-    return " ".join(b for n in chosen for b in blocks_of(n)) or " ".join(blocks_of(root, by_name=False))
+        by_key.setdefault(x.key, []).append(x)
+    chosen = next((nodes for path in winners if (nodes := by_key.get(key_of(path))) and nodes[0].path == path and sum(n.chars for n in nodes) >= LEAST_SHARE * (own.chars if own else 0)), [own or root])
+    return " ".join(b for n in chosen for b in blocks_of(n)) or _largest_named(root)
+
+
+def _largest_named(root: Node) -> str:
+    """The text of the outermost element marked by its name that has most words (of equal ones the first)."""
+    todo, best = [root], ""
+    while todo:
+        x = todo.pop()
+        if x.named and not x.left_out:
+            text = " ".join(blocks_of(x, around=False))
+            if len(text.split()) > len(best.split()):
+                best = text
+        elif not x.left_out:
+            todo += [c for c in reversed(x.parts) if isinstance(c, Node)]
+    return best
 
 
 def host_of(url):
