@@ -13,6 +13,8 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallow.llm.common import set_aside
+
 # Identifiers of licence sentences, by normalised text. An identifier is a letter for the licence and a digit for the sentence.
 SENTENCES = {
     "all rights reserved": "R0",
@@ -127,6 +129,32 @@ PUBLISHED = {
     "gnu affero general public license version 3 19 november 2007": "F2",
     "this source code form is subject to the terms of the mozilla public license v. 2 0": "P0",
     "mozilla public license version 2 0": "P1",
+    "this software is provided as is without any express or implied warranty": "Z0",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "Z1",
+    "boost software license version 1 0 august 17th 2003": "E0",
+    "distributed under the boost software license version 1 0": "E1",
+    "use modification and distribution are subject to the boost software license version 1 0": "E1",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at {}": "D0",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0": "D0",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v2 0 which accompanies this distribution and is available at {}": "D0",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at {}": "D1",
+    "eclipse public license v 2 0": "D2",
+    "do what the fuck you want to public license": "K0",
+    "you just do what the fuck you want to": "K1",
+    "the artistic license 2 0": "T0",
+    "licensed under the artistic license 2 0": "T1",
+    "this is free software licensed under the artistic license 2 0": "T1",
+    **{
+        f"this work is licensed under {article} creative commons attribution{kind} {version} {scope} license": i
+        for article in ("a", "the")
+        for kind, version, scope, i in (("", "3 0", "unported", "C5"), (" sharealike", "3 0", "unported", "C6"), (" share alike", "3 0", "unported", "C6"), ("", "4 0", "international", "C0"), (" sharealike", "4 0", "international", "C1"))
+    },
+    **{f"{subject} governed by a {style} license that can be found in the license file": i for subject in ("use of this source code is", "this source code is", "governed") for style, i in (("bsd style", "B7"), ("mit style", "M5"))},
+    **{f"this source code is licensed under the {name} license found in the license file in the root directory of this source tree": i for name, i in (("mit", "M1"), ("apache 2 0", "A1"), ("bsd style", "B7"))},
+    "licensed under the mit license found in the license file": "M1",
+    "dual licensed under the mit and gpl licenses": "X0",
+    "dual licensed under the mit or gpl version 2 licenses": "X1",
+    "licensed under either of apache license version 2 0 or mit license at your option": "X2",
     **{
         f"this {what} is {how} under the {name}": i
         for what in ("project", "software", "program", "library", "work", "file", "code")
@@ -137,7 +165,7 @@ PUBLISHED = {
 # Names in SPDX tags. Every operand of an expression counts; -only is the plain name of a rule.
 SPDX = (
     "mit mit-0 isc apache-2.0 bsd-2-clause bsd-3-clause bsd-4-clause gpl-2.0 gpl-2.0-only gpl-2.0-or-later gpl-3.0 gpl-3.0-only gpl-3.0-or-later lgpl-2.1 lgpl-2.1-only lgpl-2.1-or-later lgpl-3.0 lgpl-3.0-only lgpl-3.0-or-later "
-    "agpl-3.0 agpl-3.0-only agpl-3.0-or-later mpl-2.0 cc-by-4.0 cc-by-sa-4.0 cc-by-nc-4.0 cc-by-nd-4.0 cc0-1.0 unlicense"
+    "agpl-3.0 agpl-3.0-only agpl-3.0-or-later mpl-2.0 cc-by-4.0 cc-by-sa-4.0 cc-by-nc-4.0 cc-by-nd-4.0 cc0-1.0 unlicense epl-1.0 epl-2.0 zlib bsl-1.0 wtfpl artistic-2.0 cc-by-3.0 cc-by-sa-3.0"
 ).split()
 SPDX_IDS = {re.sub("[^0-9a-z]+", " ", name): f"S{k}" for k, name in enumerate(SPDX)}
 # Rules of the published texts and tags; they stand before RULES, which have the short forms.
@@ -159,6 +187,25 @@ WHOLE_RULES = [
     ("lgpl-3.0-or-later", ["L1"]),
     ("lgpl-2.1-or-later", ["L2"]),
     ("agpl-3.0-or-later", ["F1"]),
+    ("zlib", ["Z0", "Z1"]),
+    ("bsl-1.0", ["E0"]),
+    ("bsl-1.0", ["E1"]),
+    ("epl-2.0", ["D2"]),
+    ("epl-2.0", ["D0"]),
+    ("epl-1.0", ["D1"]),
+    ("wtfpl", ["K0", "K1"]),
+    ("artistic-2.0", ["T0"]),
+    ("artistic-2.0", ["T1"]),
+    ("cc-by-sa-3.0", ["C6"]),
+    ("cc-by-3.0", ["C5"]),
+    ("bsd", ["B7"]),
+    ("mit", ["M5"]),
+    ("apache-2.0", ["X2"]),
+    ("mit", ["X2"]),
+    ("mit", ["X0"]),
+    ("gpl", ["X0"]),
+    ("mit", ["X1"]),
+    ("gpl-2.0", ["X1"]),
     *[(name.removesuffix("-only"), [f"S{k}"]) for k, name in enumerate(SPDX)],
 ]
 MARKED_END = r"[.!?]+(?=[\x20\x09-\x0DS]|$)|[:;](?=[\x20\x09-\x0DS])"
@@ -190,12 +237,16 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", sentences: dict[str,
     before white space, and a line's end. A known sentence may also run over line breaks (marks of comments do not
     count, a blank line ends it). Normalised, sentences are lower-case ASCII letters and digits with single
     blanks; those without any do not count. A null or empty text has no sentences and no license. Repeated
-    rows are judged alike, a table without rows gives none, and other columns pass through.
+    rows are judged alike, a long text is searched whole, a table without rows gives none. Other columns pass
+    through, whatever their names; those named like the four new ones are replaced.
     """
+    d, given = set_aside(docs)
+    new_names = ("sentence_ids", "licenses", "license", "n_sentences")
+    keep = [c for c in docs.columns if c not in new_names]
     literal = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
     plain, shaped = {k: i for k, i in sentences.items() if "{}" not in k}, {k: i for k, i in sentences.items() if "{}" in k}
     # In lower-case text H marks the end of a sentence and S that of a line.
-    lower = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ\n", "abcdefghijklmnopqrstuvwxyzS")
+    lower = F.translate(F.coalesce(F.col(given[text_col]), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ\n", "abcdefghijklmnopqrstuvwxyzS")
     marked = F.concat(F.lit("H"), F.regexp_replace(F.regexp_replace(lower, MARKED_END, "H"), r"[^0-9a-zHS]+", " "), F.lit("H"))
     flat = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "[ S]*H[ S]*", ". "), "[ S]+", " "))
     named = lambda x: F.coalesce(F.try_element_at(literal(plain), x), *[F.when(x.rlike(f"^(?:{sentence_pattern(k)})$"), F.lit(i)) for k, i in shaped.items()])
@@ -204,10 +255,10 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", sentences: dict[str,
     ids = F.flatten(F.transform(found, lambda x: F.when(x.startswith(SPDX_TAG), operands(x)).otherwise(F.array(named(x)))))
     row = F.concat(F.lit(" "), F.array_join("_license_ids", " "), F.lit(" "))
     names = F.array(*[F.when(row.rlike("".join(f" {i}(?= ).*" for i in ids)), F.lit(name)) for name, ids in rules])
-    out = docs.withColumn("_license_text", marked).withColumn("_license_ids", F.filter(ids, lambda x: x.isNotNull()))
+    out = d.withColumn("_license_text", marked).withColumn("_license_ids", F.filter(ids, lambda x: x.isNotNull()))
     out = out.withColumn("_license_names", F.when(F.size("_license_ids") == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.filter(names, lambda x: x.isNotNull()))))
-    new = {"sentence_ids": F.col("_license_ids"), "licenses": F.col("_license_names"), "license": F.try_element_at("_license_names", F.lit(1)), "n_sentences": F.regexp_count("_license_text", F.lit("[0-9a-z][0-9a-z ]*+")).cast("long")}
-    return out.withColumns(new).drop("_license_text", "_license_ids", "_license_names")
+    new = (F.col("_license_ids"), F.col("_license_names"), F.try_element_at("_license_names", F.lit(1)), F.regexp_count("_license_text", F.lit("[0-9a-z][0-9a-z ]*+")).cast("long"))
+    return out.select(*[given[c] for c in keep], *[x.alias(f"_new_{i}") for i, x in enumerate(new)]).toDF(*keep, *new_names)
 
 
 def scan_sql(sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES, source: str = "documents") -> str:

@@ -86,3 +86,32 @@ def test_published_texts_wrapped_and_unwrapped(spark):
     tags = [(str(k), t) for k, (t, _) in enumerate([*TAGS, (BROKEN, [])])]
     got = {r.doc_id: r.licenses for r in licenses.scan_licenses(spark.createDataFrame(tags, "doc_id string, text string")).collect()}
     assert got == {str(k): names for k, (_, names) in enumerate([*TAGS, (BROKEN, [])])}
+
+
+NOTICES = [
+    ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:", "zlib"),
+    ("// Distributed under the Boost Software License, Version 1.0.\n// See the file.", "bsl-1.0"),
+    ("/* This program and the accompanying materials are made available under the\n * terms of the Eclipse Public License 2.0 which is available at\n * https://www.eclipse.org/legal/epl-2.0 */", "epl-2.0"),
+    ("DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\n\n 0. You just DO WHAT THE FUCK YOU WANT TO.", "wtfpl"),
+    ("The Artistic License 2.0\n\nCopyright (c) 2000", "artistic-2.0"),
+    ("This work is licensed under the Creative Commons Attribution-ShareAlike 3.0 Unported License.", "cc-by-sa-3.0"),
+    ("This work is licensed under a Creative Commons Attribution 3.0 Unported License.", "cc-by-3.0"),
+    ("// Use of this source code is governed by a BSD-style license that can be\n// found in the LICENSE file.", "bsd"),
+    ("This source code is licensed under the MIT license found in the\nLICENSE file in the root directory of this source tree.", "mit"),
+    ("Dual licensed under the MIT and GPL licenses.", "mit,gpl"),
+    ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", "apache-2.0,mit"),
+    ("SPDX-License-Identifier: EPL-2.0", "epl-2.0"),
+]
+
+
+def test_notices_of_further_licenses(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(NOTICES)], "doc_id long, text string")
+    got = {r.doc_id: ",".join(r.licenses) for r in licenses.scan_licenses(docs).collect()}
+    assert got == {i: names for i, (_, names) in enumerate(NOTICES)}
+
+
+def test_columns_of_any_name_pass_through(spark):
+    docs = spark.createDataFrame([(1, "All rights reserved.", "a", "b", "c", "d"), (None, None, None, None, None, None)], "doc_id long, text string, _license_text string, _license_ids string, _license_names string, license string")
+    got = licenses.scan_licenses(docs)
+    assert got.columns == ["doc_id", "text", "_license_text", "_license_ids", "_license_names", "sentence_ids", "licenses", "license", "n_sentences"]
+    assert [tuple(r)[2:5] for r in got.orderBy("doc_id").collect()] == [(None, None, None), ("a", "b", "c")]
