@@ -33,6 +33,7 @@ NOISE = 64
 ROUNDS, STEPS = 16, 12
 ROWS = 256  # context rows of a task, about
 HELD = 2_000_000
+SLICE = 512  # class vectors that are summed in one group
 END_HASH = np.uint64(0x5851F42D4C957F2D)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -231,8 +232,8 @@ class LogBilinear:
 def train_model(pairs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, steps: int = STEPS) -> LogBilinear:
     """The model of both distances: contexts one place back, then two places back.
 
-    pairs (see pair_counts) are read where they are stored, without a shuffle; a round sends the tasks the model and brings
-    back each part's rows and its view of the class vectors. All of that is of the size of the model.
+    A round sends the tasks the model. Each part of the contexts is a task of its own; what the parts make of the class vectors is
+    summed by slices on the executors, so a round brings back one model, however many parts there are.
     """
     spark, c = pairs.sparkSession, vocabulary.classes
     freq = np.ones(c)
@@ -240,6 +241,7 @@ def train_model(pairs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS,
     freq[vocabulary.head : vocabulary.end] += 10.0**vocabulary.log_mass
     freq[vocabulary.end] += vocabulary.end_count
     model = LogBilinear(2 * (c + 1), freq / freq.sum())
+    parts = max(1, pairs.count())
 
     for t in range(rounds):
         shared = spark.sparkContext.broadcast(model)
@@ -247,7 +249,7 @@ def train_model(pairs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS,
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, rate=rate) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for keys, n in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                for part, keys, n in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                     keys, n = np.frombuffer(keys, "<i8"), np.frombuffer(n, "<i8")
                     own = LogBilinear.__new__(LogBilinear)
                     own.__dict__.update({k: x.copy() for k, x in shared.value.__dict__.items()})
@@ -255,17 +257,28 @@ def train_model(pairs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS,
                     counts = np.zeros((len(rows), c))
                     counts[at, keys % c] = n
                     own.fit(rows, counts, steps, rate)
-                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (rows, own.r[rows], own.q, own.b)] + [pa.array([float(n.sum())])], names=["rows", "r", "q", "b", "weight"])
-
-        found = pairs.mapInArrow(run, "rows binary, r binary, q binary, b binary, weight double")
-        total, q, b = 0.0, np.zeros_like(model.q), np.zeros_like(model.b)
-        for x in found.toLocalIterator():  # a row per part
-            model.r[np.frombuffer(x["rows"], np.int64)] = np.frombuffer(x["r"]).reshape(-1, DIM)
-            q += x["weight"] * np.frombuffer(x["q"]).reshape(-1, DIM)
-            b += x["weight"] * np.frombuffer(x["b"])
-            total += x["weight"]
-        if total:
-            model.q, model.b = q / total, b / total
+                    weight = float(n.sum())
+                    # Keys below 0: a part's contexts; else slices of the class vectors, times the tokens behind them.
+                    vectors = weight * np.column_stack((own.q, own.b))
+                    told = [(-1 - part, np.column_stack((rows, own.r[rows])))] + [(i, vectors[lo : lo + SLICE]) for i, lo in enumerate(range(0, c, SLICE))]
+                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in told]), pa.array([part] * len(told), pa.int32()), pa.array([weight] * len(told)), pa.array([x.tobytes() for _, x in told], pa.binary())], names=["key", "part", "weight", "x"])
+
+        def total(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("part")
+            x = sum(np.frombuffer(y) for y in pdf["x"])
+            return pd.DataFrame({"key": [pdf["key"].iloc[0]], "weight": [pdf["weight"].sum()], "x": [x.tobytes()]})
+
+        told = pairs.repartition(parts).mapInArrow(run, "key long, part int, weight double, x binary")
+        vectors = {}
+        for x in told.groupBy("key").applyInPandas(total, "key long, weight double, x binary").collect():  # of the size of the model
+            if x["key"] < 0:
+                rows = np.frombuffer(x["x"]).reshape(-1, 1 + DIM)
+                model.r[rows[:, 0].astype(np.int64)] = rows[:, 1:]
+            else:
+                vectors[x["key"]] = np.frombuffer(x["x"]).reshape(-1, DIM + 1) / x["weight"]
+        if vectors:
+            all_rows = np.concatenate([vectors[i] for i in sorted(vectors)])
+            model.q, model.b = all_rows[:, :DIM].copy(), all_rows[:, DIM].copy()
         shared.unpersist()
     return model
 
