@@ -543,18 +543,29 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     return out.select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
 
 
+def row_hash(columns: list[str], half: int) -> Column:
+    """Half 0 or 1 of the 128-bit name of a row."""
+    return F.xxhash64(*[F.lit("second")] * half, *columns)
+
+
 def first_of_each_class(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """One row of each class, that with the smallest id (null is largest; of equal ids any one): columns of docs.
 
     Classes are of rows, not of ids: texts that share an id are judged apart, and of rows equal in every column one
-    stays. A row is named by a 64-bit hash of its columns, so nothing is numbered and no copy is kept. Rows without
+    stays. A row is named by a 128-bit hash of its columns, so nothing is numbered and no copy is kept; the join works on
+    the first half, and rows that share it alone are told apart by the other. Rows without
     words all stay but for such equal ones. Null ids and texts, empty tables and other columns are taken as they come.
     """
-    name = next(f"_row{'_' * k}" for k in range(99) if f"_row{'_' * k}" not in docs.columns)
-    rows = docs.withColumn(name, F.xxhash64(*docs.columns))
-    found = jaccard_classes(rows, id_col=name, **options).groupBy(F.col("doc_id").alias(name), "component_id").agg(F.count(F.lit(1)).alias("copies"))
-    # A hash that several texts happen to share has one class.
-    classes = stage(found.join(rows.select(name, F.col(id_col).alias("_id")).distinct(), name), "jaccard-classes")
+    name, more = (next(f"_row{i}{'_' * k}" for k in range(99) if f"_row{i}{'_' * k}" not in docs.columns) for i in "ab")
+    rows = docs.withColumns({name: row_hash(docs.columns, 0), more: row_hash(docs.columns, 1)})
+    named = stage(rows.groupBy(name, more).agg(F.first(id_col).alias("_id"), F.count(F.lit(1)).alias("copies")), "jaccard-names")
+    # Of different rows that share the first half, a few in 10^20 pairs, the later ones are searched under the second.
+    shared = stage(named.groupBy(name).agg(F.min(more).alias("_first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "jaccard-shared")
+    if shared.limit(1).count():
+        apart = lambda df: df.join(shared, name, "left").withColumn(name, F.when(F.col(more) == F.coalesce("_first", more), F.col(name)).otherwise(F.col(more))).drop("_first")
+        rows, named = apart(rows), stage(apart(named), "jaccard-names")
+    found = jaccard_classes(rows, id_col=name, **options).select(F.col("doc_id").alias(name), "component_id").distinct()
+    classes = stage(found.join(named, name), "jaccard-classes")
     first = classes.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", name)).alias("x")).select(F.col(f"x.{name}").alias(name))
     gone = stage(classes.select(name).join(first, name, "left_anti").distinct(), "jaccard-gone")
     known = lambda x: F.broadcast(x) if x.count() * 16 <= BROADCAST_BYTES else x
@@ -564,4 +575,4 @@ def first_of_each_class(docs: DataFrame, id_col: str = "doc_id", **options) -> D
         twice = known(twice)
         once = kept.join(twice, name, "left_semi").dropDuplicates(docs.columns)
         kept = kept.join(twice, name, "left_anti").unionByName(once)
-    return kept.drop(name)
+    return kept.drop(name, more)

@@ -6,8 +6,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tallow.llm import collocations, compression, periodic
+from tallow.llm import collocations, compression, jaccard, lm, periodic
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, h string, runs string, words string, n long, id string, score string, phrase string, f long"
@@ -237,3 +238,60 @@ def test_scores_past_64_bits_are_exact(spark):
     totals = spark.createDataFrame([("en", n)], "lang string, n long")
     row = collocations._scored([one, two], totals, 10, 100).first()
     assert row["score"] == 1000 * a * n // ((a + 1) * (a + 6))
+
+
+# Operator 5: scores from the model's arrays
+
+
+def test_scores_by_a_plain_loop_over_tokens(spark, monkeypatch):
+    rng = random.Random(12)
+    words = ["the", "of", "and", "to", "in", "Is", *[f"w{i}x" for i in range(40)], "É"]
+    rows = [(i, " ".join(rng.choices(words, [40, 31, 23, 17, 11, 7, *[1] * 40, 1], k=rng.randint(0, 40))), "en") for i in range(160)] + [(900, None, "en"), (901, "never seen q", "en")]
+    seen, train = {}, lm.train_model
+
+    def caught(pairs, vocabulary, **options):
+        seen["voc"], seen["model"] = vocabulary, train(pairs, vocabulary, rounds=3, steps=4)
+        return seen["model"]
+
+    monkeypatch.setattr(lm, "own_classes", lambda n: 6)
+    monkeypatch.setattr(lm, "train_model", caught)
+    got = {r.doc_id: r for r in lm.score_documents(frame(spark, rows)).collect()}
+    model, head = seen["model"], 6
+    low = lambda w: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w)
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    counts = Counter(low(w) for i, t, _ in rows if not held(i) for w in WORD.findall(t or ""))
+    own = {w: k for k, (w, _) in enumerate(counts.most_common(head))}
+
+    def suffix(w):
+        b = w.encode()
+        return (((b[-1] * 257 + (b[-2] if len(b) > 1 else 0)) * 2654435761) % 2**32 >> 24) % lm.SUFFIXES
+
+    mass = Counter()
+    for w, c in counts.items():
+        if w not in own:
+            mass[suffix(w)] += c + 1
+    end, start = head + lm.SUFFIXES, head + lm.SUFFIXES + 1
+    share = lambda u, v: (lambda z: np.exp(z[v] - z.max()) / np.exp(z - z.max()).sum())(model.r[u] @ model.q.T + model.b)
+    for i, t, _ in rows[::9] + rows[-2:]:
+        score, one, two = 0.0, start, start
+        for w in [*map(low, WORD.findall(t or "")), None]:
+            c = end if w is None else own[w] if w in own else head + suffix(w)
+            score += np.log10(lm.WEIGHTS[0] * share(one, c) + lm.WEIGHTS[1] * share(start + 1 + two, c))
+            if w is not None and w not in own:
+                score += np.log10((counts[w] + 1) / (mass[suffix(w)] + 1))
+            one, two = c, one
+        assert got[i].score == pytest.approx(score, rel=1e-4, abs=1e-3), (i, t)
+
+
+# The pipeline's join: rows that share half of their name
+
+
+def test_rows_that_share_half_of_their_name_are_told_apart(spark, monkeypatch):
+    whole = lambda i: " ".join(f"word{i}{j}" for j in range(30))
+    rows = [(i, whole(i % 5), "en") for i in range(10)] + [(3, whole(3), "en"), (None, None, "en")]
+    docs = frame(spark, rows)
+    want = sorted(str(r.doc_id) for r in jaccard.first_of_each_class(docs).collect())
+    assert want == ["0", "1", "2", "3", "4", "None"]
+    plain = jaccard.row_hash
+    monkeypatch.setattr(jaccard, "row_hash", lambda columns, half: plain(columns, 1) if half else F.lit(7).cast("long"))
+    assert sorted(str(r.doc_id) for r in jaccard.first_of_each_class(docs).collect()) == want
