@@ -1,7 +1,7 @@
 """Line-first quality rules, with DataFrame functions only.
 
-Each line is judged alone (symbols, shouting, navigation, stutter, boilerplate,
-missing punctuation); failing lines are removed; a document that loses too much
+Each line is judged (symbols, shouting, navigation, stutter, boilerplate, missing
+punctuation, part of a menu of short lines); failing lines are removed; a document that loses too much
 of its text is rejected. All of it runs inside the row: no shuffle, no Python.
 """
 
@@ -12,8 +12,17 @@ from pyspark.sql import functions as F
 
 from tallow.llm.common import set_aside
 
-# Phrases that mark a short line as boilerplate.
-BOILERPLATE = r"(?i)all rights reserved|cookie|privacy policy|terms of (use|service)|click here|subscribe|sign (in|up)|log ?in|javascript|copyright|read more|share (this|on)"
+# Phrases that mark a short line as boilerplate, in English, German, French and Spanish; a full stop stands for a letter with an accent.
+PHRASES = (
+    r"all rights reserved|cookie|privacy policy|terms of (use|service)|click here|subscribe|sign (in|up)|log ?in|javascript|copyright|read more|share (this|on)",
+    r"alle rechte vorbehalten|datenschutzerkl.rung|impressum|nutzungsbedingungen|hier klicken|jetzt abonnieren|jetzt anmelden|weiterlesen|diese seite teilen",
+    r"tous droits r.serv.s|politique de confidentialit|conditions d.utilisation|mentions l.gales|cliquez ici|abonnez-vous|se connecter|lire la suite|partager (cet|sur)",
+    r"todos los derechos reservados|pol.tica de privacidad|t.rminos de uso|aviso legal|haga clic|haz clic|suscr.bete|iniciar sesi.n|leer m.s|compartir en",
+)
+BOILERPLATE = "(?i)" + "|".join(PHRASES)
+SENTENCE_MARK = r"[.!?;:…。！？]"
+# A menu: so many lines in a row of one or two words each, without a mark.
+MENU_LINES, MENU_WORDS = 5, 2
 SYMBOL = r"[#*$%&|<>]"
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -35,11 +44,20 @@ def _line_fails(text: Column, n: Column) -> Column:
     shouting = (n >= 3) & ((count("!") * 3 > n) | ((F.upper(text) == text) & (F.lower(text) != text)))
     navigation = (n >= 3) & (count("[|»›•→]") * 4 > n)
     boilerplate = (n <= 12) & text.rlike(BOILERPLATE)
-    unpunctuated = (n >= 8) & ~text.rlike(r"[.!?;:…。！？]")
+    unpunctuated = (n >= 8) & ~text.rlike(SENTENCE_MARK)
     stutter = (n >= 5) & (count(STUTTER) * 5 > n)
     return (n > 0) & (noisy | shouting | navigation | boilerplate | unpunctuated | stutter)
 
 
+def _in_menu(lines: Column) -> Column:
+    """For each line (text, n words), whether it stands in a stretch of MENU_LINES short ones or more. A line without words ends a stretch."""
+    short = F.transform(lines, lambda x: x["n"].between(1, MENU_WORDS) & ~x["text"].rlike(SENTENCE_MARK + "|,"))
+    # The lines as letters: an s that has MENU_LINES - 1 more around it, at every split of them before and after.
+    letters = F.array_join(F.transform(short, lambda x: F.when(x, "s").otherwise("o")), "")
+    around = "|".join(f"(?<=s{{{k}}})s(?=s{{{MENU_LINES - 1 - k}}})" for k in range(MENU_LINES))
+    return F.transform(F.regexp_extract_all(F.regexp_replace(letters, around, "m"), F.lit("."), F.lit(0)), lambda x: x == "m")
+
+
 def apply_quality_rules(docs: DataFrame, max_loss: float = 0.4, min_words: int = 50, max_repeat: float = 0.5, text_col: str = "text") -> DataFrame:
     """docs with the figures of each whole text and a verdict.
 
@@ -75,7 +93,8 @@ def apply_quality_rules(docs: DataFrame, max_loss: float = 0.4, min_words: int =
     covered = F.aggregate(F.zip_with("_spots", after("_spots"), lambda a, b: F.least(F.lit(3).cast("long"), F.coalesce(b - a, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda acc, x: acc + x)
     base = base.withColumn("n_repeat_words", covered)
     base = base.withColumn("_lines", F.transform(F.split("_t", "\n"), lambda x: F.struct(x.alias("text"), F.size(words_of(x)).alias("n"))))
-    base = base.withColumn("_lines", F.transform("_lines", lambda x: F.struct(x["text"].alias("text"), x["n"].alias("n"), _line_fails(x["text"], x["n"]).alias("bad"))))
+    judged = lambda x, menu: F.struct(x["text"].alias("text"), x["n"].alias("n"), (menu | _line_fails(x["text"], x["n"])).alias("bad"))
+    base = base.withColumn("_lines", F.zip_with("_lines", _in_menu(F.col("_lines")), judged))
     base = base.withColumns(
         {
             "n_words": F.size("_w").cast("long"),

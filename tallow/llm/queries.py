@@ -164,14 +164,18 @@ WITH d AS (
   SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, ls, ws,
     coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN n USING (doc_id)
+), i AS (
+  SELECT doc_id, i, line, len(lw) AS n, lw, (len(lw) BETWEEN 1 AND 2 AND NOT regexp_matches(line, '[.!?;:…。！？,]'))::INT AS short FROM (
+    SELECT doc_id, i, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM b))
+), j AS (
+  SELECT *, sum(short) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) = 5 AS start FROM i
 ), l AS (
-  SELECT doc_id, line, len(lw) AS n, lw FROM (
-    SELECT doc_id, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw FROM (SELECT doc_id, unnest(ls) AS line FROM b))
+  SELECT *, bool_or(start) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS menu FROM j
 ), f AS (
-  SELECT *, n > 0 AND (length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) * 4 > n
+  SELECT *, menu OR n > 0 AND (length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) * 4 > n
     OR (n >= 3 AND (length(regexp_replace(line, '[^!]', '', 'g')) * 3 > n OR (upper(line) = line AND lower(line) <> line)))
     OR (n >= 3 AND length(regexp_replace(line, '[^|»›•→]', '', 'g')) * 4 > n)
-    OR (n <= 12 AND regexp_matches(line, '(?i)all rights reserved|cookie|privacy policy|terms of (use|service)|click here|subscribe|sign (in|up)|log ?in|javascript|copyright|read more|share (this|on)'))
+    OR (n <= 12 AND regexp_matches(line, 'BOILERPLATE'))
     OR (n >= 8 AND NOT regexp_matches(line, '[.!?;:…。！？]'))
     OR (n >= 5 AND len(list_filter(range(1, n), lambda i: lw[i] = lw[i + 1])) * 5 > n)) AS bad FROM l
 ), v AS (
@@ -180,7 +184,7 @@ WITH d AS (
   SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, lost FROM b JOIN v USING (doc_id)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost <= 0.4 * n_words AS kept FROM o
-"""
+""".replace("BOILERPLATE", quality.BOILERPLATE)
 
 SQL["op13_phrase_collocations"] = r"""
 WITH p AS (

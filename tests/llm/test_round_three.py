@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallow.llm import collocations, compression, jaccard, lm, periodic
+from tallow.llm import collocations, compression, jaccard, lm, periodic, quality, queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, h string, runs string, words string, n long, id string, score string, phrase string, f long"
@@ -295,3 +295,53 @@ def test_rows_that_share_half_of_their_name_are_told_apart(spark, monkeypatch):
     plain = jaccard.row_hash
     monkeypatch.setattr(jaccard, "row_hash", lambda columns, half: plain(columns, 1) if half else F.lit(7).cast("long"))
     assert sorted(str(r.doc_id) for r in jaccard.first_of_each_class(docs).collect()) == want
+
+
+# Operator 3: menus and boilerplate
+
+
+def test_menus_and_boilerplate_in_four_languages(spark, tmp_path):
+    import duckdb
+
+    prose = "This is a whole sentence of some words that ends as one should, and goes on for a while."
+    menu = "Home\nNews\nOur shop\nSign on\nHelp\nMore"
+    foot = "Impressum und Datenschutzerklärung\nTous droits réservés ici\nPolítica de privacidad\nAlle Rechte vorbehalten"
+    texts = [prose, menu, foot, f"{menu}\n{prose}", "Home\nNews\nShop\nHelp", "Home\nNews\n\nShop\nHelp\nMore", "One.\nTwo.\nThree.\nFour.\nFive.\nSix.", "\n".join(["Home"] * 60), "".join(f"Here is line {k}{k} of words{k} that all{k} differ{k} and end{k} well{k}.\n" for k in range(9)) + menu, "", None, "A,\nb,\nc,\nd,\ne,"]
+    want = [0, 6, 4, 6, 0, 0, 0, 60, 6, 0, 0, 0]
+    docs = frame(spark, [(i, t, "en") for i, t in enumerate(texts)])
+    got = {r.doc_id: r for r in quality.apply_quality_rules(docs).collect()}
+    assert [got[i].n_bad_lines for i in range(len(texts))] == want
+    assert got[3].clean_text == prose and not got[7].kept and got[8].kept
+    docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    told = con.sql(queries.SQL["op3_quality_rules"])
+    cols = told.columns
+    assert sorted(told.fetchall()) == sorted(tuple(got[i][c] for c in cols) for i in got)
+
+
+# The pipeline's stages
+
+
+ODD = [(1, None, "en"), (2, "", None), (None, "only words here", "en"), (4, "é" * 3000 + " end.", None), (4, "é" * 3000 + " end.", None), *[(i, "".join(f"Here is{i % 3} line {k} of plain{k} words{k} that{k} all{i % 3} end{k} as{k} they should{k}.\n" for k in range(9)), None if i == 9 else "en") for i in range(5, 14)]]
+
+
+def test_every_stage_takes_odd_and_empty_tables(spark):
+    import corpus_pipeline
+
+    docs = frame(spark, ODD)
+    odd = docs.select("doc_id", "text", F.col("h").alias("lang"), F.when(F.col("doc_id") > 7, F.lit("s")).alias("source"), F.length("text").cast("long").alias("n_chars"))
+    for k, (name, f) in enumerate(corpus_pipeline.STAGES):
+        out, none = f(spark, odd, ""), f(spark, odd.where("false"), "")
+        rows = out.collect()
+        assert none.count() == 0 and rows, name
+        if k < 3:
+            assert out.columns == none.columns == odd.columns, name
+        if name.startswith("quality"):
+            assert len(rows) == 9 and all(len(r.text) == r.n_chars for r in rows)
+        elif name.startswith("n-gram"):
+            assert sorted(str(r.doc_id) for r in rows) == ["1", "2", "4", "5", "6", "7", "None"]
+        elif name.startswith("mixing"):
+            assert {r.doc_id for r in rows} >= {4, None} and None in {r.source for r in rows}
+        else:
+            assert sum(r.start == 0 for r in rows) == len(ODD)
