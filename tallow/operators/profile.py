@@ -255,9 +255,9 @@ def top_correlations(bars: DataFrame, assets: int = 10, n: int = 5) -> DataFrame
     return pairs.orderBy(F.desc("correlation"), "a", "b").limit(n)
 
 
-def sector_comparison(bars: DataFrame) -> DataFrame:
-    """Mean volatility of each class, and its riskiest asset."""
-    risk = change(bars).groupBy("asset_class", "asset_symbol").agg(F.stddev_samp("change_pct").alias("v"))
+def sector_comparison(bars: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
+    """Mean volatility of the series of each class, and the asset of its riskiest one."""
+    risk = change(bars, by).groupBy("asset_class", *by).agg(F.stddev_samp("change_pct").alias("v"))
     return risk.groupBy("asset_class").agg(F.round(F.avg("v"), 6).alias("avg_vol"), F.max_by("asset_symbol", F.struct("v", "asset_symbol")).alias("max_risk"))
 
 

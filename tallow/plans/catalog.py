@@ -102,7 +102,7 @@ add("targets", lambda s, d: rounded(modelling.targets(bars_1d(s, d)).select("ass
 add("split_standardise", lambda s, d: rounded(modelling.standardise(modelling.split_by_position(bars_1d(s, d)), ["close"]).select("asset_symbol", "date", "is_train", "close"), "asset_symbol", "date"), "WITH a AS (SELECT *, row_number() OVER (PARTITION BY asset_symbol ORDER BY date) <= floor(count(*) OVER (PARTITION BY asset_symbol) * 0.8) AS is_train FROM bars_1d), m AS (SELECT asset_symbol, avg(close) AS m, stddev_pop(close) AS s FROM a WHERE is_train GROUP BY 1) SELECT asset_symbol, date, is_train, round((close - m) / s, 8) AS close FROM a JOIN m USING (asset_symbol)")
 add("winsorise", lambda s, d: rounded(modelling.winsorise(bars_1d(s, d), ["close"]).select("asset_symbol", "date", "close"), "asset_symbol", "date"), "WITH q AS (SELECT quantile_cont(close, 0.01) AS lo, quantile_cont(close, 0.99) AS hi FROM bars_1d) SELECT asset_symbol, date, round(least(greatest(close, lo), hi), 8) AS close FROM bars_1d, q")
 add("sequences", lambda s, d: modelling.sequences(modelling.targets(bars_1d(s, d)), ["open", "close"], 20).select("asset_symbol", "date", F.size("x").cast("long").alias("n"), F.round(F.col("x")[0][1], 8).alias("first_close"), F.round(F.col("x")[19][1], 8).alias("last_close")), f"WITH a AS (SELECT asset_symbol, date, row_number() {_W.format('')} AS rn, {_LAG('close', 20)} AS f, {_LAG('close', 1)} AS l FROM bars_1d) SELECT asset_symbol, date, 20::BIGINT AS n, round(f, 8) AS first_close, round(l, 8) AS last_close FROM a WHERE rn > 20")
-add("dim_date", lambda s, d: warehouse.dim_date(s).select("date_id", "date", "quarter", "month_name", F.col("week").cast("long").alias("week"), F.col("day_of_week").cast("long").alias("day_of_week"), "day_name", "is_business_day", "is_weekend"), "SELECT row_number() OVER (ORDER BY x) AS date_id, x::DATE AS date, quarter(x) AS quarter, monthname(x) AS month_name, week(x) AS week, dayofweek(x) AS day_of_week, dayname(x) AS day_name, dayofweek(x) BETWEEN 1 AND 5 AS is_business_day, dayofweek(x) IN (0, 6) AS is_weekend FROM generate_series(DATE '1992-01-01', (CURRENT_DATE + INTERVAL 5 YEAR)::DATE, INTERVAL 1 DAY) AS t(x)")
+add("dim_date", lambda s, d: warehouse.calendar_of(silver(s, d), 1).select("date_id", "date", "quarter", "month_name", F.col("week").cast("long").alias("week"), F.col("day_of_week").cast("long").alias("day_of_week"), "day_name", "is_business_day", "is_weekend"), "SELECT row_number() OVER (ORDER BY x) AS date_id, x::DATE AS date, quarter(x) AS quarter, monthname(x) AS month_name, week(x) AS week, dayofweek(x) AS day_of_week, dayname(x) AS day_name, dayofweek(x) BETWEEN 1 AND 5 AS is_business_day, dayofweek(x) IN (0, 6) AS is_weekend FROM (SELECT unnest(generate_series(min(date)::DATE, make_date(year(max(date)) + 1, 12, 28), INTERVAL 1 DAY)) AS x FROM silver)")
 
 
 def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,8 +138,9 @@ add("profile_dead", lambda s, d: profile.dead_assets(bars_1d(s, d)).drop("interv
 add("profile_spikes", lambda s, d: profile.volume_spikes(bars_ord(s, d), 2.0), "WITH m AS (SELECT *, avg(volume) OVER (PARTITION BY asset_symbol ORDER BY date ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS mean FROM bars_ord) SELECT asset_symbol, date, volume, round(mean, 6) AS mean FROM m WHERE volume > mean * 2")
 add("profile_spread", lambda s, d: profile.spread_outliers(bars_1d(s, d)), "SELECT asset_symbol, date, round((high - low) / close * 100, 6) AS spread_pct FROM bars_1d ORDER BY 3 DESC, 1, 2 LIMIT 10")
 add("profile_gaps", lambda s, d: profile.overnight_gaps(bars_1d(s, d)), f"WITH g AS (SELECT asset_symbol, date, round((open - {_LAG('close')}) / {_LAG('close')} * 100, 6) AS gap_pct FROM bars_1d) SELECT * FROM g WHERE abs(gap_pct) > 2 ORDER BY abs(gap_pct) DESC, 1, 2 LIMIT 10")
-add("profile_nulls", lambda s, d: profile.null_audit(indicators.window_indicators(bars_1d(s, d)), ["sma_50", "roc_20"]), f"WITH a AS (SELECT {_ROLL('avg', 'close', 50)} AS s, {_LAG('close', 20)} AS r FROM bars_1d) SELECT 'sma_50' AS feature, count(*) FILTER (WHERE s IS NULL) AS null_count, round(count(*) FILTER (WHERE s IS NULL) / count(*) * 100, 6) AS null_pct FROM a UNION ALL SELECT 'roc_20', count(*) FILTER (WHERE r IS NULL), round(count(*) FILTER (WHERE r IS NULL) / count(*) * 100, 6) FROM a")
-add("profile_describe", lambda s, d: profile.describe(bars_1d(s, d), ["close", "volume"]), "WITH a AS (UNPIVOT (SELECT close, volume FROM bars_1d) ON close, volume INTO NAME feature_name VALUE x) SELECT feature_name, count(x) AS count, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, round(min(x), 6) AS min, round(quantile_cont(x, 0.25), 6) AS q25, round(quantile_cont(x, 0.5), 6) AS q50, round(quantile_cont(x, 0.75), 6) AS q75, round(max(x), 6) AS max, count(*) FILTER (WHERE x IS NULL) AS null_count FROM a GROUP BY 1")
+_AUDITED = ["open", "high", "low", "close", "volume", "turnover", "open_interest", "funding_rate"]
+add("profile_nulls", lambda s, d: profile.null_audit(silver(s, d), _AUDITED), " UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) FILTER (WHERE {c} IS NULL) AS null_count, round(count(*) FILTER (WHERE {c} IS NULL) / count(*) * 100, 6) AS null_pct FROM silver" for c in _AUDITED))
+add("profile_describe", lambda s, d: profile.describe(silver(s, d), ["open", "high", "low", "close", "volume", "turnover", "open_interest", "funding_rate"]), "WITH a AS (SELECT unnest(['open', 'high', 'low', 'close', 'volume', 'turnover', 'open_interest', 'funding_rate']) AS feature_name, unnest([open, high, low, close, volume, turnover, open_interest, funding_rate]) AS x FROM silver) SELECT feature_name, count(x) AS count, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, round(min(x), 6) AS min, round(quantile_cont(x, 0.25), 6) AS q25, round(quantile_cont(x, 0.5), 6) AS q50, round(quantile_cont(x, 0.75), 6) AS q75, round(max(x), 6) AS max, count(*) FILTER (WHERE x IS NULL) AS null_count FROM a GROUP BY 1")
 add("profile_missing", lambda s, d: profile.missing_candles(bars_1h(s, d), "1 HOUR"), "WITH g AS (SELECT asset_symbol, unnest(generate_series(min(date), max(date), INTERVAL 1 HOUR)) AS date FROM bars_1h GROUP BY 1) SELECT asset_symbol, date FROM g ANTI JOIN bars_1h USING (asset_symbol, date)")
 add("profile_correlations", lambda s, d: profile.pair_correlations(bars_ord(s, d)), "WITH p AS (SELECT x.asset_symbol AS a, y.asset_symbol AS b, count(*) AS n, corr(x.close, y.close) AS c FROM bars_ord x JOIN bars_ord y ON x.date = y.date AND x.asset_symbol < y.asset_symbol GROUP BY 1, 2) SELECT a, b, CASE WHEN n < 5 THEN 0.0 ELSE round(c, 6) END AS correlation FROM p")
 add("profile_moments", lambda s, d: profile.moments(bars_1d(s, d), "close").drop("interval"), "WITH m AS (SELECT asset_symbol, avg(close) AS m FROM bars_1d GROUP BY 1), c AS (SELECT b.asset_symbol, avg((close - m) ** 2) AS m2, avg((close - m) ** 3) AS m3, avg((close - m) ** 4) AS m4, skewness(close) AS s, kurtosis(close) AS k FROM bars_1d b JOIN m USING (asset_symbol) GROUP BY 1) SELECT asset_symbol, round(m3 / m2 ** 1.5, 6) AS skew_biased, round(m4 / m2 ** 2 - 3, 6) AS kurt_biased, round(s, 6) AS skew, round(k, 6) AS kurt FROM c")

@@ -63,8 +63,8 @@ add(
 )
 add(
     "profile_sectors",
-    lambda s, d: profile.sector_comparison(silver(s, d).where("interval <> '1wk'")),
-    f"WITH s AS (SELECT * FROM silver WHERE interval <> '1wk'), {_CH.format('s')}, v AS (SELECT asset_class, asset_symbol, stddev(x) AS v FROM c GROUP BY 1, 2) SELECT asset_class, round(avg(v), 6) AS avg_vol, max_by(asset_symbol, v) AS max_risk FROM v GROUP BY 1",
+    lambda s, d: profile.sector_comparison(silver(s, d)),
+    f"WITH p AS (SELECT *, lag(close) OVER ({_BY} ORDER BY date) AS p FROM silver), v AS (SELECT asset_class, asset_symbol, interval, stddev((close - p) / p * 100) AS v FROM p GROUP BY ALL) SELECT asset_class, round(avg(v), 6) AS avg_vol, max_by(asset_symbol, v) AS max_risk FROM v GROUP BY 1",
 )
 add(
     "profile_freshness",

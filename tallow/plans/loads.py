@@ -48,14 +48,21 @@ def _append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _insert_new(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The interval dimension, loaded in part, then whole, twice."""
-    path, dim = sinks.scratch_path(spark, "dim-interval"), warehouse.dim_interval(spark)
-    sinks.append(dim.where("interval_id < 5"), path)
-    for _ in range(2):
-        sinks.insert_new(dim, path, ("interval_id",))
+    """The symbols of the stocks, then of all bars, twice: what is there stays as it is."""
+    path, b = sinks.scratch_path(spark, "symbols"), silver(spark, sf_dir)
+    of = lambda df, load: df.groupBy("asset_symbol", "interval").agg(F.min("date").alias("first_date")).withColumn("load", F.lit(load))
+    sinks.append(of(b.where("asset_class = 'Stock'"), 1), path)
+    for load in (2, 3):
+        sinks.insert_new(of(b, load), path, ("asset_symbol", "interval"))
     return spark.read.parquet(path)
 
 
+def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interval dimension with the candles that the bars have of each."""
+    n = silver(spark, sf_dir).groupBy(F.col("interval").alias("interval_code")).agg(F.count("*").alias("candles"))
+    return warehouse.dim_interval(spark).join(n, "interval_code", "left").withColumn("candles", F.coalesce("candles", F.lit(0)))
+
+
 def _assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The asset dimension of the stocks, then of all: what is there keeps its key."""
     b = silver(spark, sf_dir)
@@ -123,8 +130,8 @@ add("sink_json", _json, _AGG.format("asset_symbol, interval", "silver"))
 add("sink_tensors", _tensors, "WITH a AS (SELECT *, row_number() OVER (PARTITION BY asset_symbol ORDER BY date) AS rn, count(*) OVER (PARTITION BY asset_symbol) AS n FROM bars_1d), s AS (SELECT asset_symbol, close, rn, n, unnest(range(0, 20)) AS step FROM a) SELECT asset_symbol, step, count(*) AS n, round(avg(close), 4) AS mean_close FROM s WHERE rn + 20 - step BETWEEN 21 AND n GROUP BY 1, 2")
 add("load_append", _append, _AGG.format("asset_symbol, interval", "silver"))
 _INTERVALS = ", ".join(f"({i + 1}, '{c}', {m}, '{t}')" for i, (c, m, t) in enumerate(warehouse.INTERVALS))
-add("dim_interval", lambda s, d: warehouse.dim_interval(s), f"SELECT * FROM (VALUES {_INTERVALS}) t(interval_id, interval_code, interval_minutes, interval_description)")
-add("load_insert_or_ignore", _insert_new, f"SELECT * FROM (VALUES {_INTERVALS}) t(interval_id, interval_code, interval_minutes, interval_description)")
+add("dim_interval", _intervals, f"WITH i AS (SELECT * FROM (VALUES {_INTERVALS}) t(interval_id, interval_code, interval_minutes, interval_description)), n AS (SELECT interval, count(*) AS n FROM silver GROUP BY 1) SELECT i.*, coalesce(n, 0) AS candles FROM i LEFT JOIN n ON interval = interval_code")
+add("load_insert_or_ignore", _insert_new, "SELECT asset_symbol, interval, min(date) AS first_date, CASE WHEN any_value(asset_class) = 'Stock' THEN 1 ELSE 2 END AS load FROM silver GROUP BY 1, 2")
 add("load_assets", _assets, "WITH a AS (SELECT asset_symbol, min(asset_class) AS asset_class, min(exchange) AS exchange FROM silver GROUP BY 1) SELECT row_number() OVER (ORDER BY asset_class DESC, asset_symbol) AS asset_id, * FROM a")
 add("load_upsert", _upsert, "SELECT asset_symbol, count(*) AS n, round(sum(volume + (hour(date) >= 12)::INT), 4) AS volume, min(date) AS first_date FROM bars_1h GROUP BY 1")
 add("load_keep_first", _keep_first, _AGG.format("asset_symbol", "bars_1h"))
