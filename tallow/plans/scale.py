@@ -11,6 +11,7 @@ from tallow.plans.registry import SQL, add
 from tallow.plans.runner import Run, Step, StepFailed, input_version
 from tallow.sources.bars import bars_1d, bars_1h, silver, table
 from tallow.sources.merge import MergeTable
+from tallow.sources.sinks import markdown_lines
 from tallow.sources.stages import scratch_path
 from tallow.sources.tables import create_table, drop_table
 from tallow.streaming import drain, drain_counted, without_duplicates
@@ -190,3 +191,36 @@ add("profile_latest", lambda s, d: profile.latest(silver(s, d), 20).select(*_KEY
 # What the stream gives is what indicators_recursive has, over hourly bars.
 add("stream_indicators", _stream_state)
 SQL["stream_indicators"] = SQL["indicators_recursive"].replace("FROM bars_1d)", "FROM bars_1h)")
+
+
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profilers' report: what there is, and which series stand still."""
+    b = silver(spark, sf_dir)
+    volume = profile.data_volume(b).select(*_KEYS, "total_rows")
+    dead = profile.dead_assets(b).select(*_KEYS, "dead")
+    return markdown_lines(volume, "Data volume", _KEYS).unionByName(markdown_lines(dead, "Frozen prices", _KEYS))
+
+
+add(
+    "report_market",
+    _report,
+    """WITH v AS (SELECT asset_symbol, interval, count(*) AS n FROM silver GROUP BY ALL), l AS (SELECT * FROM silver QUALIFY row_number() OVER (PARTITION BY asset_symbol, interval ORDER BY date DESC) <= 7),
+    d AS (SELECT asset_symbol, interval, CASE WHEN count(*) = 7 AND count(DISTINCT close) = 1 THEN 'true' ELSE 'false' END AS dead FROM l GROUP BY ALL)
+    SELECT * FROM (VALUES ('Data volume', 1, '## Data volume'), ('Data volume', 2, '| asset_symbol | interval | total_rows |'), ('Data volume', 3, '|---|---|---|'), ('Frozen prices', 1, '## Frozen prices'), ('Frozen prices', 2, '| asset_symbol | interval | dead |'), ('Frozen prices', 3, '|---|---|---|')) t(section, line_no, line)
+    UNION ALL SELECT 'Data volume', row_number() OVER (ORDER BY asset_symbol, interval) + 3, '| ' || asset_symbol || ' | ' || interval || ' | ' || n || ' |' FROM v
+    UNION ALL SELECT 'Frozen prices', row_number() OVER (ORDER BY asset_symbol, interval) + 3, '| ' || asset_symbol || ' | ' || interval || ' | ' || dead || ' |' FROM d""",
+)
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols padded, cut and formatted."""
+    b = silver(spark, sf_dir).groupBy(*_KEYS).agg(F.count("*").alias("n"), F.round(F.avg("close"), 2).alias("mean"))
+    wide = F.rpad("asset_symbol", 12, " ")
+    return b.select(*_KEYS, F.rtrim(wide).alias("trimmed"), F.length(wide).cast("long").alias("width"), F.upper(F.concat_ws("/", *_KEYS)).alias("label"), F.format_string("%s: %d rows", F.rtrim(wide), "n").alias("said"), F.substring("asset_symbol", 1, 3).alias("short"))
+
+
+add(
+    "sql_strings",
+    _labels,
+    "WITH b AS (SELECT asset_symbol, interval, count(*) AS n, rpad(asset_symbol, 12, ' ') AS w FROM silver GROUP BY ALL) SELECT asset_symbol, interval, rtrim(w) AS trimmed, length(w) AS width, upper(asset_symbol || '/' || interval) AS label, printf('%s: %d rows', rtrim(w), n) AS said, asset_symbol[1:3] AS short FROM b",
+)

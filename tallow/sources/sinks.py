@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallow.operators.warehouse import upsert
@@ -40,6 +40,16 @@ def markdown_table(df: DataFrame, rows: int = 50) -> str:
     return "\n".join(lines + [f"| {' | '.join(str(x) for x in r)} |" for r in df.limit(rows).collect()])
 
 
+def markdown_lines(report: DataFrame, title: str, order: tuple[str, ...]) -> DataFrame:
+    """A report as Markdown lines: section, line_no and line: a heading, the header of a table and its rows in `order`. For reports; one task numbers the rows."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in report.columns]
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    rows = report.select((F.row_number().over(Window.orderBy(*order)) + 3).cast("long").alias("line_no"), row.alias("line"))
+    head = [f"## {title}", f"| {' | '.join(report.columns)} |", f"|{'---|' * len(report.columns)}"]
+    heads = report.sparkSession.createDataFrame([(i + 1, x) for i, x in enumerate(head)], "line_no long, line string")
+    return heads.unionByName(rows).select(F.lit(title).alias("section"), "line_no", "line")
+
+
 def klines_of(bars: DataFrame) -> DataFrame:
     """Bars as the JSON pages of the exchange's API (body), one page per symbol and day: arrays of text, newest first."""
     ms = F.unix_millis(F.col("date").cast("timestamp")).cast("string")
