@@ -37,6 +37,20 @@ def test_against_duckdb(spark, name):
     assert got == want
 
 
+@pytest.mark.parametrize("name", ["features_log_returns", "features_past_returns"])
+def test_returns_at_zeros_and_below_are_those_of_sql(spark, tmp_path, name):
+    t0, values = datetime(2024, 1, 1), [2.0, 0.0, 0.0, 3.0, -1.0, -4.0, 0.0, 5.0, None, 6.0, 0.0, None, 1.0]
+    rows = [(i, t0 + timedelta(hours=i, minutes=k), i, "view", x, "") for i, v in enumerate(values) for k, x in enumerate((4.0, 0.0 if i % 3 else 1.0, v))]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    spark.read.parquet(f"{SF}/lineitem.parquet").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    for t in ("events", "lineitem"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    df, rel = catalog.QUERIES[name](spark, str(tmp_path)), con.sql(catalog.SQL[name])
+    got, want = (sorted(tuple(map(str, r)) for r in x) for x in (df.select(*rel.columns).collect(), rel.fetchall()))
+    assert got == want and sum("inf" in r for row in got for r in row) > 5
+
+
 def test_ewm_is_the_naive_loop():
     x = np.random.default_rng(0).normal(size=300)
     assert np.allclose(indicators.ewm(x, 2 / 13), pd.Series(x).ewm(span=12, adjust=False).mean(), atol=1e-12)
