@@ -11,6 +11,7 @@ to the plan by their rank among pieces of their length, a distributed prefix sum
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -27,8 +28,13 @@ CAPACITY = 4096
 END_ID = 1
 MEMO_WORDS = 600_000  # words remembered by a process, about 85 MB
 MEMO_CHARS = 64
-MARK = "|"
-PROBES = ("a", "I", "the", "Hello", "don", "transformation", "QUICK", "zzxqj", "x" * 40, "antidisestablishmentarianism")
+MEMO_SIGNS = 10_000
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@[-`{-~]*)")
+# The characters by which byte-level models name bytes that are no printable ones of Latin-1.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_LEVEL = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+PROBES = ("a", "I", "the", "Hello", "don", "transformation", "QUICK", "zzxqj", "x" * 40, "antidisestablishmentarianism", "É", "straße", "ÀÖØÞæñüÿ", "çà", "ÑANDÚ")
+SIGNS = ("", ".", ",", ".,", "!!", "###", "$$$", "'", "\"", "|", "*.*", "(`)")
 SLICE_ROWS = 256
 BATCH_ROWS = 1024
 RANGE_ROWS = 512
@@ -47,8 +53,8 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """Texts to little-endian unsigned 32-bit ids; one encoder per process and file.
 
     The tokenizer drops white space and joins nothing across it, so each word is encoded once and
-    remembered, up to MEMO_WORDS words; later ones are encoded anew each time. New words are encoded many
-    at once, with a mark between them; words that hold the mark are encoded alone.
+    remembered, up to MEMO_WORDS words; later ones are encoded anew each time. Letters of Latin-1 go to the
+    tokenizer's model directly, and so do signs behind them.
     """
     if path in _encoders:
         return _encoders[path]
@@ -56,45 +62,36 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    memo: dict[str, bytes] = {}
-    ids_of = lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, "<u4")
-    mark_ids = ids_of(MARK)
-
-    model = tok.model
-    ids_of_letters = lambda w: array("I", [t.id for t in model.tokenize(w.lower())]).tobytes()
-    # Words of ASCII letters, with a stop or comma at most, need no normalising where the tokenizer treats these probes so.
-    stops = {c: ids_of(c).tobytes() for c in ".,"}
-    direct = all(ids_of(w).tobytes() == ids_of_letters(w) and ids_of(w + c).tobytes() == ids_of_letters(w) + x for w in PROBES for c, x in stops.items())
-
-    def learn(new: list[str]) -> dict[str, bytes]:
-        out, odd = {}, []
-        for w in new:
-            stem = w[:-1] if w[-1] in stops else w
-            if direct and stem.isalpha() and stem.isascii():
-                x = memo.get(stem) or out.get(stem) or ids_of_letters(stem)
-                out[w] = x if stem is w else x + stops[w[-1]]
+    ids_of = lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    tokenize = tok.model.tokenize
+    signs: dict[str, bytes] = {"": b""}
+
+    def of_letters(w: str) -> bytes:
+        w = w.lower()
+        return array("I", [t.id for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_LEVEL))]).tobytes()
+
+    # Letters of Latin-1, with ASCII signs behind them, need no normalising where the tokenizer treats these probes so.
+    direct = all(ids_of(w + x) == of_letters(w) + ids_of(x) for w in PROBES for x in SIGNS)
+
+    class Memo(dict):
+        def __missing__(self, w: str) -> bytes:
+            if direct and (parts := PLAIN.fullmatch(w)):
+                stem, sign = parts.groups()
+                if sign not in signs and len(signs) < MEMO_SIGNS:
+                    signs[sign] = ids_of(sign)
+                x = (self.get(stem) if sign else None) or of_letters(stem)
+                x += signs[sign] if sign in signs else ids_of(sign)
             else:
-                odd.append(w)
-        for lo in range(0, len(odd), 4096):
-            part = [w for w in odd[lo : lo + 4096] if MARK not in w]
-            ids = ids_of(f" {MARK} ".join(part))
-            cuts = np.flatnonzero(ids == mark_ids[0]) if len(mark_ids) == 1 else ()
-            if len(cuts) == len(part) - 1:
-                raw, ends = ids.tobytes(), (4 * cuts).tolist()
-                out.update({w: raw[a:b] for w, a, b in zip(part, [0, *[x + 4 for x in ends]], [*ends, len(raw)], strict=True)})
-            out.update({w: ids_of(w).tobytes() for w in odd[lo : lo + 4096] if w not in out})
-        return out
+                x = ids_of(w)
+            if len(self) < MEMO_WORDS and len(w) < MEMO_CHARS:
+                self[w] = x
+            return x
+
+    ids = Memo().__getitem__
 
     def encode(texts: list[str]) -> list[bytes]:
         # split() also cuts at these four, which the tokenizer takes for symbols
-        words = [[t] if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-        known = {w: memo.get(w) for w in set().union(*words)}
-        if new := [w for w, x in known.items() if x is None]:
-            got = learn(new)
-            known.update(got)
-            if len(memo) < MEMO_WORDS:
-                memo.update({w: x for w, x in got.items() if len(w) < MEMO_CHARS})
-        return [b"".join(map(known.__getitem__, ws)) for ws in words]
+        return [b"".join(map(ids, [t] if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split())) for t in texts]
 
     _encoders[path] = encode
     return encode

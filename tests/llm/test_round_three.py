@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallow.llm import collocations, compression, jaccard, lm, periodic, quality, queries
+from tallow.llm import collocations, compression, jaccard, lm, packing, periodic, quality, queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, h string, runs string, words string, n long, id string, score string, phrase string, f long"
@@ -345,3 +345,40 @@ def test_every_stage_takes_odd_and_empty_tables(spark):
             assert {r.doc_id for r in rows} >= {4, None} and None in {r.source for r in rows}
         else:
             assert sum(r.start == 0 for r in rows) == len(ODD)
+
+
+# Operator 4
+
+
+class CountingTokenizer:
+    """A tokenizer that counts the characters it is given."""
+
+    seen = 0
+
+    def __init__(self, own):
+        self.own, self.model = own, own.model
+
+    def encode(self, text, **kw):
+        CountingTokenizer.seen += len(text)
+        return self.own.encode(text, **kw)
+
+
+def test_accents_and_signs_go_to_the_model_directly(monkeypatch):
+    import tokenizers
+
+    own = tokenizers.Tokenizer.from_file(packing.tokenizer_path())
+    monkeypatch.setattr(packing, "_encoders", {})
+    monkeypatch.setattr(tokenizers, "Tokenizer", type("T", (), {"from_file": staticmethod(lambda path: CountingTokenizer(own))}))
+    encode = packing.word_encoder(packing.tokenizer_path())
+    CountingTokenizer.seen = 0
+    words = [f"{a}é{b}ß{sign}" for a in "abcdefghij" for b in "klmnopqrst" for sign in (".", ",", "###", ".,&&&", "!!")]
+    assert encode([" ".join(words)])[0] == np.array(own.encode(" ".join(words), add_special_tokens=False).ids, "<u4").tobytes()
+    assert CountingTokenizer.seen < 100
+
+
+@pytest.mark.parametrize("text", ["İstanbul ΣΑΣ ſo ªº µm", "éé. a̸ ≮", "it's. we'll!! '' a'' 's S'", "<|endoftext|> a<|endoftext|>, <|x|>", "x_ _x y__.. z{|}~ q[\\]^`", "ÀÉÎÕÜ, ñandú; straße: œuvre Ÿ ÿ", "a1 1a 12. a\xadb ×÷ a×", "", " \n ", "a\x1cb. c"])
+def test_words_are_encoded_as_in_their_text(text):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(packing.tokenizer_path())
+    assert packing.word_encoder(packing.tokenizer_path())([text])[0] == np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
