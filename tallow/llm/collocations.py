@@ -1,36 +1,39 @@
 """Phrases of words that occur together more often than their parts would, mined level by level.
 
-Level k counts phrases of k words. Its pass over the texts sends every task the frequent phrases of k - 1 words
-and emits a phrase only if both of its parts of k - 1 words, which overlap, are among them (Apriori). Then each
+A pass over the texts counts two levels, phrases of j + 1 and j + 2 words. It sends every task the frequent phrases
+of j words and emits a phrase only if all of its parts of j words, which overlap, are among them (Apriori). Then each
 frequent phrase is scored at each place where it can be cut in two, from the tables of the levels.
 
 What is sent is a set of hashes of at most MOST phrases, or, where there are more, a bitmap of fixed size.
 Either may let some phrase through that is not frequent; counts are of the words themselves, so results don't change.
 
-Most pairs of frequent words are rare. So level 2 counts hashes of the pairs first, packed by range, and then the
-words of those alone whose hash is frequent.
+Most pairs of frequent words are rare. So a pass counts hashes of the pairs first, packed by range; the next one counts
+the words of the pairs whose hash is frequent, and of the phrases of three words made of such pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallow.llm.common import set_aside, shuffle_partitions, stage, unstage
 from tallow.llm.spans import Spans, spans
-from tallow.llm.wordhash import mix
+from tallow.llm.wordhash import hashes, mix
 
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 LEAST, LONGEST, TOP, DROP = 100, 5, 2000, 100
 MOST = 1 << 22  # hashes sent as they are: 32 MB
 BITS, SLICE = 29, 19  # beyond that, a bitmap of 2^BITS bits (64 MB), put together by slices of 2^SLICE bits
-HELD = 300_000  # phrases that a task counts before it hands them on
+NEAR = 24  # lowest bits of hashes that are looked up first, at most
+HELD = 48_000_000  # bytes of phrases, with their langs and counts, that a task counts before it hands them on
+ROWS = 100_000  # of a batch of phrases
 PACKED = 1_000_000  # hashes that a task counts before it hands them on
 KEY = 40  # bits of a packed hash
 SLICES = 65_536  # ranges of packed hashes at most
@@ -40,14 +43,9 @@ _STEP = np.uint64(0xD6E8FEB86659FD93)
 COUNTS = "lang string, phrase string, c long"
 
 
-def _hashes(words: pa.Array) -> np.ndarray:
-    found = np.array(words.to_pylist(), object)
-    return pd.util.hash_array(found, categorize=False) if len(found) else np.zeros(0, np.uint64)
-
-
 def _by_level(w: Spans, lang: np.ndarray, k: int) -> Iterator[np.ndarray]:
     """Hash of the phrase of 1, 2, ... k words that starts at each word (wrong where the text ends before)."""
-    word = mix(_hashes(w.words))[w.id]
+    word = hashes(w.words)[w.id]
     h = lang[w.row]
     for j in range(k):
         h = h[: len(word) - j]
@@ -60,21 +58,29 @@ class Known:
 
     def __init__(self, hashes: np.ndarray | None = None, bitmap: np.ndarray | None = None, shift: int = 0) -> None:
         self.hashes, self.bitmap, self.shift = hashes, bitmap, np.uint64(shift)
+        self.near: np.ndarray | None = None  # which lowest bits the hashes have, made where it is asked: most words are not among them
 
     def has(self, h: np.ndarray) -> np.ndarray:
         h = h >> self.shift
         if self.bitmap is not None:
             at = h & np.uint64(8 * len(self.bitmap) - 1)
             return (self.bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-        if not len(self.hashes):
-            return np.zeros(len(h), bool)
-        return self.hashes[np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)] == h
+        if self.near is None:
+            self.near = np.zeros(1 << min(NEAR, max(16, len(self.hashes).bit_length() + 3)), bool)
+            self.near[self._low(self.hashes)] = True
+        found = self.near[self._low(h)]
+        at = np.flatnonzero(found)
+        found[at] = self.hashes[np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)] == h[at]
+        return found
+
+    def _low(self, h: np.ndarray) -> np.ndarray:
+        return (h & np.uint64(len(self.near) - 1)).view(np.int64)
 
 
 def _langs(col: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     """Number of each row's lang, the langs and their hashes."""
     coded = col.dictionary_encode()
-    return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist(), mix(_hashes(coded.dictionary.cast(pa.binary())) + np.uint64(1))
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist(), mix(hashes(coded.dictionary) + np.uint64(1))
 
 
 def known_phrases(level: DataFrame, n: int, most: int = MOST) -> Known:
@@ -95,10 +101,10 @@ def known_phrases(level: DataFrame, n: int, most: int = MOST) -> Known:
     return known_hashes(level.select("lang", "phrase").mapInArrow(run, "h long"), n, most)
 
 
-def known_hashes(hashes: DataFrame, n: int, most: int, shift: int = 0) -> Known:
-    """The n rows of hashes (h) as a set for broadcast."""
+def known_hashes(rows: DataFrame, n: int, most: int, shift: int = 0) -> Known:
+    """The n rows (hashes h) as a set for broadcast."""
     if n <= most:
-        found = hashes.toArrow().column(0).to_numpy()  # `most` at most
+        found = rows.toArrow().column(0).to_numpy()  # `most` at most
         return Known(np.unique(found.astype(np.int64).view(np.uint64)), shift=shift)
 
     def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -107,7 +113,7 @@ def known_hashes(hashes: DataFrame, n: int, most: int, shift: int = 0) -> Known:
         return pd.DataFrame({"slice": [key[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
     at = F.col("h").bitwiseAND((1 << BITS) - 1)
-    places = hashes.select(F.shiftright(at, SLICE).alias("slice"), at.bitwiseAND((1 << SLICE) - 1).alias("at")).distinct()
+    places = rows.select(F.shiftright(at, SLICE).alias("slice"), at.bitwiseAND((1 << SLICE) - 1).alias("at")).distinct()
     bitmap = np.zeros(1 << (BITS - 3), np.uint8)
     for s in places.groupBy("slice").applyInPandas(fill, "slice long, bits binary").toLocalIterator():  # 2^(BITS - SLICE) slices of 64 kB
         bitmap[s["slice"] << (SLICE - 3) : (s["slice"] + 1) << (SLICE - 3)] = np.frombuffer(s["bits"], np.uint8)
@@ -120,15 +126,20 @@ def _sum(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndar
     return keys, np.bincount(at, weights=counts).astype(np.int64)
 
 
-def _places(w: Spans, lang_hash: np.ndarray, k: int, shorter: Known) -> tuple[np.ndarray, np.ndarray]:
-    """Words at which a phrase of k words starts whose parts of k - 1 words are both in `shorter`, and the hash of the phrase at every word."""
-    m = len(w.id) - k + 1
-    *_, part, whole = _by_level(w, lang_hash, k)
-    known = shorter.has(part)
-    fits = known[:m] & known[1 : m + 1]
-    for j in range(1, k):
-        fits &= w.joined[j : j + m]
-    return np.flatnonzero(fits), whole
+def _places(w: Spans, parts: np.ndarray, j: int, ks: Iterable[int], known: Known) -> Iterator[np.ndarray]:
+    """For each k of ks, the words at which a phrase of k words starts whose parts of j words are all in `known`; `parts` are the hashes of the parts."""
+    m = len(w.id) - j + 1
+    part = known.has(parts[:m])
+    for i in range(1, j):
+        part &= w.joined[i : i + m]
+    for k in ks:
+        m = max(len(w.id) - k + 1, 0)
+        fits = part[:m].copy()
+        for i in range(1, k - j + 1):
+            fits &= part[i : i + m]
+            if j == 1:
+                fits &= w.joined[i : i + m]
+        yield np.flatnonzero(fits)
 
 
 def frequent_hashes(texts: DataFrame, k: int, shorter: Known, least: int, slices: int) -> DataFrame:
@@ -152,7 +163,8 @@ def frequent_hashes(texts: DataFrame, k: int, shorter: Known, least: int, slices
             for w in spans(b.column(1), lower=True, breaks=BREAKS):
                 if len(w.id) < k:
                     continue
-                at, h = _places(w, lang_hash[code], k, shared.value)
+                *_, part, h = _by_level(w, lang_hash[code], k)
+                (at,) = _places(w, part, k - 1, [k], shared.value)
                 held.append(np.unique(h[at] >> shift, return_counts=True))
                 size += len(held[-1][0])
                 if size > PACKED:
@@ -186,52 +198,56 @@ def _distinct(columns: list[np.ndarray], sizes: list[int]) -> tuple[np.ndarray,
     key, size = columns[0], sizes[0]
     for c, n in zip(columns[1:], sizes[1:], strict=True):
         if size * n >= 1 << 62:
-            known, key = np.unique(key, return_inverse=True)
+            key, known = pd.factorize(key)
             size = len(known)
         key, size = key * n + c, size * n
-    _, first, counts = np.unique(key, return_index=True, return_counts=True)
-    return first, counts
+    code, known = pd.factorize(key)
+    first = np.zeros(len(known), np.int64)
+    first[code[::-1]] = np.arange(len(code))[::-1]
+    return first, np.bincount(code, minlength=len(known))
 
 
-def level_counts(texts: DataFrame, k: int, shorter: Known | None = None, own: Known | None = None) -> DataFrame:
-    """Counts of the phrases of k words of texts (lang, text), whose parts of k - 1 words are both in `shorter`, and which are in `own` if given.
+def level_counts(texts: DataFrame, ks: Iterable[int], j: int = 0, known: Known | None = None) -> DataFrame:
+    """Counts of the phrases of k words of texts (lang, text), k of ks, whose parts of j words are all in `known`, if given.
 
-    Level 1 also has a row without a phrase for each lang, which counts its words.
+    Without it, there is also a row without a phrase for each lang, which counts its words.
     """
-    shared = texts.sparkSession.sparkContext.broadcast((shorter, own))
+    shared = texts.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, bytes | None], int] = {}
+        held, size = [], 0
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.string()), pa.array([x[1] for x in held], pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], names=["lang", "phrase", "c"])
+        def flush() -> pa.Table:
+            done = pa.concat_tables(held).group_by(["lang", "phrase"], use_threads=False).aggregate([("c", "sum")])
             held.clear()
-            return out
+            return done.select(["lang", "phrase", "c_sum"]).rename_columns(["lang", "phrase", "c"])
 
         for b in batches:
             code, langs, lang_hash = _langs(b.column(0))
+            langs = pa.array(langs, pa.string())
             for w in spans(b.column(1), lower=True, breaks=BREAKS):
-                if len(w.id) < k:
-                    continue
-                lang, at = code[w.row], np.arange(len(w.id))
-                if k > 1:
-                    at, h = _places(w, lang_hash[code], k, shared.value[0])
-                    at = at[shared.value[1].has(h[at])] if shared.value[1] else at
-                if not len(at):
-                    continue
-                first, counts = _distinct([lang[at], *[w.id[at + j] for j in range(k)]], [len(langs), *[len(w.words)] * k])
-                word = np.array(w.words.to_pylist(), object)
-                parts = [word[w.id[at[first] + j]].tolist() for j in range(k)]
-                phrases = parts[0] if k == 1 else [b" ".join(x) for x in zip(*parts, strict=True)]
-                for i, phrase, c in zip(lang[at[first]].tolist(), phrases, counts.tolist(), strict=True):
-                    held[langs[i], phrase] = held.get((langs[i], phrase), 0) + c
-                if k == 1:
-                    for i, c in enumerate(np.bincount(lang, minlength=len(langs)).tolist()):
-                        held[langs[i], None] = held.get((langs[i], None), 0) + c
-                if len(held) > HELD:
-                    yield flush()
+                lang, places = code[w.row], [np.arange(len(w.id))]
+                if j and len(w.id) >= j:
+                    *_, part = _by_level(w, lang_hash[code], j)
+                    places = _places(w, part, j, ks, shared.value)
+                found = []
+                for k, at in zip(ks, places, strict=False):  # fewer words than j are no place
+                    if len(at):
+                        first, counts = _distinct([lang[at], *[w.id[at + i] for i in range(k)]], [len(langs), *[len(w.words)] * k])
+                        parts = [w.words.take(pa.array(w.id[at[first] + i])) for i in range(k)]
+                        found.append((lang[at[first]], (parts[0] if k == 1 else pc.binary_join_element_wise(*parts, b" ")).cast(pa.string()), counts))
+                if not j:
+                    found.append((np.arange(len(langs)), pa.nulls(len(langs), pa.string()), np.bincount(lang, minlength=len(langs))))
+                held += [pa.table({"lang": langs.take(pa.array(x)), "phrase": y, "c": pa.array(z, pa.int64())}) for x, y, z in found]
+                size += sum(x.nbytes for x in held[len(held) - len(found) :])
+                if size > HELD:
+                    held[:] = [flush()]
+                    size = held[0].nbytes
+                    if size > HELD // 2:
+                        yield from held.pop().to_batches(ROWS)
+                        size = 0
         if held:
-            yield flush()
+            yield from flush().to_batches(ROWS)
 
     return texts.mapInArrow(run, COUNTS).groupBy("lang", "phrase").agg(F.sum("c").alias("f"))
 
@@ -245,17 +261,19 @@ def mine_collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGES
     """
     d, names = set_aside(docs)
     texts = d.select(F.coalesce(F.col(names[lang_col]).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(names[text_col]), F.lit("")).alias("text"))
-    words = stage(level_counts(texts, 1).where((F.col("f") >= least) | F.col("phrase").isNull()), "phrases-1")
-    totals = words.where("phrase IS NULL").select("lang", F.col("f").alias("n"))
-    levels = [words.where("phrase IS NOT NULL")]
-    while len(levels) < longest and (n := levels[-1].count()):
-        k, shorter, own = len(levels) + 1, known_phrases(levels[-1], n, most), None
-        if k == 2:
+    words = stage(level_counts(texts, [1]).where((F.col("f") >= least) | F.col("phrase").isNull()), "phrases-1")
+    totals, last = words.where("phrase IS NULL").select("lang", F.col("f").alias("n")), words.where("phrase IS NOT NULL")
+    levels, k = [last], 1
+    while k < longest and (n := last.count()):
+        known, j, ks = known_phrases(last, n, most), k, range(k + 1, min(k + 2, longest) + 1)
+        if k == 1:
             slices = int(min(SLICES, max(shuffle_partitions(docs.sparkSession), totals.agg(F.sum("n")).first()[0] // PACKED)))
-            pairs = stage(frequent_hashes(texts, k, shorter, least, slices), "phrases-pairs")
-            own = known_hashes(pairs, pairs.count(), most, 64 - KEY)
+            pairs = stage(frequent_hashes(texts, 2, known, least, slices), "phrases-pairs")
+            known, j = known_hashes(pairs, pairs.count(), most, 64 - KEY), 2
             unstage(pairs)
-        levels.append(stage(level_counts(texts, k, shorter, own).where(F.col("f") >= least), f"phrases-{k}"))
+        levels.append(stage(level_counts(texts, ks, j, known).where(F.col("f") >= least), f"phrases-{ks[-1]}"))
+        k = ks[-1]
+        last = levels[-1].where(F.size(F.split("phrase", " ")) == k)
     out = stage(_scored(levels, totals, top, drop), "phrases-scored")
     for x in (words, *levels[1:]):
         unstage(x)

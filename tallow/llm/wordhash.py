@@ -77,6 +77,16 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
+def hashes(col: pa.Array) -> np.ndarray:
+    """The hash of each entry of a string or binary array, taken as one word."""
+    offsets, data = buffers(col)
+    at, part = offsets - offsets[0], data[offsets[0] : offsets[-1]]
+    sums = np.zeros(len(part) + 1, np.uint64)
+    np.cumsum(_BYTE[part] * _power("up", len(part)), out=sums[1:])
+    h = (sums[at[1:]] - sums[at[:-1]]) * _power("down", len(part) + 1)[at[:-1]]
+    return mix(h + np.diff(at).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def words(col: pa.Array) -> Iterator[Words]:
     """The words of a string array, chunk by chunk; every row lies in exactly one chunk."""
     offsets, data = buffers(col)

@@ -214,6 +214,15 @@ def test_collocations_against_plain_python(spark, phrases, most, monkeypatch):
         assert got
 
 
+@pytest.mark.parametrize("longest,passes", [(2, 2), (4, 3), (5, 3)])
+def test_collocations_count_two_levels_in_a_pass(spark, phrases, longest, passes, monkeypatch):
+    plain, calls = collocations.level_counts, []
+    monkeypatch.setattr(collocations, "level_counts", lambda *x: calls.append(x[1:]) or plain(*x))
+    got = sorted(tuple(r) for r in collocations.mine_collocations(frame(spark, phrases), least=8, longest=longest).collect())
+    assert got == plain_collocations(phrases, 8, longest, 2000, 100)
+    assert len(calls) == passes
+
+
 def test_collocations_without_frequent_phrases(spark, phrases):
     docs = frame(spark, phrases)
     assert collocations.mine_collocations(docs.where("false")).count() == 0
