@@ -26,7 +26,7 @@ from tallow.llm.common import arrow_rows, stage
 
 CAPACITY = 4096
 END_ID = 1
-MEMO_WORDS = 600_000  # words remembered by a process, about 85 MB
+MEMO_WORDS = 1_000_000  # words remembered by a process, about 140 MB
 MEMO_CHARS = 64
 MEMO_SIGNS = 10_000
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@[-`{-~]*)")
@@ -66,16 +66,20 @@ def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     tokenize = tok.model.tokenize
     signs: dict[str, bytes] = {"": b""}
 
+    of_ascii = lambda w: array("I", [t.id for t in tokenize(w)]).tobytes()
+
     def of_letters(w: str) -> bytes:
         w = w.lower()
-        return array("I", [t.id for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_LEVEL))]).tobytes()
+        return of_ascii(w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_LEVEL))
 
     # Letters of Latin-1, with ASCII signs behind them, need no normalising where the tokenizer treats these probes so.
     direct = all(ids_of(w + x) == of_letters(w) + ids_of(x) for w in PROBES for x in SIGNS)
 
     class Memo(dict):
         def __missing__(self, w: str) -> bytes:
-            if direct and (parts := PLAIN.fullmatch(w)):
+            if direct and w.isascii() and w.isalpha():
+                x = of_ascii(w.lower())
+            elif direct and (parts := PLAIN.fullmatch(w)):
                 stem, sign = parts.groups()
                 if sign not in signs and len(signs) < MEMO_SIGNS:
                     signs[sign] = ids_of(sign)
