@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallow.llm.common import arrow_rows, most_frequent, shuffle_partitions, stage, unstage
+from tallow.llm.common import arrow_rows, give_back, most_frequent, shuffle_partitions, stage, unstage
 from tallow.llm.components import components
 from tallow.llm.wordhash import mix, words
 
@@ -34,10 +34,12 @@ COMMON_KEPT = 1 << 19  # tokens known to every task as common, the most frequent
 BLOCK = 4000
 BLOCK_TOKENS = 2_000_000
 PIVOTS = 32
-BUCKET_BYTES = 8 << 20
-FLUSH = 1_000_000
+BUCKET_BYTES = 4 << 20
+FLUSH = 500_000
+EDGES = 1 << 14  # edges in a packed row or a batch
 COUNTED = 4_000_000
 BATCH_ROWS = 1000
+CHUNK = 1 << 18
 SALTS = 16
 BROADCAST_BYTES = 64 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -46,7 +48,7 @@ _KEY_BITS = np.uint64(16)  # signatures and keys of nodes are 48 bits: equal one
 
 def shingle_sets(col: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Chunks (lo, hi, sets, cuts): sorted distinct shingle hashes of rows lo to hi, set i being sets[cuts[i]:cuts[i+1]]."""
-    for w in words(col):
+    for w in words(col, CHUNK):
         row = w.row - w.lo
         rows = np.bincount(row, minlength=w.hi - w.lo) if len(row) else np.zeros(w.hi - w.lo, np.int64)
         at, total = np.concatenate(([0], np.cumsum(rows))), len(w.hash)
@@ -76,30 +78,60 @@ def least_overlap(a: np.ndarray | int, b: np.ndarray | int, num: int, den: int):
     return -(-(num * (a + b)) // (num + den))
 
 
+class Held:
+    """Columns of 64-bit numbers, gathered in memory that is used again: it is touched only as far as it is filled, and no small arrays are left between large ones."""
+
+    def __init__(self, room: int, columns: int = 1) -> None:
+        self.data, self.n = np.empty((columns, room), np.uint64), 0
+
+    def fits(self, k: int) -> bool:
+        return self.n + k <= self.data.shape[1]
+
+    def add(self, *columns: np.ndarray | np.uint64, k: int) -> None:
+        """k numbers for each column; room for them is made where need be."""
+        if not self.fits(k):
+            more = np.empty((len(self.data), self.n + k), np.uint64)
+            more[:, : self.n] = self.data[:, : self.n]
+            self.data = more
+        for row, x in zip(self.data, columns, strict=True):
+            row[self.n : self.n + k] = x
+        self.n += k
+
+    def take(self) -> np.ndarray:
+        """What is held, valid until the next add."""
+        out, self.n = self.data[:, : self.n], 0
+        return out
+
+
+def repeated(every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers that occur twice or more, ascending, and how often; sorts every in place."""
+    every.sort()
+    same = np.zeros(len(every) + 1, np.int8)
+    np.equal(every[1:], every[:-1], out=same[1:-1].view(bool))
+    step = np.diff(same)
+    first = np.flatnonzero(step == 1)
+    return every[first], np.flatnonzero(step == -1) - first + 1
+
+
 def common_tokens(docs: DataFrame, n: int, text_col: str) -> np.ndarray:
     """Sorted tokens that occur more than COMMON times, counting those seen twice or more within a run of about COUNTED tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        waiting = 0
+        held = Held(COUNTED)
 
         def count() -> pa.RecordBatch:
-            every = np.concatenate(held)
-            held.clear()
-            every.sort()
-            first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, np.int64)
-            times = np.diff(np.append(first, len(every)))
-            return pa.RecordBatch.from_arrays([pa.array(every[first[times > 1]].view(np.int64)), pa.array(times[times > 1].astype(np.int64))], names=["token", "n"])
+            token, times = repeated(held.take()[0])
+            return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(times.astype(np.int64))], names=["token", "n"])
 
         for b in batches:
             for _, _, sets, _ in shingle_sets(b.column(0), n):
-                held.append(sets)
-                waiting += len(sets)
-                if waiting > COUNTED:
+                if held.n and not held.fits(len(sets)):
                     yield count()
-                    waiting = 0
-        if held:
+                held.add(sets, k=len(sets))
+        if held.n:
             yield count()
+        del held
+        give_back()
 
     counts = docs.select(text_col).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > COMMON)
     counts = stage(counts, "jaccard-common")
@@ -184,7 +216,8 @@ def _stars(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     new = np.ones(len(sig), bool)
     new[1:] = sig[1:] != sig[:-1]
     hub = key[new][np.cumsum(new) - 1]
-    pairs = np.stack((key, hub), axis=1)[key != hub]
+    far = key != hub
+    pairs = np.stack((key[far], hub[far]), axis=1)
     return sig[new], key[new], np.unique(pairs, axis=0) if len(pairs) else pairs
 
 
@@ -205,24 +238,23 @@ def heads_and_edges(docs: DataFrame, n: int, num: int, den: int, id_col: str, te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, turn = shared.value, TaskContext.get().partitionId() * 7919
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held = Held(FLUSH, 2)
 
         def row(bucket: int, sig=b"", key=b"", u=(), v=(), ids=(), sizes=(), sets=()) -> pa.RecordBatch:
             kinds = [pa.int64(), pa.binary(), pa.binary(), *[pa.list_(pa.int64())] * 4, pa.list_(pa.binary())]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((bucket, sig, key, u, v, ids, sizes, sets), kinds, strict=True)], names=[x.split()[0] for x in PACKED.split(", ")])
 
         def flush() -> Iterator[pa.RecordBatch]:
-            sig, key, pairs = _stars(np.concatenate([s for s, _ in held]), np.concatenate([k for _, k in held]))
-            held.clear()
+            sig, key, pairs = _stars(*held.take())
             ends = np.searchsorted(sig, (np.arange(buckets + 1, dtype=np.float64) * (2.0**48 / buckets)).astype(np.uint64)).tolist()
             ends[-1] = len(sig)
             for i, (lo, hi) in enumerate(zip(ends, ends[1:], strict=False)):
                 if lo < hi:
                     yield row(i, _pack(sig[lo:hi]), _pack(key[lo:hi]))
-            if len(pairs):
-                yield row(turn % buckets, u=pairs[:, 0].astype(np.int64), v=pairs[:, 1].astype(np.int64))
+            for i, lo in enumerate(range(0, len(pairs), EDGES)):
+                u, v = pairs[lo : lo + EDGES].astype(np.int64).T
+                yield row((turn + i) % buckets, u=u, v=v)
 
-        waiting = 0
         for b in batches:
             for lo, hi, sets, cuts in shingle_sets(b.column(1), n):
                 turn += 1
@@ -235,13 +267,13 @@ def heads_and_edges(docs: DataFrame, n: int, num: int, den: int, id_col: str, te
                 spot = np.searchsorted(common, sets)
                 late = common[np.minimum(spot, len(common) - 1)] == sets if len(common) else np.zeros(len(sets), bool)
                 for i, s in splitter.signatures(sets, cuts, late):
-                    held.append((s, np.full(len(s), key[i])))
-                    waiting += len(s)
-                if waiting > FLUSH:
-                    yield from flush()
-                    waiting = 0
-        if held:
+                    if held.n and not held.fits(len(s)):
+                        yield from flush()
+                    held.add(s, key[i], k=len(s))
+        if held.n:
             yield from flush()
+        del held
+        give_back()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
@@ -253,8 +285,8 @@ def heads_and_edges(docs: DataFrame, n: int, num: int, den: int, id_col: str, te
         def solve() -> Iterator[pa.RecordBatch]:
             _, _, pairs = _stars(*(np.concatenate([_unpack(x[i]) for x in held]) for i in (0, 1)))
             held.clear()
-            if len(pairs):
-                yield edges(pairs[:, 0].astype(np.int64), pairs[:, 1].astype(np.int64))
+            for lo in range(0, len(pairs), EDGES):
+                yield edges(*pairs[lo : lo + EDGES].astype(np.int64).T)
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -271,9 +303,10 @@ def heads_and_edges(docs: DataFrame, n: int, num: int, den: int, id_col: str, te
                     held.append((sig.as_py(), key.as_py()))
         if held:
             yield from solve()
+        give_back()
 
     packed = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, PACKED)
-    tasks = max(shuffle_partitions(spark), buckets // 4)
+    tasks = max(shuffle_partitions(spark), buckets // 8)
     return stage(packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, HEADS), "jaccard-heads")
 
 
@@ -425,6 +458,8 @@ def _search(placed: DataFrame, num: int, den: int) -> DataFrame:
                 held.append((side, node, cls, values[ends[i] : ends[i + 1]].copy()))
         if len(held) > 1:
             yield solve()
+        held.clear()
+        give_back()
 
     return placed.repartition("task").sortWithinPartitions("task").mapInArrow(run, "u long, v long")
 
@@ -441,6 +476,7 @@ def _tokens_at(docs: DataFrame, places: DataFrame, n: int, id_col: str, text_col
             for lo, hi, sets, cuts in shingle_sets(b.column(1), n):
                 column = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(sets.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), column], names=["node", "places", "tokens"])
+        give_back()
 
     members = texts.mapInArrow(sets_of, "node long, places array<struct<task:long,side:int,cls:long>>, tokens array<long>").where(F.size("tokens") > 0)
     return members.select(F.explode("places").alias("at"), "node", "tokens").select("at.task", "at.side", "node", "at.cls", "tokens")

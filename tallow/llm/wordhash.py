@@ -87,10 +87,10 @@ def hashes(col: pa.Array) -> np.ndarray:
     return mix(h + np.diff(at).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def words(col: pa.Array) -> Iterator[Words]:
-    """The words of a string array, chunk by chunk; every row lies in exactly one chunk."""
+def words(col: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Words]:
+    """The words of a string array, chunk by chunk of about limit bytes; every row lies in exactly one chunk. A chunk takes some forty times its bytes."""
     offsets, data = buffers(col)
-    for lo, hi in chunks(offsets):
+    for lo, hi in chunks(offsets, limit):
         at = offsets[lo : hi + 1] - offsets[lo]
         part = data[offsets[lo] : offsets[hi]]
         n = len(part)
